@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,16 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once; inside a lambda an unbound expression runs again per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(v: Column) -> Column:
     """L2-normalised; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(
+        v,
+        lambda u: let(
+            norm(u), lambda n: F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(u)
+        ),
+    )

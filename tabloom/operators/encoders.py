@@ -44,28 +44,21 @@ def decode(df: DataFrame, idx: str, vocabulary: DataFrame, out: str) -> DataFram
     return df.join(vocab, F.col(idx) == F.col("__idx"), "left").drop("__idx")
 
 
-def vocabulary_array(vocabulary: DataFrame, limit: int = MAX_ONE_HOT) -> DataFrame:
-    """One row ``(vocab)``; the job fails if there are more than ``limit`` entries.
+def bounded_values(vocabulary: DataFrame, limit: int = MAX_ONE_HOT) -> list:
+    """The vocabulary in index order, for one element or column per category.
 
-    At most limit + 1 rows reach the aggregate, whatever the vocabulary holds.
+    At most limit + 1 rows reach the driver; more categories than that are an error.
     """
-    kept = vocabulary.orderBy("idx").limit(limit + 1)
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"])
-    return kept.agg(packed.alias("vocab")).select(
-        F.when(
-            F.size("vocab") > limit, F.raise_error(F.lit(f"more than {limit} categories"))
-        ).otherwise(F.col("vocab")).alias("vocab")
-    )
-
-
-def one_hot_width(vocabulary: DataFrame, limit: int = MAX_ONE_HOT) -> list:
-    """The bounded vocabulary as a Python list, for one column per category."""
     rows = vocabulary.orderBy("idx").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} categories")
     return [r["value"] for r in rows]
 
 
+def literal_array(values: Sequence) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def one_hot_columns(col: str, values: Sequence, prefix: str | None = None, weight: float = 1.0) -> list[Column]:
     prefix = prefix or col
     return [

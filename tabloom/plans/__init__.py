@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from tabloom.plans import aggregations, projections  # noqa: F401
+from tabloom.plans import aggregations, projections, retrieval  # noqa: F401
 from tabloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -50,13 +50,15 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{_checkpoint_base(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    spark = df.sparkSession
-    base = _checkpoint_base(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """Write a stage to the shared folder and go on from the table.
+
+    The stage is computed once, outlives any executor, and its measured size lets Spark
+    choose the joins that follow.
+    """
+    path = shared_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def one_row(params: DataFrame) -> Column:
