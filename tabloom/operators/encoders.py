@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.running import row_numbers
 
 MAX_ONE_HOT = 50
+MAX_LABELS = 1000
 
 
 def sorted_vocabulary(df: DataFrame, col: str, **limits) -> DataFrame:
@@ -44,14 +45,16 @@ def decode(df: DataFrame, idx: str, vocabulary: DataFrame, out: str) -> DataFram
     return df.join(vocab, F.col(idx) == F.col("__idx"), "left").drop("__idx")
 
 
-def bounded_values(vocabulary: DataFrame, limit: int = MAX_ONE_HOT) -> list:
-    """The vocabulary in index order, for one element or column per category.
+def bounded_values(df: DataFrame, col: str, limit: int = MAX_ONE_HOT) -> list:
+    """The sorted distinct values of a column that must have few.
 
-    At most limit + 1 rows reach the driver; more categories than that are an error.
+    Duplicates collapse before the shuffle and a top-k keeps limit + 1 values per task, so no
+    more than that reaches the driver; more categories than ``limit`` are an error.
     """
-    rows = vocabulary.orderBy("idx").limit(limit + 1).collect()
+    values = df.select(F.col(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    rows = values.orderBy("value").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories")
+        raise ValueError(f"{col} has more than {limit} categories")
     return [r["value"] for r in rows]
 
 
@@ -107,9 +110,9 @@ def binary_encode(df: DataFrame, col: str, mode: Column, vocabulary: DataFrame)
     )
 
 
-def label_set_vocabulary(df: DataFrame, labels: Column, **limits) -> DataFrame:
-    """Sorted vocabulary of a list-valued column."""
-    return sorted_vocabulary(df.select(F.explode(labels).alias("value")), "value", **limits)
+def label_set_values(df: DataFrame, labels: Column, limit: int = MAX_LABELS) -> list:
+    """Sorted distinct entries of a list-valued column."""
+    return bounded_values(df.select(F.explode(labels).alias("label")), "label", limit)
 
 
 def binarize(labels: Column, vocabulary: Column) -> Column:

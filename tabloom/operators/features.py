@@ -99,7 +99,7 @@ class OneHot:
 
     def fit(self, df: DataFrame) -> OneHot:
         for c in self.cols:
-            self.values[c] = encoders.bounded_values(encoders.sorted_vocabulary(df, c), self.limit)
+            self.values[c] = encoders.bounded_values(df, c, self.limit)
         return self
 
     def names(self) -> list[str]:
@@ -146,7 +146,7 @@ def transform_target(df: DataFrame, subtype: str, target: str, out: str = "y") -
         text = raw.withColumn(target, F.col(target).cast("string"))
         return encoders.encode(text, target, encoders.sorted_vocabulary(text, target), out)
     if subtype == MULTI_LABEL:
-        values = encoders.bounded_values(encoders.label_set_vocabulary(df, F.col(target)), limit=1000)
+        values = encoders.label_set_values(df, F.col(target))
         return raw.withColumn(out, encoders.binarize(F.col(target), encoders.literal_array(values)))
     if subtype in LOG_TARGETS:
         y = F.col(target).cast("double")

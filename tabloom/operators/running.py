@@ -1,51 +1,24 @@
 """Running totals and row numbers over a global or hot order.
 
 A window without partition keys, or with one key that holds a third of the rows, puts its
-rows into one task. Above a checked row count the order is cut into blocks: a window runs
-inside each (key, block), and the totals of the earlier blocks, at most BLOCKS rows per key,
-are added by an equi-join.
+rows into one task. Above a checked row count the table is range-partitioned by the order into
+blocks of bounded size and written once, so that every later step sees the same blocks. A
+window then runs inside each (key, block), and the totals of the earlier blocks, a small table
+of one row per key and block, are added by an equi-join on the same keys.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SINGLE_WINDOW_ROWS = 1_000_000
-BLOCKS = 256
-SAMPLE_PER_BLOCK = 40
-
-
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
-
-
-def block_bounds(df: DataFrame, order: Sequence[str], rows: int, blocks: int = BLOCKS) -> list:
-    """Cut points of the order from a sample; they balance the work and never change results."""
-    fraction = min(1.0, blocks * SAMPLE_PER_BLOCK / max(rows, 1))
-    picked = df.select(*order).sample(fraction=fraction, seed=7).limit(4 * blocks * SAMPLE_PER_BLOCK)
-    keys = [
-        r["k"]
-        for r in picked.select(_order_struct(order).alias("k")).orderBy("k").collect()
-    ]
-    if not keys:
-        return []
-    step = max(1, len(keys) // blocks)
-    return keys[step::step]
+from tabloom.session import cut_lineage
 
-
-def block_number(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
-    """How many cut points are at or below the row."""
-    if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
-    lits = F.array(
-        *[F.struct(*[F.lit(b[c]).cast(types[c]).alias(c) for c in order]) for b in bounds]
-    )
-    key = _order_struct(order)
-    return F.size(F.filter(lits, lambda b: b <= key))
+SINGLE_WINDOW_ROWS = 1_000_000
+BLOCK_ROWS = 1_000_000
 
 
 def running_totals(
@@ -54,17 +27,19 @@ def running_totals(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     inclusive: bool = True,
+    at_most: int | None = None,
     single_window_rows: int = SINGLE_WINDOW_ROWS,
-    blocks: int = BLOCKS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add one running sum per entry of ``sums`` along ``order`` within ``by``.
 
     ``order`` must identify a row within ``by``. With ``inclusive=False`` the sum covers the
-    earlier rows only and is 0 for the first one.
+    earlier rows only and is 0 for the first one. ``at_most`` is a known bound on the rows,
+    such as a limit, and saves counting them.
     """
     order, by = list(order), list(by)
     df = df.withColumns({f"__v_{n}": e for n, e in sums.items()})
-    rows = df.count()
+    rows = df.count() if at_most is None else at_most
     last = Window.currentRow if inclusive else -1
     zero = F.lit(0)
     if rows <= single_window_rows:
@@ -72,8 +47,10 @@ def running_totals(
         out = df.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(w), zero) for n in sums})
         return out.drop(*[f"__v_{n}" for n in sums])
 
-    bounds = block_bounds(df, order, rows, blocks)
-    df = df.withColumn("__block", block_number(df, order, bounds))
+    # Keys follow the order in the range, so equal order values of many keys are split as well.
+    blocks = math.ceil(rows / block_rows)
+    ranged = df.repartitionByRange(blocks, *order, *by).withColumn("__block", F.spark_partition_id())
+    df = cut_lineage(ranged, "blocks")
     totals = df.groupBy(*by, "__block").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -86,9 +63,7 @@ def running_totals(
     match = F.col("__block") == F.col("__b")
     for k in by:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    out = local.join(offsets, match).withColumns(
-        {n: F.col(f"__l_{n}") + F.col(f"__o_{n}") for n in sums}
-    )
+    out = local.join(offsets, match).withColumns({n: F.col(f"__l_{n}") + F.col(f"__o_{n}") for n in sums})
     return out.drop(
         "__block", "__b", *[f"__k_{k}" for k in by], *[f"__{x}_{n}" for n in sums for x in "vlo"]
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.running import row_numbers
 
 # Characters removed before splitting, vocabulary size and sequence length.
-PUNCTUATION = r"""[!"#$%&()\*\+,\-\./:;<=>?@\[\\\]^_`{|}~']"""
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 MAX_TOKENS = 10_000
 SEQUENCE_LENGTH = 100
 PAD, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
@@ -16,7 +16,7 @@ PAD, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
 
 def tokens(text: Column) -> Column:
     """Lower case, punctuation removed, split on white space."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
     return F.filter(F.split(plain, r"\s+"), lambda t: t != "")
 
 
@@ -28,7 +28,7 @@ def token_vocabulary(df: DataFrame, text: str, max_tokens: int = MAX_TOKENS) ->
     """
     counts = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").count()
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(max_tokens - FIRST_TOKEN)
-    ranked = row_numbers(top.withColumn("__neg", -F.col("count")), ["__neg", "token"], "rank")
+    ranked = row_numbers(top.withColumn("__neg", -F.col("count")), ["__neg", "token"], "rank", at_most=max_tokens)
     return ranked.select("token", (F.col("rank") + FIRST_TOKEN - 1).cast("int").alias("idx"), "count")
 
 

@@ -103,7 +103,7 @@ def t6(spark, d):
 def t7(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 2).alias("kind"))
     blocks = [
-        S.one_hot(F.col(c), encoders.literal_array(encoders.bounded_values(encoders.sorted_vocabulary(df, c))), w)
+        S.one_hot(F.col(c), encoders.literal_array(encoders.bounded_values(df, c)), w)
         for c, w in (("label", 3.0), ("kind", 2.5))
     ]
     return df.select("vec_id", F.array_join(F.concat(*blocks).cast("array<string>"), " ").alias("block"))
@@ -157,7 +157,7 @@ def t10(spark, d):
 )
 def t11(spark, d):
     df = load(spark, d, "part").select("p_partkey", S.words(F.col("p_name")).alias("w"))
-    vocabulary = encoders.literal_array(encoders.bounded_values(encoders.label_set_vocabulary(df, F.col("w")), 1000))
+    vocabulary = encoders.literal_array(encoders.label_set_values(df, F.col("w")))
     flagged = df.select("p_partkey", encoders.binarize(F.col("w"), vocabulary).alias("f"))
     return flagged.select(
         "p_partkey",

@@ -113,7 +113,7 @@ def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
 
     One row per file from start to end, so no shuffle is needed to keep the order.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     is_notebook = F.endswith("name", F.lit(".ipynb"))
     return raw.select(
         "name",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +18,21 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the target does not hold yet.
 
-    Only the key column of the target is read.
+    Only the key column of the target is read, and only the row groups within the key range
+    of the new rows.
     """
     spark = df.sparkSession
+    fresh = df.dropDuplicates([key])
     try:
-        present = spark.read.parquet(path).select(key)
-    except Exception as exc:  # the first run has no target
-        if "PATH_NOT_FOUND" not in str(exc):
+        target = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        df.dropDuplicates([key]).write.parquet(path)
+        fresh.write.parquet(path)
         return
-    df.dropDuplicates([key]).join(present, key, "left_anti").write.mode("append").parquet(path)
+    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    present = target.filter(F.col(key).between(span["lo"], span["hi"])).select(key)
+    fresh.join(present, key, "left_anti").write.mode("append").parquet(path)
 
 
 def start_from(df: DataFrame, order: str, start: object) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +20,9 @@ def append_unseen(batch: DataFrame, target: str, key: str, day: str) -> None:
     try:
         known = spark.read.schema(schema).parquet(target).filter(F.col("day").isin(days)).select(key)
         fresh = fresh.join(known, key, "left_anti")
-    except Exception as exc:  # the first batch has no target
-        if "PATH_NOT_FOUND" not in str(exc):
+    except AnalysisException as exc:
+        # The first batch has no target.
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
     fresh.write.mode("append").partitionBy("day").parquet(target)
 
