@@ -1,7 +1,7 @@
 """Exact interpolated quantiles without an unbounded aggregation buffer.
 
-Spark's ``percentile`` holds one entry per distinct value of a group in a single buffer.
-That is used only while the group is provably small. Larger groups go through a narrowing
+Spark's ``percentile`` holds one entry per distinct value of a group in a single buffer, so
+it is used only where a sketch finds few distinct values. Other groups go through a narrowing
 search: each pass is one hash aggregate that counts the rows of a fixed number of equal
 slices of the current interval, so a task and the driver hold at most SLICES entries per
 target whatever the size of the data.
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
+DIRECT_VALUES = 100_000
 SLICES = 4096
 MAX_HOT_GROUPS = 10_000
 
@@ -36,22 +36,26 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    direct_rows: int = DIRECT_ROWS,
+    direct_values: int = DIRECT_VALUES,
 ) -> DataFrame:
     """One row per group with ``<col>__q<i>`` for every column and probability."""
     cols, probs, by = list(cols), list(probs), list(by)
     df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     if not by:
-        if df.count() <= direct_rows:
+        stats = df.agg(*_stats(cols)).first()
+        if all(stats[c]["values"] <= direct_values for c in cols):
             return _direct(df, cols, probs, by)
-        return _narrowed(df, cols, probs)
+        return _narrowed(df, cols, probs, stats)
 
-    hot = df.groupBy(*by).count().filter(F.col("count") > direct_rows).limit(MAX_HOT_GROUPS + 1).collect()
+    big = F.lit(False)
+    for c in cols:
+        big = big | (F.col(c)["values"] > direct_values)
+    hot = df.groupBy(*by).agg(*_stats(cols)).filter(big).limit(MAX_HOT_GROUPS + 1).collect()
     if not hot:
         return _direct(df, cols, probs, by)
     if len(hot) > MAX_HOT_GROUPS:
-        raise ValueError("too many oversized groups; raise direct_rows")
-    # Groups above the limit number at most rows / direct_rows; each gets its own search,
+        raise ValueError("too many oversized groups; raise direct_values")
+    # Groups above the limit number at most rows / direct_values; each gets its own search,
     # the others share one aggregate.
     is_hot = None
     parts = []
@@ -61,7 +65,7 @@ def exact_quantiles(
             same = F.col(k).eqNullSafe(F.lit(row[k]))
             member = same if member is None else member & same
         is_hot = member if is_hot is None else is_hot | member
-        found = _narrowed(df.filter(member).select(*cols), cols, probs)
+        found = _narrowed(df.filter(member).select(*cols), cols, probs, row)
         parts.append(found.select(*[F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in by], "*"))
     out = _direct(df.filter(~is_hot), cols, probs, by)
     for part in parts:
@@ -69,6 +73,16 @@ def exact_quantiles(
     return out
 
 
+def _stats(cols: Sequence[str]) -> list[Column]:
+    """Rows, ends and an estimate of the distinct values per column."""
+    return [
+        F.struct(
+            F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.approx_count_distinct(c).alias("values")
+        ).alias(c)
+        for c in cols
+    ]
+
+
 def _slice_of(x: Column, low: float, high: float) -> Column:
     """Monotone slice number; halves keep the span finite for huge ranges."""
     span = high / 2 - low / 2
@@ -76,14 +90,8 @@ def _slice_of(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), raw)).cast("int")
 
 
-def _narrowed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def _narrowed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bounds) -> DataFrame:
     spark = df.sparkSession
-    bounds = df.agg(
-        *[
-            F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
-            for c in cols
-        ]
-    ).first()
     # A target is one order statistic (rank from 0) of one column.
     targets: dict[tuple[str, int], dict] = {}
     for c in cols:

@@ -57,7 +57,10 @@ def fill_categories(df: DataFrame, cats: Sequence[str]) -> DataFrame:
 
 
 def index_rows(df: DataFrame, key: str, vector: str, cats: Sequence[str], slug: str | None = None) -> DataFrame:
-    """``(id, vec, cats..., slug)`` with unit vectors in double."""
+    """``(id, vec, cats..., slug)`` with unit vectors in double.
+
+    ``key`` identifies a row: collapse repeated records with :func:`first_records` before.
+    """
     filled = fill_categories(df, cats)
     return filled.select(
         F.col(key).alias("id"),

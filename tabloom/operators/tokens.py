@@ -9,6 +9,7 @@ from tabloom.operators.running import row_numbers
 
 # Characters removed before splitting, vocabulary size and sequence length.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
+SPACES = "\t\n\x0b\f\r"
 MAX_TOKENS = 10_000
 SEQUENCE_LENGTH = 100
 PAD, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
@@ -16,8 +17,10 @@ PAD, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
 
 def tokens(text: Column) -> Column:
     """Lower case, punctuation removed, split on white space."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    return F.filter(F.split(plain, r"\s+"), lambda t: t != "")
+    # One pass turns white space into blanks and removes what has no replacement.
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), SPACES + PUNCTUATION, " " * len(SPACES))
+    trimmed = F.trim(plain)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " +"))
 
 
 def token_vocabulary(df: DataFrame, text: str, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -18,14 +18,14 @@ def test_quantiles_large_path_equals_direct(spark):
     rows += [(None, 1.0, 7), (1e300, 2.0, 0), (-1e300, 3.0, 1)]
     df = spark.createDataFrame(rows, "x double, y double, g int")
     probs = [0.0, 0.25, 0.5, 0.8, 1.0]
-    assert exact_quantiles(df, ["x", "y"], probs, direct_rows=10).collect() == exact_quantiles(df, ["x", "y"], probs).collect()
-    a = sorted(exact_quantiles(df, ["x"], [0.5], ["g"], direct_rows=100).collect())
+    assert exact_quantiles(df, ["x", "y"], probs, direct_values=10).collect() == exact_quantiles(df, ["x", "y"], probs).collect()
+    a = sorted(exact_quantiles(df, ["x"], [0.5], ["g"], direct_values=100).collect())
     assert a == sorted(exact_quantiles(df, ["x"], [0.5], ["g"]).collect())
 
 
 def test_quantile_of_empty_and_all_null(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
-    assert exact_quantiles(df, ["x"], [0.5], direct_rows=0).first()[0] is None
+    assert exact_quantiles(df, ["x"], [0.5], direct_values=-1).first()[0] is None
     assert exact_quantiles(df.limit(0), ["x"], [0.5]).first()[0] is None
 
 
