@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.running import row_numbers
+from tabloom.session import cut_lineage
 
 # Characters removed before splitting, vocabulary size and sequence length.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
-SPACES = "\t\n\x0b\f\r"
+PUNCTUATION = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~']"""
 MAX_TOKENS = 10_000
 SEQUENCE_LENGTH = 100
 PAD, UNKNOWN_TOKEN, FIRST_TOKEN = 0, 1, 2
 
 
-def tokens(text: Column) -> Column:
-    """Lower case, punctuation removed, split on white space."""
-    # One pass turns white space into blanks and removes what has no replacement.
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), SPACES + PUNCTUATION, " " * len(SPACES))
-    trimmed = F.trim(plain)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " +"))
+def tokens(text: Column, at_most: int = 0) -> Column:
+    """Lower case, punctuation removed, split on white space.
+
+    With ``at_most`` the split stops after so many tokens.
+    """
+    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), PUNCTUATION, ""))
+    if not at_most:
+        return F.array_remove(F.split(plain, r"\s+"), "")
+    # One more element holds the rest of the text, and one may be empty at the start.
+    return F.slice(F.array_remove(F.split(plain, r"\s+", at_most + 2), ""), 1, at_most)
 
 
 def token_vocabulary(df: DataFrame, text: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -32,7 +36,9 @@ def token_vocabulary(df: DataFrame, text: str, max_tokens: int = MAX_TOKENS) ->
     counts = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").count()
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(max_tokens - FIRST_TOKEN)
     ranked = row_numbers(top.withColumn("__neg", -F.col("count")), ["__neg", "token"], "rank", at_most=max_tokens)
-    return ranked.select("token", (F.col("rank") + FIRST_TOKEN - 1).cast("int").alias("idx"), "count")
+    vocabulary = ranked.select("token", (F.col("rank") + FIRST_TOKEN - 1).cast("int").alias("idx"), "count")
+    # Written once: encoding a table must not count the training texts again.
+    return cut_lineage(vocabulary, "vocabulary")
 
 
 def encode_sequences(
@@ -43,7 +49,7 @@ def encode_sequences(
     The vocabulary is at most MAX_TOKENS rows, so it is broadcast; a document regroups to one
     row per task before the shuffle.
     """
-    places = df.select(key, F.posexplode_outer(F.slice(tokens(F.col(text)), 1, length)).alias("pos", "token"))
+    places = df.select(key, F.posexplode_outer(tokens(F.col(text), length)).alias("pos", "token"))
     vocab = F.broadcast(vocabulary.select(F.col("token").alias("__token"), "idx"))
     found = places.join(vocab, F.col("token") == F.col("__token"), "left").withColumn(
         "idx", F.when(F.col("token").isNotNull(), F.coalesce("idx", F.lit(UNKNOWN_TOKEN)))
