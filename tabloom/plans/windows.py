@@ -21,7 +21,7 @@ def w1(spark, d):
     return top.select("user_id", "event_type", "event_id", "value", "rank")
 
 
-_RUNS = """WITH s AS (SELECT o.l_orderkey, o.l_linenumber * 1000000000000 + o.l_partkey * 1000000 + o.l_suppkey AS position, 'F_' || o.l_linenumber AS name,
+_RUNS = """WITH s AS (SELECT o.l_orderkey, o.l_linenumber * 100000000000000000 + o.l_partkey * 1000000000000 + o.l_suppkey * 100000000 + CAST(round(o.l_extendedprice * 100) AS BIGINT) AS position, 'F_' || o.l_linenumber AS name,
                              CASE WHEN o.l_returnflag = 'A' THEN 'int' ELSE 'float' END AS type, o.l_discount * 100 AS missing_pct,
                              o.l_tax > 0.06 AS is_target FROM lineitem o),
    p AS (SELECT *, CAST(substr(name, 3) AS INT) AS n,
@@ -36,7 +36,12 @@ _RUNS = """WITH s AS (SELECT o.l_orderkey, o.l_linenumber * 1000000000000 + o.l_
 def w3(spark, d):
     schema = load(spark, d, "lineitem").select(
         "l_orderkey",
-        (F.col("l_linenumber") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("position"),
+        (
+            F.col("l_linenumber") * 100000000000000000
+            + F.col("l_partkey") * 1000000000000
+            + F.col("l_suppkey") * 100000000
+            + F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        ).alias("position"),
         F.concat(F.lit("F_"), F.col("l_linenumber").cast("string")).alias("name"),
         F.when(F.col("l_returnflag") == "A", "int").otherwise("float").alias("type"),
         (F.col("l_discount") * 100).alias("missing_pct"),
