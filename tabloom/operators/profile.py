@@ -125,6 +125,24 @@ def class_distribution(df: DataFrame, col: str) -> DataFrame:
     return counts.select("class", (F.col("n") * 100.0 / total).alias("pct"))
 
 
+def target_summary(df: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Long summary ``(target, entry, value)``: min, median and max of numeric targets, class
+    shares of the others, and the entry ``error: not found`` for absent ones."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [t for t in targets if t not in kinds or isinstance(kinds[t], T.NumericType)]
+    found = numeric_summary(df, numeric)
+    entries = [F.struct(F.lit(e).alias("entry"), F.col(e).alias("value")) for e in ("min", "median", "max")]
+    error = F.array(F.struct(F.concat(F.lit("error: "), "error").alias("entry"), F.lit(None).cast("double").alias("value")))
+    out = found.select("target", F.inline(F.when(F.col("error").isNull(), F.array(*entries)).otherwise(error)))
+    for t in targets:
+        if t not in numeric:
+            shares = class_distribution(df, t)
+            out = out.unionByName(
+                shares.select(F.lit(t).alias("target"), F.col("class").cast("string").alias("entry"), F.col("pct").alias("value"))
+            )
+    return out
+
+
 def numbered_name_ranges(names: DataFrame, col: str = "name") -> DataFrame:
     """Names that end in digits as (prefix, min_index, max_index, count)."""
     parsed = names.select(

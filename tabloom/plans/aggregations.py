@@ -84,6 +84,21 @@ def a4(spark, d):
     )
 
 
+@query(
+    "a4_all_targets",
+    f"""WITH t AS ({_SPARSE_ORDERS})
+        SELECT 'o_totalprice' AS target, 'min' AS entry, min(o_totalprice) AS value FROM t
+        UNION ALL SELECT 'o_totalprice', 'median', round(median(o_totalprice), 6) FROM t
+        UNION ALL SELECT 'o_totalprice', 'max', max(o_totalprice) FROM t
+        UNION ALL SELECT 'o_rank', 'error: not found', NULL
+        UNION ALL SELECT 'o_orderpriority', o_orderpriority, round(count(*) * 100.0::DOUBLE / (SELECT count(o_orderpriority) FROM t), 6) FROM t
+                  WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""",
+)
+def a4_all(spark, d):
+    out = profile.target_summary(_sparse_orders(spark, d), ["o_totalprice", "o_orderpriority", "o_rank"])
+    return out.withColumn("value", r6(F.col("value")))
+
+
 @query(
     "a5_class_distribution",
     """SELECT event_type AS class, round(count(*) * 100.0::DOUBLE / (SELECT count(event_type) FROM events), 6) AS pct

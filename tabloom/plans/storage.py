@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tabloom.operators import joins, retrieve
+from tabloom.operators import joins, profile, retrieve
 from tabloom.plans.common import load
 from tabloom.plans.registry import query
 from tabloom.plans.retrieval import CATS, WEIGHTS, records
@@ -48,6 +48,21 @@ def s1(spark, d):
     return delimited.infer_types(delimited.read_unquoted(spark, path))
 
 
+@query(
+    "s1_file_profile",
+    """WITH t AS (SELECT * FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (o_orderkey % 11 = 0) AS m FROM t)
+       SELECT CAST(0 AS INT) AS position, 'o_orderkey' AS name, 'int' AS type, 0.0::DOUBLE AS missing_pct, false AS is_target FROM n
+       UNION ALL SELECT 1, 'o_custkey', 'int', 0.0, false FROM n UNION ALL SELECT 2, 'o_orderstatus', 'string', 0.0, true FROM n
+       UNION ALL SELECT 3, 'o_totalprice', 'float', 0.0, false FROM n
+       UNION ALL SELECT 4, 'o_orderpriority', 'string', round(m * 100 / n, 6), false FROM n""",
+)
+def s1_profile(spark, d):
+    path = shared_path(spark, "s1")
+    _order_lines(spark, d, "\t").write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
+    df = delimited.infer_types(delimited.read_unquoted(spark, path))
+    return profile.schema_profile(df, ["o_orderstatus"]).withColumn("missing_pct", F.round("missing_pct", 6))
+
+
 @query("s2_headed_csv", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment || ', \"quoted\"' AS c_mktsegment FROM customer")
 def s2(spark, d):
     path = shared_path(spark, "s2")
