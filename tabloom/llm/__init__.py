@@ -1,4 +1,4 @@
 """Corpus operators for training data; importing the package registers their queries."""
 
-from tabloom.llm import exact_dedup, mixing, simhash, url_filter, warc  # noqa: F401
+from tabloom.llm import exact_dedup, mixing, sentencepiece_scan, simhash, url_filter, warc  # noqa: F401
 from tabloom.llm.support import ORACLES, QUERIES  # noqa: F401
