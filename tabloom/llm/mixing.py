@@ -201,7 +201,7 @@ def mix(
     before = (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("b2") < F.col("cut_b2")))
     here = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2")) & (key <= F.col("end"))
     more = F.coalesce(before | F.coalesce(here, F.lit(False)), F.lit(False)).cast("bigint")
-    return rows.join(cuts, "pat").select(
+    return rows.join(F.broadcast(cuts), "pat").select(  # at most MAX_PATTERNS rows
         F.col("__id").alias(id_col), F.col("__src").alias("sources"), F.col("__size").alias("size"), "source_size",
         "target", (F.col("__size") * (F.col("full") + more)).alias("taken"),
         *[F.col(f"__carry.`{c}`").alias(c) for c in carry],

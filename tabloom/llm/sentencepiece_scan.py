@@ -27,6 +27,7 @@ encoded one by one. Input columns are kept; ``ids`` and ``n_tokens`` replace col
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,8 @@ from pyspark.sql import types as T
 from tabloom.llm.support import load, query, stage_table
 
 CHUNK = 1 << 15
-CACHE = 200_000
+CACHE = 300_000
+TOGETHER = 1 << 20
 SPACE = "▁"
 START = -1
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -51,19 +53,14 @@ def default_model() -> str:
 
 
 class _Segments(dict):
-    """Encodings of segments as packed int32, filled on demand."""
+    """Encodings of segments as packed int32; long ones are not kept."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, segment: str) -> bytes:
-        ids = self.model.encode_segment(segment)
-        if len(segment) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[segment] = ids
-        return ids
+        return next(self.model.encode_segments([segment]))
 
 
 class Model:
@@ -130,7 +127,7 @@ class Model:
         """
         last: dict[int, tuple[int, int]] = {start: (state, -1)}
         for end in range(start + 1, min(len(s), stop - 1 + self.longest) + 1):
-            for at in range(max(start, end - self.longest), min(end, stop)):
+            for at in range(min(end, stop) - 1, max(start, end - self.longest) - 1, -1):
                 if at in last and (q := self._piece(s[at:end])) is not None and self.steps_to(last[at][0], q):
                     last[end] = (q, at)
                     break
@@ -148,13 +145,56 @@ class Model:
             end = at
         return out[::-1]
 
-    def encode_segment(self, segment: str) -> bytes:
-        ids = self.trace(segment, self.reach(segment, 0, START, len(segment)), len(segment))
-        return np.array(ids, dtype="<i4").tobytes()
+    def encode_segments(self, segments: list[str]) -> Iterator[bytes]:
+        """Packed ids of sorted segments: as ``reach`` and ``trace``, but neighbours share the paths
+        of their common prefix. The order of the trials is free; last pieces are mostly short.
+        """
+        get, steps, longest = self.id.get, self.steps.get, self.longest
+        before, last, came = "", [START], [0]
+        for segment in segments:
+            shared, most = 0, min(len(before), len(segment))
+            while shared < most and before[shared] == segment[shared]:
+                shared += 1
+            del last[shared + 1 :], came[shared + 1 :]
+            before = segment
+            for end in range(shared + 1, len(segment) + 1):
+                for at in range(end - 1, max(0, end - longest) - 1, -1):
+                    q = get(segment[at:end])
+                    if q is None:
+                        if at != end - 1:
+                            continue
+                        q = -2 - ord(segment[at])
+                    p = last[at]
+                    ok = steps((p, q))
+                    if ok or (ok is None and self.steps_to(p, q)):
+                        break
+                last.append(q)
+                came.append(at)
+            out, end = [], len(segment)
+            while end:
+                q, at = last[end], came[end]
+                if q >= 0:
+                    out.append(q)
+                else:
+                    out += [self.byte_id[b] for b in reversed(segment[at].encode("utf-8", "surrogatepass"))]
+                end = at
+            out.reverse()
+            yield array("i", out).tobytes()
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of some texts, whose new segments are encoded together."""
+        parts = [_SEGMENTS.findall(marked(t)) for t in texts]
+        new = {x for p in parts for x in p if x not in self.segments and len(x) <= 64}
+        if len(self.segments) + len(new) > CACHE:
+            self.segments.clear()
+            new = {x for p in parts for x in p if len(x) <= 64}
+        new = sorted(new)
+        self.segments.update(zip(new, self.encode_segments(new), strict=True))
+        return [b"".join(map(self.segments.__getitem__, p)) for p in parts]
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
-        return b"".join(map(self.segments.__getitem__, _SEGMENTS.findall(marked(text))))
+        return self.encode_texts([text])[0]
 
     def decode(self, ids) -> str:
         text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
@@ -183,11 +223,15 @@ def _encoder(path: str):
         model = model_at(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            packed, sizes = [], []
+            packed, held, chars = [], [], 0
             for x in texts:
-                packed.append(model.encode(x.as_py() or ""))
-                sizes.append(len(packed[-1]) // 4)
-            ids = _lists(b"".join(packed), sizes, texts.is_null().to_pylist())
+                held.append(x.as_py() or "")
+                chars += len(held[-1])
+                if chars >= TOGETHER:
+                    packed += model.encode_texts(held)
+                    held, chars = [], 0
+            packed += model.encode_texts(held)
+            ids = _lists(b"".join(packed), [len(x) // 4 for x in packed], texts.is_null().to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
 
     return run
