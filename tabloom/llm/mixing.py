@@ -154,7 +154,7 @@ def mix(
 ) -> DataFrame:
     """id, sources, size, source_size, target (of the first source by code point) and taken of every row.
 
-    ``sources`` is an array column. ``carry`` names further columns of the input to keep.
+    ``sources`` is an array column. ``carry`` names columns of the input to keep, in the struct ``carried``.
     """
     spark = df.sparkSession
     order = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 63) - 1))
@@ -204,10 +204,17 @@ def mix(
     return rows.join(F.broadcast(cuts), "pat").select(  # at most MAX_PATTERNS rows
         F.col("__id").alias(id_col), F.col("__src").alias("sources"), F.col("__size").alias("size"), "source_size",
         "target", (F.col("__size") * (F.col("full") + more)).alias("taken"),
-        *[F.col(f"__carry.`{c}`").alias(c) for c in carry],
+        *[F.col("__carry").alias("carried")] * bool(carry),
     )
 
 
+def mixed_rows(df: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of the mix with the columns of the input, each as often as it is taken."""
+    found = mix(df, F.array(source_col), word_count(text_of(text_col)), id_col, carry=tuple(df.columns))
+    times = F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))
+    return found.filter("taken > 0").select("carried", F.explode(times)).select("carried.*")
+
+
 @query("op6_mix_sources")
 def op6_mix_sources(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")

@@ -192,21 +192,23 @@ def _signed(mask: int) -> int:
 def links(classes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """Forest of the links between classes (fp, rep): pairs (a, b) of representatives."""
     spark = classes.sparkSession
-    masks = [0]
-    members = classes.withColumn("mask", F.lit(0).cast("bigint"))
+    first = F.array(*[F.lit(_signed(m)).cast("bigint") for m in child_masks(0)])
+    below = classes.select("fp", "rep", F.explode(first).alias("mask"))
     parts = []
-    while masks:
-        kids = [(_signed(m), _signed(k)) for m in masks for k in child_masks(m)]
-        kids = spark.createDataFrame(kids, "mask bigint, kid bigint")  # at most CUTS**6 rows
-        below = members.join(F.broadcast(kids), "mask").select("fp", "rep", F.col("kid").alias("mask"))
+    while True:
         below = below.withColumn("pat", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = below.groupBy("mask", "pat").agg(F.count("*").alias("n")).filter("n > 1")
         below = stage_table(below.join(sizes, ["mask", "pat"]), "gray-nodes")
         nodes = below.filter(F.col("n") <= node_rows).select("mask", "pat", "fp", "rep")
         nodes = nodes.repartition("mask", "pat").sortWithinPartitions("mask", "pat", "fp")
         parts.append(stage_table(nodes.mapInArrow(_search_nodes, "a bigint, b bigint"), "gray-links"))
-        members = below.filter(F.col("n") > node_rows).select("fp", "rep", "mask")
-        masks = [r["mask"] % (1 << 64) for r in members.select("mask").distinct().collect()]
+        large = below.filter(F.col("n") > node_rows).select("fp", "rep", "mask")
+        masks = [r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect()]  # at most CUTS**6
+        if not masks:
+            break
+        kids = [(_signed(m), _signed(k)) for m in masks for k in child_masks(m)]
+        kids = F.broadcast(spark.createDataFrame(kids, "mask bigint, kid bigint"))
+        below = large.join(kids, "mask").select("fp", "rep", F.col("kid").alias("mask"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -229,6 +231,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
 
 
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows but those whose group has a smaller id; rows without an id stay."""
+    gone = near_groups(df, id_col, text_col).filter("doc_id != component_id")
+    return df.join(gone.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(df.columns)
+
+
 @query("op1_simhash")
 def op1_simhash(spark, sf_dir):
     return near_groups(load(spark, sf_dir, "documents"))
