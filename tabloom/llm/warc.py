@@ -239,7 +239,8 @@ def _merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def capture_history(runs: DataFrame, rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures in global order of url_key, time and id: by merge_range, then range_pos."""
     ranges = -(-rows // range_rows) or 1
-    dealt = runs.repartitionByRange(ranges, "url_key", "capture_time", "page_id").sortWithinPartitions("run", "run_pos")
+    order = ["url_key", "capture_time", F.col("page_id").asc_nulls_last()]
+    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("run", "run_pos")
     merged = dealt.mapInArrow(_merge_range, RECORD_SCHEMA + ", range_pos bigint")
     return merged.withColumn("merge_range", F.spark_partition_id())
 
