@@ -65,56 +65,71 @@ def _byte_table(bits: int) -> np.ndarray:
     return _toss(x[:, None], x[None, :])
 
 
-_TOSS_BYTE = _byte_table(8)
-_TOSS_SMALL = np.ascontiguousarray(_TOSS_BYTE[:128, :128])
+_TOSS_BYTE = _byte_table(8).ravel()
+_PLACE = mix(np.arange(64, dtype=np.uint64))
+_BYTE_AT = mix(np.arange(256, dtype=np.uint64)[None, :] ^ _PLACE[:, None]).ravel()
 
 
-def _runs(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Run starts as a mask, and names: the symbol, or a hash with the length if it repeats."""
+def _run_starts(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     begins = np.empty(len(x), dtype=bool)
     begins[0] = True
     np.not_equal(x[1:], x[:-1], out=begins[1:])
     begins |= first
-    at = np.flatnonzero(begins)
-    length = np.diff(np.append(at, len(x)))
-    name = x[at].astype(np.uint64)
-    repeated = length > 1
-    name[repeated] = mix(name[repeated] * _U(31) + mix(length[repeated].astype(np.uint64)))
-    return name, first[at], at
+    return begins
+
+
+def _left(x: np.ndarray, first: np.ndarray, other) -> np.ndarray:
+    """Left neighbours; a text's first symbol has one that differs in bit 0."""
+    left = np.empty_like(x)
+    left[1:] = x[:-1]
+    left[first] = other(x[first])
+    return left
 
 
 def parse_level(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the phrases of adjacent texts, whose first symbols are marked, and the new marks."""
+    """Names of the phrases of adjacent texts, whose first symbols are marked, and the new marks.
+
+    Bytes and names take the same steps; bytes look their hashes up, runs of a byte excepted.
+    """
     plain = x.dtype == np.uint8
-    name, first, at = _runs(x, first)
-    left = np.empty_like(name)
-    left[0], left[1:] = ~name[0], name[:-1]
-    left[first] = ~name[first]  # a text's first symbol has a neighbour that differs in bit 0
+    begins = _run_starts(x, first)
+    at = np.flatnonzero(begins)
+    length = np.diff(np.append(at, len(x)))
+    x, first = x[at], first[at]
+    runs = np.flatnonzero(length > 1)
+    run_name = mix(x[runs].astype(np.uint64) * _U(31) + mix(length[runs].astype(np.uint64)))
     if plain:
-        # Most symbols are bytes: their first toss is a table lookup.
-        byte = x[at]
-        before = np.append(~byte[:1], byte[:-1])
-        before[first] = ~byte[first]
-        label = _TOSS_BYTE[before, byte]
-        odd = np.flatnonzero((left > _U(255)) | (name > _U(255)))
-        label[odd] = _toss(left[odd], name[odd])
+        left = _left(x, first, np.invert)
+        label = _TOSS_BYTE[left.astype(np.uint16) << 8 | x]
+        # Runs and the symbols after them differ from the table's bytes.
+        odd = np.unique(np.concatenate([runs, runs[runs + 1 < len(x)] + 1]))
+        name = x[odd].astype(np.uint64)
+        name[np.searchsorted(odd, runs)] = run_name
+        before = left[odd].astype(np.uint64)
+        after = np.flatnonzero(np.isin(odd - 1, runs, assume_unique=True) & ~first[odd])
+        before[after] = run_name[np.searchsorted(runs, odd[after] - 1)]
+        new = np.flatnonzero(first[odd])
+        before[new] = ~name[new]
+        label[odd] = _toss(before, name)
     else:
-        label = _toss(left, name)
+        x[runs] = run_name
+        label = _toss(_left(x, first, np.invert), x)
     for _ in range(TOSSES - 1):
-        before = np.append(label[:1] ^ np.uint8(1), label[:-1])
-        before[first] = label[first] ^ np.uint8(1)
-        label = _TOSS_SMALL[before, label]
+        left = _left(label, first, lambda v: v ^ np.uint8(1))
+        label = _TOSS_BYTE[left.astype(np.uint16) << 8 | label]
     # Neighbours differ, so maxima are strict; a text's ends count as lower.
-    above_left = np.append(True, label[1:] > label[:-1]) | first
-    last = np.append(first[1:], True)
-    above_right = np.append(label[:-1] > label[1:], True) | last
-    begins = (above_left & above_right) | first
-    start = np.flatnonzero(begins)
-    size = np.diff(np.append(start, len(name)))
-    place = np.arange(len(name)) - np.repeat(start, size)
-    # A sum of hashes of (symbol, place) names the sequence.
-    phrase = np.add.reduceat(mix(name ^ mix(place.astype(np.uint64))), start)
-    return mix(phrase + size.astype(np.uint64)), first[start]
+    rises = np.append(True, label[1:] > label[:-1]) | first
+    falls = np.append(label[:-1] > label[1:], True) | np.append(first[1:], True)
+    start = np.flatnonzero((rises & falls) | first)
+    size = np.diff(np.append(start, len(x)))
+    place = np.arange(len(x), dtype=np.int32) - np.repeat(start, size).astype(np.int32)
+    # A sum of hashes of (symbol, place) names the sequence. Labels have few values, so phrases are short.
+    if plain:
+        part = _BYTE_AT[place << 8 | x]
+        part[runs] = mix(run_name ^ _PLACE[place[runs]])
+    else:
+        part = mix(x ^ _PLACE[place])
+    return mix(np.add.reduceat(part, start) + size.astype(np.uint64)), first[start]
 
 
 def signatures(texts: list[bytes], level: int = LEVEL, width: int = WIDTH) -> list[np.ndarray]:
@@ -143,7 +158,8 @@ def signatures(texts: list[bytes], level: int = LEVEL, width: int = WIDTH) -> li
         if not len(x):
             break
     hashed = (mix(np.concatenate(names)) >> _U(32)).astype(np.uint64) | np.concatenate(owners).astype(np.uint64) << _U(32)
-    hashed = np.unique(hashed)
+    hashed.sort()
+    hashed = hashed[np.append(True, hashed[1:] != hashed[:-1])]
     of = (hashed >> _U(32)).astype(np.int64)
     starts = np.searchsorted(of, filled)
     ends = np.searchsorted(of, filled, side="right")
