@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
 from tabloom.operators import aggregate, encoders
+from tabloom.operators.project import present
 from tabloom.operators.quantiles import exact_quantiles, quantile_name
 from tabloom.session import one_row
 
@@ -30,7 +31,7 @@ class MedianImputer:
 
     def apply(self, df: DataFrame) -> DataFrame:
         p = one_row(self.params)
-        return df.withColumns({c: F.coalesce(F.col(c), p[c]) for c in self.cols})
+        return df.withColumns({c: F.coalesce(present(df, c), p[c]) for c in self.cols})
 
 
 @dataclass
@@ -39,12 +40,12 @@ class ModeImputer:
     params: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> ModeImputer:
-        self.params = encoders.most_frequent(df, self.cols)
+        self.params = encoders.most_frequent(df.withColumns({c: present(df, c) for c in self.cols}), self.cols)
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:
         p = one_row(self.params)
-        return df.withColumns({c: F.coalesce(F.col(c), p[c]) for c in self.cols})
+        return df.withColumns({c: F.coalesce(present(df, c), p[c]) for c in self.cols})
 
 
 def fill_constant(df: DataFrame, values: dict) -> DataFrame:

@@ -93,39 +93,34 @@ def unseen_to(df: DataFrame, col: str, vocabulary: DataFrame, sentinel: str) ->
     )
 
 
+def present(df: DataFrame, col: str) -> Column:
+    """The cell, with NaN as null."""
+    c = F.col(col)
+    kind = df.schema[col].dataType
+    return F.nanvl(c, F.lit(None).cast(kind)) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
+
+
 def bad_cells(df: DataFrame) -> DataFrame:
     """Null and NaN counts per column in one pass."""
-    def is_bad(f: T.StructField) -> Column:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            return c.isNull() | F.isnan(c)
-        return c.isNull()
-
-    counts = df.agg(*[F.count_if(is_bad(f)).alias(f.name) for f in df.schema.fields])
+    counts = df.agg(*[F.count_if(present(df, c).isNull()).alias(c) for c in df.columns])
     return counts.unpivot([], list(df.columns), "column", "bad")
 
 
 def require_clean(df: DataFrame) -> DataFrame:
     """The table itself; the job fails when any row holds a null or NaN."""
     bad = None
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        one = c.isNull()
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            one = one | F.isnan(c)
+    for c in df.columns:
+        one = present(df, c).isNull()
         bad = one if bad is None else bad | one
     guard = F.when(bad, F.raise_error(F.lit("null or NaN in a required table"))).otherwise(F.lit(True))
     return df.filter(guard)
 
 
 def missing_cells(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """One row per missing cell: key, column and the label ``<key>-<column>``."""
-    long = df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [key], list(cols), "column", "value"
-    )
-    return long.filter(F.col("value").isNull()).select(
-        key, "column", F.concat_ws("-", F.col(key).cast("string"), "column").alias("cell")
-    )
+    """One row per missing cell (null or NaN): key, column and the label ``<key>-<column>``."""
+    gaps = [F.when(present(df, c).isNull(), F.lit(c)) for c in cols]
+    long = df.select(key, F.explode(F.array_compact(F.array(*gaps))).alias("column"))
+    return long.select(key, "column", F.concat_ws("-", F.col(key).cast("string"), "column").alias("cell"))
 
 
 def shift(col: Column, by: int) -> Column:

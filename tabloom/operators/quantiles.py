@@ -1,151 +1,75 @@
-"""Exact interpolated quantiles without an unbounded aggregation buffer.
+"""Exact quantiles from counts per value and running counts.
 
-Spark's ``percentile`` holds one entry per distinct value of a group in a single buffer, so
-it is used only where a sketch finds few distinct values. Other groups go through a narrowing
-search: each pass is one hash aggregate that counts the rows of a fixed number of equal
-slices of the current interval, so a task and the driver hold at most SLICES entries per
-target whatever the size of the data.
+Equal values collapse before the shuffle. Running counts along the values, in blocks (see
+``running``), give the rank of every value, and the values at the wanted ranks are picked by one
+aggregate with map-side partials. Nothing is sorted in one task or collected, whatever the number of
+values, columns or groups and however the rows spread over the groups.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_VALUES = 100_000
-SLICES = 4096
-MAX_HOT_GROUPS = 10_000
+from tabloom.operators.running import running_totals
 
 
 def quantile_name(col: str, i: int) -> str:
     return f"{col}__q{i}"
 
 
-def _direct(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    aggs = []
-    for c in cols:
-        aggs += [F.percentile(F.col(c).cast("double"), p).alias(quantile_name(c, i)) for i, p in enumerate(probs)]
-    return df.groupBy(*by).agg(*aggs)
+def _ranked(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per distinct (keys, value): n, upto (rows to its end) and rows (of the keys). Null values count 0."""
+    counts = values.groupBy(*keys, "value").agg(F.count("value").alias("n"))
+    ranked = running_totals(counts, ["value"], {"upto": F.col("n")}, keys)
+    if not keys:
+        return ranked.withColumn("rows", counts.agg(F.sum("n").alias("m")).scalar())
+    rows = counts.groupBy(*[F.col(k).alias(f"__r_{k}") for k in keys]).agg(F.sum("n").alias("rows"))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return ranked.join(rows, match).drop(*[f"__r_{k}" for k in keys])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    direct_values: int = DIRECT_VALUES,
-) -> DataFrame:
-    """One row per group with ``<col>__q<i>`` for every column and probability."""
+def _at_rank(rank: Column, among: Column | None = None) -> Column:
+    """The value at a rank from 0, inside an aggregate over ranked values."""
+    here = F.col("upto") > rank
+    return F.min(F.when(here if among is None else here & among, F.col("value")))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with ``<col>__q<i>`` for every column and probability, interpolated.
+
+    NaN counts as missing. A group without values has null quantiles.
+    """
     cols, probs, by = list(cols), list(probs), list(by)
-    df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if not by:
-        stats = df.agg(*_stats(cols)).first()
-        if all(stats[c]["values"] <= direct_values for c in cols):
-            return _direct(df, cols, probs, by)
-        return _narrowed(df, cols, probs, stats)
-
-    big = F.lit(False)
-    for c in cols:
-        big = big | (F.col(c)["values"] > direct_values)
-    hot = df.groupBy(*by).agg(*_stats(cols)).filter(big).limit(MAX_HOT_GROUPS + 1).collect()
-    if not hot:
-        return _direct(df, cols, probs, by)
-    if len(hot) > MAX_HOT_GROUPS:
-        raise ValueError("too many oversized groups; raise direct_values")
-    # Groups above the limit number at most rows / direct_values; each gets its own search,
-    # the others share one aggregate.
-    is_hot = None
-    parts = []
-    for row in hot:
-        member = None
-        for k in by:
-            same = F.col(k).eqNullSafe(F.lit(row[k]))
-            member = same if member is None else member & same
-        is_hot = member if is_hot is None else is_hot | member
-        found = _narrowed(df.filter(member).select(*cols), cols, probs, row)
-        parts.append(found.select(*[F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in by], "*"))
-    out = _direct(df.filter(~is_hot), cols, probs, by)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
-def _stats(cols: Sequence[str]) -> list[Column]:
-    """Rows, ends and an estimate of the distinct values per column."""
-    return [
-        F.struct(
-            F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.approx_count_distinct(c).alias("values")
-        ).alias(c)
-        for c in cols
-    ]
-
-
-def _slice_of(x: Column, low: float, high: float) -> Column:
-    """Monotone slice number; halves keep the span finite for huge ranges."""
-    span = high / 2 - low / 2
-    raw = F.floor((x / 2 - F.lit(low / 2)) / F.lit(span) * F.lit(float(SLICES)))
-    return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), raw)).cast("int")
-
-
-def _narrowed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bounds) -> DataFrame:
-    spark = df.sparkSession
-    # A target is one order statistic (rank from 0) of one column.
-    targets: dict[tuple[str, int], dict] = {}
-    for c in cols:
-        n = bounds[c]["n"]
-        for p in probs:
-            if n:
-                pos = p * (n - 1)
-                for rank in {math.floor(pos), math.ceil(pos)}:
-                    targets[(c, rank)] = {"lo": bounds[c]["lo"], "hi": bounds[c]["hi"], "below": 0}
-    while True:
-        open_targets = {k: t for k, t in targets.items() if t["lo"] != t["hi"]}
-        if not open_targets:
-            break
-        # Targets of one column that share an interval share its histogram.
-        intervals = sorted({(c, t["lo"], t["hi"]) for (c, _), t in open_targets.items()})
-        kinds = [
-            F.when(
-                F.col(c).between(lo, hi),
-                F.struct(F.lit(i).alias("iv"), _slice_of(F.col(c), lo, hi).alias("slice"), F.col(c).alias("x")),
-            )
-            for i, (c, lo, hi) in enumerate(intervals)
-        ]
-        hist = (
-            df.select(F.explode(F.array_compact(F.array(*kinds))).alias("s"))
-            .groupBy("s.iv", "s.slice")
-            .agg(F.count("*").alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
-            .collect()
-        )
-        slices: dict[int, list] = {}
-        for row in hist:
-            slices.setdefault(row["iv"], []).append(row)
-        for i, (c, lo, hi) in enumerate(intervals):
-            ordered = sorted(slices[i], key=lambda r: r["slice"])
-            for (tc, rank), t in open_targets.items():
-                if (tc, t["lo"], t["hi"]) != (c, lo, hi):
-                    continue
-                below = t["below"]
-                for row in ordered:
-                    if rank < below + row["n"]:
-                        targets[(tc, rank)] = {"lo": row["lo"], "hi": row["hi"], "below": below}
-                        break
-                    below += row["n"]
-    values = []
-    names = []
-    for c in cols:
-        n = bounds[c]["n"]
-        for i, p in enumerate(probs):
-            value = None
-            if n:
-                pos = p * (n - 1)
-                low, high = math.floor(pos), math.ceil(pos)
-                a, b = targets[(c, low)]["lo"], targets[(c, high)]["lo"]
-                value = a if low == high else (high - pos) * a + (pos - low) * b
-            values.append(value)
-            names.append(quantile_name(c, i))
-    schema = ", ".join(f"`{x}` double" for x in names)
-    return spark.createDataFrame([tuple(values)], schema)
+    clean = {c: F.col(c).cast("double") for c in cols}
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("__col"), F.nanvl(clean[c], F.lit(None)).alias("value")) for i, c in enumerate(cols)])
+    )
+    long = df.select(*by, cells.alias("__cell")).select(*by, "__cell.*")
+    ranked = _ranked(long, [*by, "__col"])
+    out = []
+    for i, c in enumerate(cols):
+        own = F.col("__col") == i
+        for k, p in enumerate(probs):
+            pos = F.lit(float(p)) * (F.col("rows") - 1)
+            low, high = F.floor(pos), F.ceil(pos)
+            # Position, and the values at its two ends.
+            at = F.max(F.when(own, pos))
+            a, b = _at_rank(low, own), _at_rank(high, own)
+            up = F.ceil(at) - at
+            value = F.when(F.floor(at) == F.ceil(at), a).otherwise(up * a + (at - F.floor(at)) * b)
+            out.append(value.alias(quantile_name(c, k)))
+    return ranked.groupBy(*by).agg(*out)
+
+
+def value_at_rank(df: DataFrame, col: str, rank: Column) -> DataFrame:
+    """One row with ``value``: the order statistic at a rank from 0, in the column's own type.
+
+    ``rank`` may use ``rows``, the number of values.
+    """
+    ranked = _ranked(df.select(F.col(col).alias("value")), [])
+    return ranked.agg(_at_rank(rank).alias("value"))

@@ -1,15 +1,14 @@
 """Running totals and row numbers over a global or hot order.
 
 A window without partition keys, or with one key that holds a third of the rows, puts its
-rows into one task. Above a checked row count the table is range-partitioned by the order into
-blocks of bounded size and written once, so that every later step sees the same blocks. A
-window then runs inside each (key, block), and the totals of the earlier blocks, a small table
-of one row per key and block, are added by an equi-join on the same keys.
+rows into one task. So the table is range-partitioned by the order into a fixed number of
+blocks and written once, so that every later step sees the same blocks. A window then
+runs inside each (key, block), and the totals of the earlier blocks, a small table of at most one
+row per key and block, are added by an equi-join on the same keys. There is one path for all sizes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +16,6 @@ from pyspark.sql import functions as F
 
 from tabloom.session import cut_lineage
 
-SINGLE_WINDOW_ROWS = 1_000_000
-BLOCK_ROWS = 1_000_000
-
 
 def running_totals(
     df: DataFrame,
@@ -27,28 +23,21 @@ def running_totals(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     inclusive: bool = True,
-    at_most: int | None = None,
-    single_window_rows: int = SINGLE_WINDOW_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Add one running sum per entry of ``sums`` along ``order`` within ``by``.
 
     ``order`` must identify a row within ``by``. With ``inclusive=False`` the sum covers the
-    earlier rows only and is 0 for the first one. ``at_most`` is a known bound on the rows,
-    such as a limit, and saves counting them.
+    earlier rows only and is 0 for the first one. ``blocks`` is the number of range partitions,
+    by default ``spark.sql.shuffle.partitions``.
     """
     order, by = list(order), list(by)
-    df = df.withColumns({f"__v_{n}": e for n, e in sums.items()})
-    rows = df.count() if at_most is None else at_most
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = Window.currentRow if inclusive else -1
     zero = F.lit(0)
-    if rows <= single_window_rows:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        out = df.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(w), zero) for n in sums})
-        return out.drop(*[f"__v_{n}" for n in sums])
 
     # Keys follow the order in the range, so equal order values of many keys are split as well.
-    blocks = math.ceil(rows / block_rows)
+    df = df.withColumns({f"__v_{n}": e for n, e in sums.items()})
     ranged = df.repartitionByRange(blocks, *order, *by).withColumn("__block", F.spark_partition_id())
     df = cut_lineage(ranged, "blocks")
     totals = df.groupBy(*by, "__block").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])

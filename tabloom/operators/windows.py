@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
-from tabloom.operators.quantiles import exact_quantiles, quantile_name
+from tabloom.operators.project import present
+from tabloom.operators.quantiles import exact_quantiles, quantile_name, value_at_rank
 from tabloom.operators.running import row_numbers, running_totals
 from tabloom.session import one_row
 
@@ -36,7 +37,7 @@ def group_median_fill(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
         match = same if match is None else match & same
     return (
         df.join(local, match, "left")
-        .withColumn(col, F.coalesce(F.col(col), F.col("__median"), overall))
+        .withColumn(col, F.coalesce(present(df, col), F.col("__median"), overall))
         .drop("__median", *[f"__k_{k}" for k in by])
     )
 
@@ -68,24 +69,24 @@ def target_statistics(df: DataFrame, cat: str, target: str, prior_weight: float
 
 
 def cut_at_quantile(df: DataFrame, col: Column, share: float, name: str = "part") -> DataFrame:
-    """``train`` below the quantile of ``col``, ``valid`` from it on; no global sort."""
-    keyed = df.withColumn("__cut", col.cast("double"))
-    cut = one_row(exact_quantiles(keyed, ["__cut"], [share]))[quantile_name("__cut", 0)]
+    """``train`` below the quantile of ``col``, ``valid`` from it on; no global sort.
+
+    A quantile between two values separates them like the upper one, so the cut is a value of
+    the column, in its own type.
+    """
+    keyed = df.withColumn("__cut", col)
+    cut = value_at_rank(keyed, "__cut", F.ceil(F.lit(float(share)) * (F.col("rows") - 1))).scalar()
     return keyed.withColumn(name, F.when(F.col("__cut") < cut, "train").otherwise("valid")).drop("__cut")
 
 
 def tail_split(df: DataFrame, key: str, share: float = 0.2, name: str = "part") -> DataFrame:
-    """The last ``floor(share * rows)`` rows by a unique numeric key are ``valid``.
+    """The last ``floor(share * rows)`` rows by a unique key are ``valid``.
 
     The boundary is one order statistic of the key, found without sorting the table.
     """
-    n = df.agg(F.count(key).alias("n")).first()["n"]
-    tail = int(share * n)
-    if not tail:
-        return df.withColumn(name, F.lit("train"))
-    cut = exact_quantiles(df, [key], [(n - tail) / (n - 1) if n > 1 else 0.0])
-    first_valid = F.round(one_row(cut)[quantile_name(key, 0)])
-    return df.withColumn(name, F.when(F.col(key) < first_valid, "train").otherwise("valid"))
+    first = F.col("rows") - F.floor(F.lit(float(share)) * F.col("rows"))
+    cut = value_at_rank(df, key, first).scalar()  # null if no row is left for the tail
+    return df.withColumn(name, F.when(F.col(key) >= cut, "valid").otherwise("train"))
 
 
 def stratified_split(

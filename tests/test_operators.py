@@ -12,23 +12,58 @@ from tabloom.operators.quantiles import exact_quantiles
 from tabloom.operators.running import row_numbers, running_totals
 
 
-def test_quantiles_large_path_equals_direct(spark):
+def _interpolated(values, p):
+    values = sorted(values)
+    pos = p * (len(values) - 1)
+    low, high = math.floor(pos), math.ceil(pos)
+    return values[low] if low == high else (high - pos) * values[low] + (pos - low) * values[high]
+
+
+def test_quantiles_against_sorting(spark):
     rng = np.random.default_rng(5)
-    rows = [(float(x), float(y), int(g)) for x, y, g in zip(rng.normal(size=4000) * 1e6, rng.integers(0, 4, 4000), rng.integers(0, 3, 4000))]
-    rows += [(None, 1.0, 7), (1e300, 2.0, 0), (-1e300, 3.0, 1)]
+    nan, inf = float("nan"), float("inf")
+    # Group 0 holds 90 % of the rows.
+    rows = [(float(x), float(y), int(g == 9)) for x, y, g in zip(rng.normal(size=4000) * 1e6, rng.integers(0, 4, 4000), rng.integers(0, 10, 4000))]
+    rows += [(None, 1.0, 7), (1e300, 2.0, 0), (-1e300, 3.0, 1), (nan, nan, 0), (inf, 5.0, 0), (-inf, -inf, 1), (nan, 2.0, None)]
     df = spark.createDataFrame(rows, "x double, y double, g int")
     probs = [0.0, 0.25, 0.5, 0.8, 1.0]
-    assert exact_quantiles(df, ["x", "y"], probs, direct_values=10).collect() == exact_quantiles(df, ["x", "y"], probs).collect()
-    a = sorted(exact_quantiles(df, ["x"], [0.5], ["g"], direct_values=100).collect())
-    assert a == sorted(exact_quantiles(df, ["x"], [0.5], ["g"]).collect())
+
+    def known(i, of):
+        return [r[i] for r in rows if r[i] is not None and not math.isnan(r[i]) and of(r)]
+
+    got = exact_quantiles(df, ["x", "y"], probs).first()
+    assert list(got) == [_interpolated(known(i, lambda r: True), p) for i in (0, 1) for p in probs]
+    by = {r["g"]: (r["x__q0"], r["y__q0"]) for r in exact_quantiles(df, ["x", "y"], [0.3], ["g"]).collect()}
+    assert by.keys() == {0, 1, 7, None} and by[7] == (None, 1.0) and by[None] == (None, 2.0)
+    for g in (0, 1):
+        assert by[g] == tuple(_interpolated(known(i, lambda r: r[2] == g), 0.3) for i in (0, 1))
 
 
 def test_quantile_of_empty_and_all_null(spark):
-    df = spark.createDataFrame([(None,), (None,)], "x double")
-    assert exact_quantiles(df, ["x"], [0.5], direct_values=-1).first()[0] is None
+    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert exact_quantiles(df, ["x"], [0.5]).first()[0] is None
     assert exact_quantiles(df.limit(0), ["x"], [0.5]).first()[0] is None
 
 
+def test_splits_keep_large_keys_apart(spark):
+    df = spark.range(10).select((F.col("id") + (1 << 53)).alias("id"))
+    got = {r.id - (1 << 53): r.part for r in windows.tail_split(df, "id").collect()}
+    assert [i for i, p in got.items() if p == "valid"] == [8, 9]
+    got = {r.id - (1 << 53): r.part for r in windows.cut_at_quantile(df, F.col("id"), 0.75).collect()}
+    assert sorted(i for i, p in got.items() if p == "valid") == [7, 8, 9]
+
+
+def test_imputers_treat_nan_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, "a"), (nan, "a"), (None, None), (5.0, "b")], "x double, c string")
+    filled = features.MedianImputer(["x"]).fit(df).apply(df)
+    assert sorted(r.x for r in filled.collect()) == [1.0, 3.0, 3.0, 5.0]
+    modes = spark.createDataFrame([(nan,), (nan,), (2.0,), (None,)], "x double")
+    assert {r.x for r in features.ModeImputer(["x"]).fit(modes).apply(modes).collect()} == {2.0}
+    cells = project.missing_cells(df.withColumn("id", F.monotonically_increasing_id()), "id", ["x", "c"]).collect()
+    assert sorted(r["column"] for r in cells) == ["c", "x", "x"]
+
+
 def test_running_totals_blocks_equal_window(spark):
     # One key holds most rows and all of them share one order value.
     df = spark.range(3000).select(
@@ -38,10 +73,10 @@ def test_running_totals_blocks_equal_window(spark):
     for inclusive in (True, False):
         args = (["day", "id"], {"s": F.col("v")}, ["k"], inclusive)
         small = running_totals(df, *args)
-        large = running_totals(df, *args, single_window_rows=10, block_rows=100)
+        large = running_totals(df, *args, blocks=13)
         assert sorted(small.collect()) == sorted(large.select(small.columns).collect())
     a = row_numbers(df, ["id"], "n")
-    b = row_numbers(df, ["id"], "n", single_window_rows=10, block_rows=100)
+    b = row_numbers(df, ["id"], "n", blocks=13)
     assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
 
 
@@ -135,7 +170,7 @@ def test_single_class_metrics(spark):
 def test_auc_large_path(spark):
     df = spark.range(500).select((F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") * 37 % 101 / 10).alias("s"))
     a = metrics.auc(df, F.col("y"), F.col("s")).first()[0]
-    b = metrics.auc(df, F.col("y"), F.col("s"), single_window_rows=5, block_rows=10).first()[0]
+    b = metrics.auc(df, F.col("y"), F.col("s"), blocks=3).first()[0]
     rows = df.collect()
     pos, neg = [r.s for r in rows if r.y], [r.s for r in rows if not r.y]
     want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
@@ -145,7 +180,7 @@ def test_auc_large_path(spark):
 def test_stratified_split_sizes(spark):
     df = spark.range(1000).withColumn("c", F.when(F.col("id") < 900, 0).otherwise(1))
     a = windows.stratified_split(df, "id", "c")
-    b = windows.stratified_split(df, "id", "c", single_window_rows=10, block_rows=64)
+    b = windows.stratified_split(df, "id", "c", blocks=5)
     assert sorted(a.select("id", "part").collect()) == sorted(b.select("id", "part").collect())
     sizes = {(r["c"], r["part"]): r["count"] for r in a.groupBy("c", "part").count().collect()}
     assert sizes == {(0, "valid"): 180, (0, "train"): 720, (1, "valid"): 20, (1, "train"): 80}
