@@ -5,11 +5,13 @@ caller marks, a calibration fold excepted). Lower orders count the different byt
 sequence. Three discounts per order come from the counts of counts. All tables are Spark
 tables keyed by (language, sequence); they grow with the trusted text and are never collected.
 
-Scoring joins sharded tables: documents are dealt to blocks of one language and about BLOCK_BYTES of
-text. A block states the distinct sequences it holds; the distinct sequences of all blocks
-are joined with the shards of counts, highest order first, then the next lower one times the escape
-weight of the context; every block gets its costs back and sums them over its documents. The
-perplexity is 2 ** (mean bits per byte).
+Scoring joins sharded tables: documents travel once, in compressed packs, to blocks of one language
+and at most about BLOCK_BYTES of text. A block states the distinct sequences it holds; the
+distinct sequences of all blocks are joined with the shards of counts, highest order first, then
+the next lower one times the escape weight of the context; every block gets its costs back and
+sums them over its documents. The perplexity is 2 ** (mean bits per byte).
+
+Trusted ids are broadcast if they number at most BROADCAST_IDS, else joined by a shuffle.
 
 A language's threshold is the QUANTILE of the perplexities of its calibration documents (trusted,
 but not counted), times MARGIN, so that clean text stays. A document is rejected if its code is
@@ -23,6 +25,8 @@ one. An empty table gives no rows. Other columns are carried through ``kept_rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +37,10 @@ from tabloom.llm.language_id import code_bytes, grams
 from tabloom.llm.support import fold, load, query, stage_table
 
 ORDER = 4
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 PART_BYTES = 1 << 20
+HELD_BYTES = 16 << 20
+BROADCAST_IDS = 2_000_000
 QUANTILE, MARGIN = 0.975, 1.35
 EVIDENCE_BITS = 32.0
 FOLDS = 5
@@ -141,31 +147,73 @@ def resolve(wanted: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> Dat
     return rows.filter(F.col("e1").isNotNull()).select("lang", "gram", (-F.log2(p)).alias("bits"))
 
 
-def _wanted(table: pa.Table) -> pa.Table:
-    gram, _ = _distinct(table.column("t"))
-    lang, salt = table.column("lang")[0].as_py(), table.column("salt")[0].as_py()
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block together in one compressed value; nothing waits beyond HELD_BYTES."""
+    held: dict[tuple[int, int], list[pa.RecordBatch]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        packs = []
+        for parts in held.values():
+            sink = pa.BufferOutputStream()
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole)
+            packs.append(sink.getvalue().to_pybytes())
+        columns = [pa.array([k for k, _ in held], pa.int64()), pa.array([s for _, s in held], pa.int32()), pa.array(packs, pa.binary())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "salt", "pack"])
+
+    for batch in batches:
+        for part in (batch.slice(s, 1000) for s in range(0, batch.num_rows, 1000)):
+            keys = np.stack([part.column("lang").to_numpy(), part.column("salt").to_numpy()], axis=1)
+            found, at = np.unique(keys, axis=0, return_inverse=True)
+            row = part.drop_columns(["lang", "salt"])
+            for k, key in enumerate(found.tolist()):
+                held.setdefault((key[0], key[1]), []).append(row.filter(pa.array(at.ravel() == k)))
+            size += part.nbytes
+            if size >= HELD_BYTES:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def _unpacked(packs: pa.Table) -> Iterator[pa.Table]:
+    for pack in packs.column("pack"):
+        with pa.ipc.open_stream(pack.as_buffer()) as stream:
+            yield stream.read_all()
+
+
+def _wanted(packs: pa.Table) -> pa.Table:
+    gram = np.unique(np.concatenate([_distinct(t.column("t"))[0] for t in _unpacked(packs)]))
+    lang, salt = packs.column("lang")[0].as_py(), packs.column("salt")[0].as_py()
     return pa.table(
         {"lang": pa.array(np.full(len(gram), lang)), "salt": pa.array(np.full(len(gram), salt), pa.int32()), "gram": pa.array(gram)}
     )
 
 
-def _score(docs: pa.Table, costs: pa.Table) -> pa.Table:
-    bits_per_byte = np.full(docs.num_rows, np.nan)
-    if docs.num_rows and costs.num_rows:
-        gram, bits = costs.column("gram").to_numpy(), costs.column("bits").to_numpy()
-        order = np.argsort(gram)
-        gram, bits = gram[order], bits[order]
+def _score(packs: pa.Table, costs: pa.Table) -> pa.Table:
+    gram, bits = costs.column("gram").to_numpy(), costs.column("bits").to_numpy()
+    order = np.argsort(gram)
+    gram, bits = gram[order], bits[order]
+    scored = []
+    for docs in _unpacked(packs):
+        total, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows, dtype=np.int64)
         for start, part in _parts(docs.column("t")):
             filled = [i for i, t in enumerate(part) if t]
-            if filled:
+            if not filled:
+                continue
+            own = np.array([len(part[i]) for i in filled])
+            size[start + np.array(filled)] = own
+            if len(gram):
                 cost = bits[np.searchsorted(gram, np.concatenate([grams(part[i]) for i in filled]))]
-                sizes = np.array([len(part[i]) for i in filled])
-                total = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                bits_per_byte[start + np.array(filled)] = total / sizes
-    found = pa.array(np.exp2(bits_per_byte), mask=np.isnan(bits_per_byte))
-    size = pa.array([len(code_bytes(t.as_py() or "")) for t in docs.column("t")], pa.int64())
-    docs = docs.select(["__in", "__lang", "calibrates"])
-    return docs.append_column("perplexity", found).append_column("bytes", size)
+                total[start + np.array(filled)] = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(own)[:-1]]))
+        known = (size > 0) & (len(gram) > 0)
+        perplexity = pa.array(np.exp2(total / np.maximum(size, 1)), mask=~known)
+        docs = docs.select(["__in", "__lang", "calibrates"])
+        scored.append(docs.append_column("perplexity", perplexity).append_column("bytes", pa.array(size)))
+    return pa.concat_tables(scored)
 
 
 def perplexities(
@@ -182,25 +230,24 @@ def perplexities(
         _language(F.col(lang_col)).alias("lang"), text.alias("t"), fold(F.col(id_col), FOLDS).alias("fold"),
     )
     known = trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("trusted")).distinct()
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("t")).alias("n"))
-    sizes = sizes.select("lang", F.ceil(F.coalesce(F.col("n"), F.lit(0)) / BLOCK_BYTES + 1e-9).cast("int").alias("salts"))
-    rows = rows.join(known, "__id", "left").join(sizes, "lang")
-    rows = rows.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    if known.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    text_bytes = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    salts = -(-text_bytes // BLOCK_BYTES) or 1
+    rows = rows.join(known, "__id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     calibrates = F.col("trusted") & (F.col("fold") == 0)
     tables = train(rows.filter(F.col("trusted") & (F.col("fold") != 0) & (F.length("t") > 0)).select("lang", "t"))
 
-    salt = F.pmod(F.xxhash64("__id", F.length("t")), F.col("salts")).cast("int")
-    blocks = rows.select("__in", "__lang", "lang", salt.alias("salt"), "t", calibrates.alias("calibrates"))
+    salt = F.pmod(F.xxhash64("__id", F.length("t")), F.lit(salts)).cast("int")
+    docs = rows.select("__in", "__lang", "lang", salt.alias("salt"), "t", calibrates.alias("calibrates"))
+    blocks = docs.mapInArrow(_pack_batches, "lang bigint, salt int, pack binary").repartition("lang", "salt")
     wanted = blocks.groupBy("lang", "salt").applyInArrow(_wanted, "lang bigint, salt int, gram bigint")
     costs = resolve(wanted.select("lang", "gram").distinct(), tables)
-    answers = wanted.join(costs, ["lang", "gram"]).select("lang", "salt", "gram", "bits")
-    schema = T.StructType(
-        [
-            blocks.schema["__in"], blocks.schema["__lang"], blocks.schema["calibrates"],
-            T.StructField("perplexity", T.DoubleType()), T.StructField("bytes", T.LongType()),
-        ]
-    )
-    scored = blocks.groupBy("lang", "salt").cogroup(answers.groupBy("lang", "salt")).applyInArrow(_score, schema)
+    answers = wanted.join(costs, ["lang", "gram"]).select("lang", "salt", "gram", F.col("bits").cast("float").alias("bits"))
+    fields = [docs.schema["__in"], docs.schema["__lang"], docs.schema["calibrates"]]
+    fields += [T.StructField("perplexity", T.DoubleType()), T.StructField("bytes", T.LongType())]
+    both = blocks.groupBy("lang", "salt").cogroup(answers.groupBy("lang", "salt"))
+    scored = both.applyInArrow(_score, T.StructType(fields))
     return stage_table(scored, "perplexities")
 
 

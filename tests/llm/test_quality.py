@@ -71,7 +71,7 @@ def test_perplexity_matches_the_definition(spark):
         plain = _Plain([r[1] for r in rows if r[2] == lang and r[0] < 40 and folds[r[0]]])
         for r in rows:
             if r[2] == lang:
-                assert math.isclose(got[r[0]]["perplexity"], plain.perplexity(r[1]), rel_tol=1e-6), r
+                assert math.isclose(got[r[0]]["perplexity"], plain.perplexity(r[1]), rel_tol=1e-5), r
     assert got[61]["perplexity"] is None and got[61]["kept"]
     assert not got[60]["kept"]
     assert sum(not got[i]["kept"] for i in range(60)) == 0
