@@ -39,11 +39,12 @@ from pyspark.sql import types as T
 from tabloom.llm.support import load, query, stage_table
 
 CHUNK = 1 << 15
-CACHE = 300_000
+CACHE = 200_000
 TOGETHER = 1 << 20
 SPACE = "▁"
 START = -1
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_BREAK = re.compile(f"[^{SPACE}](?={SPACE})")
 
 
 def default_model() -> str:
@@ -181,9 +182,9 @@ class Model:
             out.reverse()
             yield array("i", out).tobytes()
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of some texts, whose new segments are encoded together."""
-        parts = [_SEGMENTS.findall(marked(t)) for t in texts]
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of marked texts that begin and end at segment ends; new segments are encoded together."""
+        parts = [_SEGMENTS.findall(t) for t in texts]
         new = {x for p in parts for x in p if x not in self.segments and len(x) <= 64}
         if len(self.segments) + len(new) > CACHE:
             self.segments.clear()
@@ -192,6 +193,10 @@ class Model:
         self.segments.update(zip(new, self.encode_segments(new), strict=True))
         return [b"".join(map(self.segments.__getitem__, p)) for p in parts]
 
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        return self.encode_marked([marked(t) for t in texts])
+
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
         return self.encode_texts([text])[0]
@@ -215,24 +220,37 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def readable(text: str) -> str:
+    """What decoding gives back: U+2581 reads as a space."""
+    return text.replace(SPACE, " ")
+
+
 # --- whole texts -----------------------------------------------------------------------------
 
 
 def _encoder(path: str):
+    """Ids of the last column, and whether they decode to it; small batches leave early."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
+
+        def finish(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            packed = model.encode_texts([t or "" for t in texts])
+            nulls = [t is None for t in texts]
+            ids = _lists(b"".join(packed), [len(x) // 4 for x in packed], nulls)
+            same = [t is None or model.decode(memoryview(x).cast("i")) == readable(t) for t, x in zip(texts, packed, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array(same)], names=[*batch.schema.names[:-1], "ids", "same"])
+
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            packed, held, chars = [], [], 0
-            for x in texts:
-                held.append(x.as_py() or "")
-                chars += len(held[-1])
+            start, texts, chars = 0, [], 0
+            for i, x in enumerate(batch.column(batch.num_columns - 1)):
+                texts.append(x.as_py())
+                chars += len(texts[-1] or "")
                 if chars >= TOGETHER:
-                    packed += model.encode_texts(held)
-                    held, chars = [], 0
-            packed += model.encode_texts(held)
-            ids = _lists(b"".join(packed), [len(x) // 4 for x in packed], texts.is_null().to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
+                    yield finish(batch.slice(start, len(texts)), texts)
+                    start, texts, chars = i + 1, [], 0
+            if texts:
+                yield finish(batch.slice(start), texts)
 
     return run
 
@@ -278,20 +296,55 @@ def states_at(model: Model, s: str, cut: int) -> list[tuple[int, int]]:
     return found
 
 
+def _segment_starts(s: str, start: int, stop: int) -> tuple[int, int] | None:
+    """First and last position in [start, stop) where a segment begins: every path has a step there."""
+    found = [start + m.start() + 1 for m in _BREAK.finditer(s[start:stop])]
+    return (found[0], found[-1]) if found else None
+
+
 def transfer(model: Model, chunk: int, head: int, size: int, part: str) -> list[tuple[int, int, int, int]]:
-    """Finite entries of a chunk's matrix: (piece, beyond) at its start to (piece, beyond) at its end."""
+    """Finite entries of a chunk's matrix: (piece, beyond) at its start to (piece, beyond) at its end.
+
+    If a segment begins inside the chunk, all paths meet there, and the matrix is the product of a
+    column of the states that lead to it and the row of the ends that the last such place leads to.
+    """
     stop = head + size
     rows = [(START, 0)] if chunk == 0 else states_at(model, part, head)
+    breaks = _segment_starts(part, head, stop)
+    if breaks:
+        first, final = breaks
+        ends = _ends(model.reach(part, final, START, stop), stop, len(part))
+        lead = [(q, x) for q, x in rows if head + x <= first and first in model.reach(part[:first], head + x, q, first)]
+        return [(q, x, *end) for q, x in lead for end in ends]
     out = []
     for q, beyond in rows:
         if beyond >= size:  # the piece covers the whole chunk
             out.append((q, beyond, q, beyond - size))
             continue
         last = model.reach(part, head + beyond, q, stop)
-        out += [(q, beyond, last[e][0], e - stop) for e in range(stop, len(part) + 1) if e in last and e > head + beyond]
+        out += [(q, beyond, *end) for end in _ends(last, stop, len(part), head + beyond)]
     return out
 
 
+def _ends(last: dict, stop: int, size: int, after: int = -1) -> list[tuple[int, int]]:
+    return [(last[e][0], e - stop) for e in range(max(stop, after + 1), size + 1) if e in last]
+
+
+def trace_chunk(model: Model, head: int, size: int, part: str, enter: tuple[int, int], over: int) -> list[int]:
+    """Ids of the pieces that start in the chunk, between the states at its two ends."""
+    q, beyond = enter
+    start, stop = head + beyond, head + size
+    if beyond >= size:
+        return []
+    breaks = _segment_starts(part, start, stop)
+    if not breaks:
+        return model.trace(part, model.reach(part, start, q, stop), stop + over)
+    first, final = breaks
+    ids = model.trace(part[:first], model.reach(part[:first], start, q, first), first)
+    ids += memoryview(model.encode_marked([part[first:final]])[0]).cast("i").tolist()
+    return ids + model.trace(part, model.reach(part, final, START, stop), stop + over)
+
+
 def multiply(a: list[tuple], b: list[tuple]) -> list[tuple]:
     """Max-plus product of two matrices given by their entries of weight 0."""
     by_row: dict = {}
@@ -346,12 +399,7 @@ def _backtrace(path: str):
         model = model_at(path)
         for batch in batches:
             for r in batch.to_pylist():
-                (q, beyond), (_, over) = r["enter"], r["leave"]
-                stop = r["head"] + r["size"]
-                ids = []
-                if beyond < r["size"]:
-                    last = model.reach(r["part"], r["head"] + beyond, q, stop)
-                    ids = model.trace(r["part"], last, stop + over)
+                ids = trace_chunk(model, r["head"], r["size"], r["part"], r["enter"], r["leave"][1])
                 columns = [pa.array([r["row"]], pa.int64()), pa.array([r["chunk"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "chunk", "ids"])
 
@@ -372,34 +420,37 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:
 # --- operators -------------------------------------------------------------------------------
 
 
-def encode(df: DataFrame, text_col: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """The input with ``ids`` (array<int>) and ``n_tokens``."""
+def encode(df: DataFrame, text_col: str = "text", model: str | None = None, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """The input with ``ids`` (array<int>) and ``n_tokens``; with ``check`` also ``round_trip``, whether the ids decode to the text."""
     path = model or default_model()
-    kept = [c for c in df.columns if c not in ("ids", "n_tokens")]
-    row = F.monotonically_increasing_id()
+    new = ["ids", "n_tokens"] + ["round_trip"] * check
+    kept = [c for c in df.columns if c not in new]
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__in"), F.col(text_col).alias("__text"))
     giant = F.length("__text") > chunk
-    schema = T.StructType([T.StructField("__in", packed.schema["__in"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    plain = packed.filter(~F.coalesce(giant, F.lit(False))).mapInArrow(_encoder(path), schema)
+    fields = [packed.schema["__in"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]
+    plain = packed.filter(~F.coalesce(giant, F.lit(False))).mapInArrow(_encoder(path), T.StructType(fields))
     # Giant texts are written once with a number, so that chunks and rows meet again.
-    large = stage_table(packed.filter(giant).withColumn("row", row), "giant-texts")
-    found = _encode_giants(large.select("row", "__text"), path, chunk)
-    joined = large.join(found, "row").select("__in", "ids")
-    both = plain.unionByName(joined)
-    return both.select(
-        *[F.col(f"__in.`{c}`").alias(c) for c in kept], "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens")
-    ).withColumn("n_tokens", F.greatest("n_tokens", F.lit(0)))
+    large = stage_table(packed.filter(giant).withColumn("row", F.monotonically_increasing_id()), "giant-texts")
+    found = large.join(_encode_giants(large.select("row", "__text"), path, chunk), "row")
+    if check:
+        found = decode(found, model=path).withColumn("same", F.col("decoded") == F.replace("__text", F.lit(SPACE), F.lit(" ")))
+    else:
+        found = found.withColumn("same", F.lit(None).cast("boolean"))
+    both = plain.unionByName(found.select("__in", "ids", "same"))
+    tokens = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids"))
+    extra = [F.col("same").alias("round_trip")] * check
+    return both.select(*[F.col(f"__in.`{c}`").alias(c) for c in kept], "ids", tokens.alias("n_tokens"), *extra)
 
 
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            texts = [None if x.as_py() is None else model.decode(x.values.to_numpy().tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"]
-            )
+            for part in (batch.slice(s, 500) for s in range(0, batch.num_rows, 500)):
+                texts = [None if x.as_py() is None else model.decode(x.values.to_numpy().tolist()) for x in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "decoded"]
+                )
 
     return run
 
@@ -408,7 +459,7 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str | None = None) -> Dat
     """The input with ``decoded``, the text of the ids; null ids give null."""
     kept = [c for c in df.columns if c != "decoded"]
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__in"), F.col(ids_col).alias("__ids"))
-    schema = T.StructType([T.StructField("__in", packed.schema["__in"].dataType), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([packed.schema["__in"], T.StructField("decoded", T.StringType())])
     out = packed.mapInArrow(_decoder(model or default_model()), schema)
     return out.select(*[F.col(f"__in.`{c}`").alias(c) for c in kept], "decoded")
 
@@ -416,9 +467,6 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str | None = None) -> Dat
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
-    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(SPACE), F.lit(" ")))
-    return both.select(
-        "doc_id", "n_tokens", F.sha2(F.coalesce(F.col("ids").cast("string"), F.lit("")), 256).alias("ids_sha256"),
-        same.alias("round_trip"),
-    )
+    found = encode(docs, check=True)
+    digest = F.sha2(F.coalesce(F.col("ids").cast("string"), F.lit("")), 256)
+    return found.select("doc_id", "n_tokens", digest.alias("ids_sha256"), "round_trip")

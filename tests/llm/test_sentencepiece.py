@@ -39,9 +39,8 @@ def _chunked(model, text, size):
     parts = [(min(at, longest), min(size, len(s) - at), s[at - min(at, longest) : at + size + longest]) for at in range(0, len(s), size)]
     states = S.cut_states([S.transfer(model, n, *p) for n, p in enumerate(parts)])
     ids = []
-    for (q, beyond), (_, over), (head, n, part) in zip(states, states[1:], parts):
-        if beyond < n:
-            ids += model.trace(part, model.reach(part, head + beyond, q, head + n), head + n + over)
+    for enter, (_, over), p in zip(states, states[1:], parts):
+        ids += S.trace_chunk(model, *p, enter, over)
     return ids
 
 
@@ -64,7 +63,8 @@ def test_products_are_associative(model):
 @pytest.mark.parametrize("chunk", [64, S.CHUNK])
 def test_tables_round_trip(spark, library, chunk):
     df = awkward(spark)
-    both = S.decode(S.encode(df, chunk=chunk)).collect()
+    both = S.decode(S.encode(df, chunk=chunk, check=True)).collect()
+    assert all(r["round_trip"] for r in both)
     assert len(both) == len(awkward_rows())
     for r in both:
         if r["text"] is None:
