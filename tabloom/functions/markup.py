@@ -5,21 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The entities that plain pages use.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# The named entities of ordinary prose; &amp; comes last.
+ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&trade;": "™",
+    "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–",
+    "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»",
+    "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&sect;": "§", "&para;": "¶", "&frac12;": "½", "&rarr;": "→", "&larr;": "←",
+    "&agrave;": "à", "&aacute;": "á", "&acirc;": "â", "&auml;": "ä", "&ccedil;": "ç", "&egrave;": "è", "&eacute;": "é",
+    "&ecirc;": "ê", "&iacute;": "í", "&ntilde;": "ñ", "&oacute;": "ó", "&ouml;": "ö", "&uacute;": "ú", "&uuml;": "ü",
+    "&szlig;": "ß", "&amp;": "&",
+}
+
+
+def _numeric(piece: Column) -> Column:
+    """What follows ``&#``: the character of its number and the rest, or all as it was."""
+    digits = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})(?=[^0-9a-fA-F]|$)", 1)
+    is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
+    code = F.when(is_hex, F.substring(digits, 2, 9)).otherwise(F.hex(digits.try_cast("bigint")))
+    point = F.conv(code, 16, 10).try_cast("bigint")
+    known = (digits != "") & (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    rest = F.regexp_replace(piece, r"^[0-9a-zA-Z]+;?", "")
+    space = F.when(point == 160, F.lit(" ")).otherwise(char)
+    return F.when(known, F.concat(space, rest)).otherwise(F.concat(F.lit("&#"), piece))
 
 
 def decode_entities(text: Column) -> Column:
-    out = text
+    """Numeric and named entities as characters; a hard space becomes a plain one."""
+    pieces = F.split(text, "&#", -1)
+    numbers = F.concat(
+        F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric), "")
+    )
+    out = F.when(F.contains(text, F.lit("&#")), numbers).otherwise(text)
     for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
     """Visible text: no scripts, styles, comments or tags, white space collapsed."""
     text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+    text = F.regexp_replace(text, r"(?s)<[/!?a-zA-Z][^>]*>", " ")
     return F.trim(F.regexp_replace(decode_entities(text), r"\s+", " "))
 
 

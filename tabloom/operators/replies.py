@@ -49,13 +49,26 @@ def _object(text: Column, single_quotes: bool) -> Column:
     return F.when(F.size(listed) == 1, F.element_at(listed, 1))
 
 
+# Quoted texts whole, then runs without quotes, then lone quotes.
+_TOKENS = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|['"]"""
+
+
+def python_literal(text: Column) -> Column:
+    """Python's None, True and False as JSON words, outside quoted texts only."""
+
+    def plain(token: Column) -> Column:
+        out = token
+        for word, value in (("None", "null"), ("True", "true"), ("False", "false")):
+            out = F.regexp_replace(out, rf"\b{word}\b", value)
+        return F.when(token.rlike("^['\"]"), token).otherwise(out)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), plain), "")
+
+
 def parsed_reply(raw: Column) -> Column:
     """Keys and values of a reply: as it is, between its outer braces, or as a Python literal."""
     trimmed = S.outer_braces(raw)
-    literal = trimmed
-    for word, value in (("None", "null"), ("True", "true"), ("False", "false")):
-        literal = F.regexp_replace(literal, rf"(?<=[:,\[]\s{{0,3}}){word}\b", value)
-    return F.coalesce(_object(raw, False), _object(trimmed, False), _object(literal, True))
+    return F.coalesce(_object(raw, False), _object(trimmed, False), _object(python_literal(trimmed), True))
 
 
 def validate(df: DataFrame, raw: str, required: Sequence[str] = REQUIRED) -> DataFrame:

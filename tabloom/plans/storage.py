@@ -14,7 +14,7 @@ from tabloom.operators import joins, profile, retrieve
 from tabloom.plans.common import load
 from tabloom.plans.registry import query
 from tabloom.plans.retrieval import CATS, WEIGHTS, records
-from tabloom.session import shared_path
+from tabloom.session import one_row, shared_path
 from tabloom.sources import delimited, files, sinks
 from tabloom.streaming import ingest
 
@@ -184,7 +184,8 @@ def s10(spark, d):
 
 @query(
     "s10_notebook_files",
-    "SELECT count(*) AS n_cells, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE role <> 'user'",
+    """SELECT count(*) AS n_cells, CAST(sum(length(text) + CASE WHEN role = 'user' THEN 2 * (1 + length(text) - length(replace(text, chr(10), ''))) ELSE 0 END) AS BIGINT) AS chars
+       FROM conversations""",
 )
 def s10_files(spark, d):
     path = shared_path(spark, "s10")
@@ -315,3 +316,45 @@ def x1(spark, d):
     events.filter(third != 1).write.parquet(f"{base}/in/third")
     run()
     return spark.read.parquet(f"{base}/out").select("event_id", "event_type", "value")
+
+
+@query(
+    "x1_index_refresh",
+    """SELECT (SELECT count(*) FROM embeddings) AS n_rows, CAST(len(first(embedding)) AS INT) AS dim, 'm' AS model,
+              count(DISTINCT label) AS n_values, 0::BIGINT AS lowest, count(DISTINCT label) - 1 AS highest FROM embeddings""",
+)
+def x1_index(spark, d):
+    """Three deliveries, the last one a repeat with another day; only new records enter the index."""
+    base = shared_path(spark, "x1i")
+    records = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    day = F.to_timestamp(F.lit("2024-01-01"))
+    deliveries = [records.filter("vec_id % 3 = 0"), records.filter("vec_id % 3 <= 1"), records]
+    weights = {"label": 2.0}
+    seen = None
+    for n, rows in enumerate(deliveries):
+        rows.withColumn("ts", F.date_add(day, n).cast("timestamp")).write.parquet(f"{base}/in/{n}")
+        schema = spark.read.parquet(f"{base}/in/{n}").schema
+        ingest.ingest(spark, f"{base}/in/*", schema, f"{base}/records", f"{base}/state", "vec_id", "ts")
+        stored = spark.read.parquet(f"{base}/records").select("vec_id", "label", "vec")
+        if seen is None:
+            sinks.write_index(stored, weights, f"{base}/index", "m")
+        else:
+            sinks.append_index(joins.not_present(stored, seen, ["vec_id"]), weights, f"{base}/index", "m")
+        seen = spark.read.parquet(f"{base}/index/index_vectors").select("vec_id")
+    _, vocab, meta = sinks.read_index(spark, f"{base}/index")
+    ends = vocab.agg(F.count("*").alias("n_values"), F.min("idx").cast("bigint").alias("lowest"), F.max("idx").cast("bigint").alias("highest"))
+    one = one_row(ends)
+    return meta.select("*", *[one[c].alias(c) for c in ends.columns])
+
+
+@query(
+    "k2_first_copy",
+    "SELECT o_orderkey, 'first' AS copy FROM orders",
+)
+def k2_first(spark, d):
+    path = shared_path(spark, "k2f")
+    orders = load(spark, d, "orders").select("o_orderkey")
+    both = orders.withColumn("copy", F.lit("first")).union(orders.withColumn("copy", F.lit("second")))
+    sinks.append_new(both, path, "o_orderkey")
+    sinks.append_new(orders.withColumn("copy", F.lit("later")), path, "o_orderkey")
+    return spark.read.parquet(path)

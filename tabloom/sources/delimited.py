@@ -91,7 +91,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         checks.append(
             F.struct(
                 (F.count(v) == F.count("*")).alias("full"),
-                all_of(v.rlike(r"^\s*[+-]?\d{1,18}\s*$"), c).alias("int"),
+                all_of(v.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(v).try_cast("bigint").isNotNull(), c).alias("int"),
                 all_of(v.try_cast("double").isNotNull(), c).alias("float"),
                 all_of(v.isin("True", "False", "TRUE", "FALSE", "true", "false"), c).alias("bool"),
             ).alias(c)
@@ -112,17 +112,49 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def files_by_header(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """Paths of the files below ``path`` by the column names of their first line.
+
+    The first line of a file is the smallest in (block, row) order; one narrow pass, and one row
+    per file reaches the driver, which lists the files in any case.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).filter("block = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        names = next(csv.reader([row["line"].lstrip("\ufeff")], delimiter=sep))
+        found.setdefault(tuple(names), []).append(row["file"])
+    return found
+
+
+def read_by_name(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """Headed files with a given schema, whose columns are found by name in each file.
+
+    Columns that a file lacks are null; columns that the schema lacks are left out. ``file_path``
+    is added.
+    """
+    schema = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+    kind = {f.name: f for f in schema.fields}
+    parts = []
+    for names, paths in sorted(files_by_header(spark, path, sep).items()):
+        own = T.StructType([kind.get(n, T.StructField(n, T.StringType())) for n in names])
+        part = spark.read.schema(own).option("header", True).option("sep", sep).option("escape", '"')
+        part = part.option("encoding", encoding).csv(paths)
+        known = [F.col(f"`{n}`") if n in names else F.lit(None).cast(kind[n].dataType).alias(n) for n in kind]
+        parts.append(part.select(*known, F.col("_metadata.file_path").alias("file_path")))
+    out = parts[0] if parts else spark.createDataFrame([], schema).withColumn("file_path", F.lit(None).cast("string"))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def read_headed(spark: SparkSession, path: str, schema: T.StructType | str, sep: str | None = None) -> DataFrame:
-    """Quoted scan with a given schema; tab for ``.tsv``; latin-1 when the file is not UTF-8."""
+    """Quoted scan with a given schema, by header name; tab for ``.tsv``; latin-1 when the file is not UTF-8."""
     sep = sep or ("\t" if path.lower().endswith(".tsv") else ",")
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", sep)
-        .option("escape", '"')
-        .option("encoding", sniff_encoding(spark, path))
-        .csv(path)
-    )
+    return read_by_name(spark, path, schema, sep, sniff_encoding(spark, path)).drop("file_path")
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -156,7 +188,7 @@ def route_files(
 
     A table written by Spark is a folder, so the name of the folder counts as well.
     """
-    df = spark.read.schema(schema).option("header", True).csv(path).withColumn("file_path", F.col("_metadata.file_path"))
+    df = read_by_name(spark, path, schema)
     parts = F.split("file_path", "/")
     is_test = F.endswith(F.element_at(parts, -1), F.lit(suffix)) | F.endswith(F.element_at(parts, -2), F.lit(suffix))
     return df.filter(~is_test), df.filter(is_test)

@@ -98,14 +98,24 @@ def read_json_documents(spark: SparkSession, path: str, schema: str, per_file: b
     return spark.read.schema(schema).option("multiLine", per_file).json(path)
 
 
-CELLS = "struct<cells:array<struct<cell_type:string,source:array<string>>>>"
+CELLS = "struct<cells:array<struct<cell_type:string,source:{}>>>"
 
 
 def notebook_cells(document: Column) -> Column:
-    """Texts of the code cells in order."""
-    cells = F.from_json(document, CELLS)["cells"]
-    code = F.filter(cells, lambda c: c["cell_type"] == "code")
-    return F.transform(code, lambda c: F.array_join(c["source"], ""))
+    """Texts of the cells in order; prose becomes comment lines.
+
+    A cell's source is a list of lines or one text, so it is read as either.
+    """
+    listed = F.from_json(document, CELLS.format("array<string>"))["cells"]
+    whole = F.from_json(document, CELLS.format("string"))["cells"]
+    cells = F.arrays_zip(listed.alias("l"), whole.alias("w"))
+    filled = F.filter(cells, lambda c: c["w"]["cell_type"].isin("code", "markdown") & c["w"]["source"].isNotNull())
+
+    def text(cell: Column) -> Column:
+        source = F.coalesce(F.array_join(cell["l"]["source"], ""), cell["w"]["source"])
+        return F.when(cell["w"]["cell_type"] == "code", source).otherwise(F.regexp_replace(source, r"(?m)^", "# "))
+
+    return F.transform(filled, text)
 
 
 def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
@@ -113,9 +123,12 @@ def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
 
     One row per file from start to end, so no shuffle is needed to keep the order.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    raw = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value"
+    )
     is_notebook = F.endswith("name", F.lit(".ipynb"))
     return raw.select(
+        "path",
         "name",
         F.when(is_notebook, "ipynb").otherwise("py").alias("language"),
         F.when(is_notebook, F.array_join(notebook_cells(F.col("value")), "\n\n"))

@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import encoders
+from tabloom.session import cut_lineage
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def first_copies(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the first by load order, that is by partition and position."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.monotonically_increasing_id().alias("at"))
+    return packed.groupBy(F.col(f"r.`{key}`").alias("k")).agg(F.min_by("r", "at").alias("r")).select("r.*")
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the target does not hold yet.
 
@@ -22,7 +29,7 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
     of the new rows.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
+    fresh = first_copies(df, key)
     try:
         target = spark.read.parquet(path)
     except AnalysisException as exc:
@@ -61,6 +68,29 @@ def write_index(index: DataFrame, weights: Mapping[str, float], path: str, model
     meta.withColumn("model", F.lit(model)).write.parquet(f"{path}/index_meta")
 
 
+def append_index(fresh: DataFrame, weights: Mapping[str, float], path: str, model: str) -> None:
+    """Add encoded records to an index: their vectors, and new category values behind the known ones.
+
+    Positions of known values never change, so vectors encoded earlier stay valid.
+    """
+    spark = fresh.sparkSession
+    known = spark.read.parquet(f"{path}/index_vocab")
+    parts = None
+    for col, weight in weights.items():
+        own = known.filter(F.col("col") == col)
+        new = fresh.join(own.select(F.col("value").alias(col)), col, "left_anti")
+        behind = F.coalesce(own.agg(F.max("idx")).scalar(), F.lit(-1)) + 1
+        part = encoders.sorted_vocabulary(new, col).select(
+            F.lit(col).alias("col"), "value", (F.col("idx") + behind).cast("int").alias("idx"), F.lit(float(weight)).alias("weight")
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    cut_lineage(parts, "vocab").write.mode("append").parquet(f"{path}/index_vocab")
+    fresh.write.mode("append").parquet(f"{path}/index_vectors")
+    vectors = spark.read.parquet(f"{path}/index_vectors")
+    meta = vectors.agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("dim")).withColumn("model", F.lit(model))
+    meta.write.mode("overwrite").parquet(f"{path}/index_meta")
+
+
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.parquet(f"{path}/index_{part}") for part in ("vectors", "vocab", "meta"))
 

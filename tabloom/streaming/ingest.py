@@ -7,24 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.sources.sinks import first_copies
+
 
 def append_unseen(batch: DataFrame, target: str, key: str, day: str) -> None:
-    """Append the rows of a batch whose key is not in the target.
+    """Append the rows of a batch whose key is not in the target; of equal keys the first row by load order.
 
-    A key always falls on the same day, so only the days of the batch are read back.
+    Keys are compared over the whole target, since a key may come again with another day; only
+    the key column is read. A day's rows go to one task each, split by a hash of the key where a
+    day holds many.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key]).withColumn("day", F.date_format(day, "yyyy-MM-dd"))
-    days = [r["day"] for r in fresh.select("day").distinct().collect()]
+    fresh = first_copies(batch, key).withColumn("day", F.date_format(day, "yyyy-MM-dd"))
     schema = T.StructType([*batch.schema.fields, T.StructField("day", T.StringType())])
     try:
-        known = spark.read.schema(schema).parquet(target).filter(F.col("day").isin(days)).select(key)
+        known = spark.read.schema(schema).parquet(target).select(key)
         fresh = fresh.join(known, key, "left_anti")
     except AnalysisException as exc:
         # The first batch has no target.
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").partitionBy("day").parquet(target)
+    fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(target)
 
 
 def ingest(

@@ -64,7 +64,46 @@ def test_notebooks(spark, tmp_path):
     (tmp_path / "n.ipynb").write_text(json.dumps(doc, indent=1))
     (tmp_path / "s.py").write_text("x = 1\n")
     got = {r["name"]: (r.language, r.text) for r in files.flatten_notebooks(spark, str(tmp_path)).collect()}
-    assert got == {"n.ipynb": ("ipynb", "a = 1\nb\n\nc"), "s.py": ("py", "x = 1\n")}
+    assert got == {"n.ipynb": ("ipynb", "# # t\n\na = 1\nb\n\nc"), "s.py": ("py", "x = 1\n")}
+
+
+def test_notebook_sources_as_one_text(spark, tmp_path):
+    cells = [{"cell_type": "markdown", "source": "one\ntwo"}, {"cell_type": "code", "source": "[1, 2]\nx = 1"}, {"cell_type": "raw", "source": "r"}]
+    (tmp_path / "n.ipynb").write_text(json.dumps({"cells": cells}))
+    row = files.flatten_notebooks(spark, str(tmp_path)).first()
+    assert row["text"] == "# one\n# two\n\n[1, 2]\nx = 1" and row["path"].endswith("n.ipynb")
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "train_a.csv").write_text("id,x\n1,10\n")
+    (tmp_path / "train_b.csv").write_text("x,id,more\n20,2,z\n")
+    (tmp_path / "my_test.csv").write_text("id\n3\n")
+    train, test = delimited.route_files(spark, str(tmp_path / "*.csv"), "id int, x int")
+    assert sorted((r["id"], r["x"]) for r in train.collect()) == [(1, 10), (2, 20)]
+    assert [(r["id"], r["x"]) for r in test.collect()] == [(3, None)]
+    assert [(r["x"], r["id"]) for r in delimited.read_headed(spark, str(tmp_path / "train_b.csv"), "x int, id int").collect()] == [(20, 2)]
+
+
+def test_long_ids_stay_whole(spark):
+    df = spark.createDataFrame([("1234567890123456789", "99999999999999999999")], "a string, b string")
+    row = delimited.infer_types(df).first()
+    assert row["a"] == 1234567890123456789 and isinstance(row["b"], float)
+
+
+def test_entities_and_angle_brackets(spark):
+    from tabloom.functions import markup
+
+    html = "<p>It&rsquo;s 5 &#8211; 7, a < b and c > d &#x41;&#65;&amp;#65; &#xZZ; &bogus; R&D</p>"
+    df = spark.createDataFrame([(html,), (None,), ("plain",)], "h string")
+    got = [r[0] for r in df.select(markup.strip_tags(df["h"])).collect()]
+    assert got == ["It’s 5 – 7, a < b and c > d AA&#65; &#xZZ; &bogus; R&D", None, "plain"]
+
+
+def test_python_words_only_outside_quotes(spark):
+    text = "{'a': 'yes, None of it', 'b':\n            None, \"c\": [True, False], 'd': 'it\\'s True'}"
+    df = spark.createDataFrame([(text,)], "t string")
+    row = df.select(replies.parsed_reply(df["t"]).alias("p")).first()["p"]
+    assert row["a"] == "yes, None of it" and row["b"] is None and row["c"] == "[true,false]" and row["d"] == "it's True"
 
 
 def test_pretty_json_keeps_unicode(spark, tmp_path):
