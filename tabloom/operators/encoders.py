@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tabloom.operators.running import row_numbers
 
 MAX_ONE_HOT = 50
-MAX_LABELS = 1000
 
 
 def sorted_vocabulary(df: DataFrame, col: str, **limits) -> DataFrame:
@@ -110,9 +109,18 @@ def binary_encode(df: DataFrame, col: str, mode: Column, vocabulary: DataFrame)
     )
 
 
-def label_set_values(df: DataFrame, labels: Column, limit: int = MAX_LABELS) -> list:
-    """Sorted distinct entries of a list-valued column."""
-    return bounded_values(df.select(F.explode(labels).alias("label")), "label", limit)
+def with_vocabulary(df: DataFrame, values: DataFrame, col: str, name: str) -> DataFrame:
+    """Adds the sorted distinct values of a column of another table as one array, of any length.
+
+    The array is a scalar subquery: it is computed once and joins nothing.
+    """
+    known = values.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    return df.withColumn(name, known.agg(F.array_sort(F.collect_list("v"))).scalar())
+
+
+def with_label_vocabulary(df: DataFrame, labels: Column, name: str) -> DataFrame:
+    """Adds the sorted distinct entries of a list-valued column."""
+    return with_vocabulary(df, df.select(F.explode(labels).alias("label")), "label", name)
 
 
 def binarize(labels: Column, vocabulary: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
 from tabloom.operators import aggregate, encoders
-from tabloom.operators.project import present
+from tabloom.operators.project import distinct_counts_up_to, present
 from tabloom.operators.quantiles import exact_quantiles, quantile_name
 from tabloom.session import one_row
 
@@ -113,17 +113,27 @@ class OneHot:
 
 @dataclass
 class ColumnPipeline:
-    """Numeric columns: median and standard scaling. Categorical: mode and one-hot. Rest dropped."""
+    """Numeric columns: median and standard scaling. Categorical: mode and one-hot. Rest dropped.
+
+    Columns without a value and categorical columns of more than ``limit`` categories are dropped
+    by the fit, as the data preparation does.
+    """
 
     numeric: Sequence[str]
     categorical: Sequence[str]
+    limit: int = encoders.MAX_ONE_HOT
 
     def fit(self, df: DataFrame) -> ColumnPipeline:
+        cols = [*self.numeric, *self.categorical]
+        filled = df.agg(*[F.count(present(df, c)).alias(c) for c in cols]).first() if cols else {}
+        few = distinct_counts_up_to(df, list(self.categorical), self.limit)
+        self.numeric = [c for c in self.numeric if filled[c]]
+        self.categorical = [c for c in self.categorical if filled[c] and few[c] is not None]
         self.median = MedianImputer(self.numeric).fit(df)
         self.mode = ModeImputer(self.categorical).fit(df)
         filled = self.mode.apply(self.median.apply(df))
         self.scaler = StandardScaler(self.numeric).fit(filled)
-        self.one_hot = OneHot(self.categorical).fit(filled)
+        self.one_hot = OneHot(self.categorical, self.limit).fit(filled)
         return self
 
     def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -147,8 +157,8 @@ def transform_target(df: DataFrame, subtype: str, target: str, out: str = "y") -
         text = raw.withColumn(target, F.col(target).cast("string"))
         return encoders.encode(text, target, encoders.sorted_vocabulary(text, target), out)
     if subtype == MULTI_LABEL:
-        values = encoders.label_set_values(df, F.col(target))
-        return raw.withColumn(out, encoders.binarize(F.col(target), encoders.literal_array(values)))
+        coded = encoders.with_label_vocabulary(raw, F.col(target), "__labels")
+        return coded.withColumn(out, encoders.binarize(F.col(target), F.col("__labels"))).drop("__labels")
     if subtype in LOG_TARGETS:
         y = F.col(target).cast("double")
         positive = one_row(df.agg(F.bool_and(y >= 0).alias("ok")))["ok"]

@@ -20,14 +20,17 @@ def long_cells(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def cell_lookup(requests: DataFrame, cell: Column, df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Values for keys ``<row>-<column>``: an equi-join on row and column."""
+    """Values for keys ``<row>-<column>``: an equi-join on the row, then the named column."""
     parts = F.split(cell, "-", 2)
     asked = requests.withColumn("__row", F.element_at(parts, 1).try_cast("bigint")).withColumn(
         "__column", F.try_element_at(parts, F.lit(2))
     )
-    cells = long_cells(df, key, cols)
-    match = (F.col("__row") == F.col(key)) & (F.col("__column") == F.col("column"))
-    return asked.join(cells, match).drop("__row", "__column", key, "column")
+    asked = asked.filter(F.col("__column").isin(list(cols)))
+    names = [f"__cell_{i}" for i in range(len(cols))]
+    cells = df.select(F.col(key).alias("__key"), *[F.col(c).cast("string").alias(n) for c, n in zip(cols, names)])
+    value = F.coalesce(*[F.when(F.col("__column") == c, F.col(n)) for c, n in zip(cols, names)])
+    joined = asked.join(cells, F.col("__row") == F.col("__key")).withColumn("value", value)
+    return joined.drop("__row", "__column", "__key", *names)
 
 
 def not_present(requested: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:

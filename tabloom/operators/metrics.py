@@ -101,6 +101,38 @@ def map_at(y: Column, ranked: Column) -> Column:
     return F.avg(average_precision_at(y, ranked))
 
 
+def average_precision_of_set(relevant: Column, ranked: Column, k: int) -> Column:
+    """AP@k with several relevant classes: precision at each hit, over min(relevant, k)."""
+    top = F.slice(ranked, 1, k)
+    hits = F.transform(top, lambda c: F.array_contains(relevant, c).cast("double"))
+    gains = F.transform(
+        hits, lambda h, i: h * F.aggregate(F.slice(hits, 1, i + 1), F.lit(0.0), lambda a, x: a + x) / (i + 1)
+    )
+    best = F.least(F.size(F.array_distinct(relevant)), F.lit(k))
+    return F.coalesce(F.try_divide(F.aggregate(gains, F.lit(0.0), lambda a, x: a + x), best), F.lit(0.0))
+
+
+def set_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Micro and macro precision, recall and F1 over the labels of label sets; 0 where undefined."""
+    both = F.array_union(actual, predicted)
+    rows = df.select(F.explode(both).alias("label"), actual, predicted).select(
+        "label", F.array_contains(actual, F.col("label")).alias("a"), F.array_contains(predicted, F.col("label")).alias("p")
+    )
+    per = rows.groupBy("label").agg(
+        F.count_if(F.col("a") & F.col("p")).alias("hit"), F.count_if("a").alias("a"), F.count_if("p").alias("p")
+    )
+
+    def ratio(top: Column, below: Column) -> Column:
+        return F.coalesce(F.try_divide(top, below), F.lit(0.0))
+
+    hit, a, p = (F.col(c).cast("double") for c in ("hit", "a", "p"))
+    return per.agg(
+        ratio(F.sum(hit), F.sum(p)).alias("micro_precision"), ratio(F.sum(hit), F.sum(a)).alias("micro_recall"),
+        ratio(F.sum(hit) * 2, F.sum(a) + F.sum(p)).alias("micro_f1"), F.avg(ratio(hit, p)).alias("macro_precision"),
+        F.avg(ratio(hit, a)).alias("macro_recall"), F.avg(ratio(hit * 2, a + p)).alias("macro_f1"),
+    )
+
+
 def log_loss(y: Column, p: Column) -> Column:
     q = F.greatest(F.least(p, F.lit(1 - EPSILON)), F.lit(EPSILON))
     return -F.avg(F.when(y == 1, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q)))

@@ -102,11 +102,11 @@ def t6(spark, d):
 )
 def t7(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 2).alias("kind"))
-    blocks = [
-        S.one_hot(F.col(c), encoders.literal_array(encoders.bounded_values(df, c)), w)
-        for c, w in (("label", 3.0), ("kind", 2.5))
-    ]
-    return df.select("vec_id", F.array_join(F.concat(*blocks).cast("array<string>"), " ").alias("block"))
+    coded = df
+    for c in ("label", "kind"):
+        coded = encoders.with_vocabulary(coded, df, c, f"v_{c}")
+    blocks = [S.one_hot(F.col(c), F.col(f"v_{c}"), w) for c, w in (("label", 3.0), ("kind", 2.5))]
+    return coded.select("vec_id", F.array_join(F.concat(*blocks).cast("array<string>"), " ").alias("block"))
 
 
 @query(
@@ -157,15 +157,47 @@ def t10(spark, d):
 )
 def t11(spark, d):
     df = load(spark, d, "part").select("p_partkey", S.words(F.col("p_name")).alias("w"))
-    vocabulary = encoders.literal_array(encoders.label_set_values(df, F.col("w")))
-    flagged = df.select("p_partkey", encoders.binarize(F.col("w"), vocabulary).alias("f"))
+    flagged = encoders.with_label_vocabulary(df, F.col("w"), "v")
+    flagged = flagged.select("p_partkey", "v", encoders.binarize(F.col("w"), F.col("v")).alias("f"))
     return flagged.select(
         "p_partkey",
         F.array_join(F.col("f").cast("array<string>"), "").alias("flags"),
-        F.array_join(encoders.unbinarize(F.col("f"), vocabulary), " ").alias("labels"),
+        F.array_join(encoders.unbinarize(F.col("f"), F.col("v")), " ").alias("labels"),
     )
 
 
+@query(
+    "t11_many_labels",
+    """WITH t AS (SELECT p_partkey, p_brand || '/' || p_size AS w FROM part),
+            v AS (SELECT w, row_number() OVER (ORDER BY w) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT w FROM t))
+       SELECT p_partkey, CAST(i AS INT) AS place, 1 AS hits, CAST(n AS INT) AS width FROM t JOIN v USING (w)""",
+)
+def t11_many(spark, d):
+    """More than a thousand labels: all pairs of brand and size."""
+    label = F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))
+    df = load(spark, d, "part").select("p_partkey", F.array(label).alias("w"))
+    coded = encoders.with_label_vocabulary(df, F.col("w"), "v")
+    flags = coded.select("p_partkey", encoders.binarize(F.col("w"), F.col("v")).alias("f"))
+    return flags.select(
+        "p_partkey", F.array_position("f", 1).cast("int").alias("place"),
+        F.size(F.filter("f", lambda x: x == 1)).alias("hits"), F.size("f").alias("width"),
+    )
+
+
+@query(
+    "t18_wide_categories",
+    """WITH t AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal AS x FROM customer), z AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM t),
+            v AS (SELECT list(s ORDER BY s) AS v FROM (SELECT DISTINCT s FROM t))
+       SELECT c_custkey, round((x - m) / sd, 6) AS c_acctbal, (s = v[1])::INT::DOUBLE AS c_mktsegment_0, (s = v[2])::INT::DOUBLE AS c_mktsegment_1,
+              (s = v[3])::INT::DOUBLE AS c_mktsegment_2, (s = v[4])::INT::DOUBLE AS c_mktsegment_3, (s = v[5])::INT::DOUBLE AS c_mktsegment_4 FROM t, z, v""",
+)
+def t18_wide(spark, d):
+    """A category per row and an empty column are dropped by the fit."""
+    df = load(spark, d, "customer").withColumn("nothing", F.lit(None).cast("double"))
+    pipe = features.ColumnPipeline(["c_acctbal", "nothing"], ["c_name", "c_mktsegment"]).fit(df)
+    return pipe.apply(df, keep=["c_custkey"]).withColumn("c_acctbal", r6(F.col("c_acctbal")))
+
+
 @query(
     "t12_dense_target",
     """SELECT vec_id, array_to_string(list_transform(range((SELECT count(DISTINCT label) FROM embeddings)), lambda i: CAST(i = label AS INT)::VARCHAR), '') AS target FROM embeddings""",

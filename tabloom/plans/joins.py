@@ -125,18 +125,18 @@ def o2(spark, d):
     return shares.orderBy(F.desc("pct"), F.asc("class")).limit(10).withColumn("pct", r6(F.col("pct")))
 
 
-_SCORES = "list_transform(embedding[1:10], lambda x: x::DOUBLE)"
+_SCORES = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
 def scores():
-    """The first ten components as class scores."""
-    return F.slice(V.as_double(F.col("embedding")), 1, 10)
+    """The components as class scores."""
+    return V.as_double(F.col("embedding"))
 
 
 @query(
     "o4_top3_classes",
     f"""SELECT vec_id, string_agg('c' || pos, ' ' ORDER BY s DESC, pos) AS top3 FROM (
-          SELECT vec_id, s, pos FROM (SELECT vec_id, unnest({_SCORES}) AS s, unnest(range(10)) AS pos FROM embeddings)
+          SELECT vec_id, s, pos FROM (SELECT vec_id, unnest({_SCORES}) AS s, unnest(range(len(embedding))) AS pos FROM embeddings)
           QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, pos) <= 3) GROUP BY vec_id""",
 )
 def o4(spark, d):
@@ -149,7 +149,7 @@ def o4(spark, d):
     f"SELECT vec_id, 'c' || (list_position({_SCORES}, list_max({_SCORES})) - 1) AS class FROM embeddings",
 )
 def o5(spark, d):
-    classes = F.lit([f"c{i}" for i in range(10)])
+    classes = F.lit([f"c{i}" for i in range(64)])
     return load(spark, d, "embeddings").select("vec_id", F.element_at(classes, S.argmax(scores()) + 1).alias("class"))
 
 

@@ -49,13 +49,13 @@ def m10(spark, d):
 
 
 # Multi-class: the first ten vector components as scores of the ten labels.
-_ARR = "list_transform(embedding[1:10], lambda x: x::DOUBLE)"
+_ARR = "list_transform(embedding, lambda x: x::DOUBLE)"
 _CLS = f"""SELECT vec_id, label, {_ARR} AS s, CAST(list_position({_ARR}, list_max({_ARR})) - 1 AS INT) AS p,
-    list_transform(list_reverse_sort(list_transform(range(10), lambda i: {{'s': ({_ARR})[i + 1], 'n': -i}})), lambda z: -z.n) AS ranked FROM embeddings"""
+    list_transform(list_reverse_sort(list_transform(range(len(embedding)), lambda i: {{'s': ({_ARR})[i + 1], 'n': -i}})), lambda z: -z.n) AS ranked FROM embeddings"""
 
 
 def _cls(spark, d):
-    s = F.slice(V.as_double(F.col("embedding")), 1, 10)
+    s = V.as_double(F.col("embedding"))
     return load(spark, d, "embeddings").select("vec_id", "label", s.alias("s"), S.argmax(s).alias("p"))
 
 
@@ -195,3 +195,54 @@ def m16(spark, d):
 )
 def m17(spark, d):
     return _scores(spark, d).select(r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
+
+
+# Label sets: the words of a part's name, predicted by two of them, its maker's digit and a fixed one.
+_SETS = """SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a,
+  list_distinct([string_split(p_name, ' ')[2], 'blue', string_split(p_name, ' ')[1]]) AS p FROM part"""
+
+
+def _sets(spark, d):
+    words = F.split("p_name", " ")
+    predicted = F.array(F.try_element_at(words, F.lit(2)), F.lit("blue"), F.try_element_at(words, F.lit(1)))
+    return load(spark, d, "part").select(
+        "p_partkey", F.array_distinct(words).alias("a"), F.array_compact(F.array_distinct(predicted)).alias("p"),
+        F.array_compact(predicted).alias("ranked"),
+    )
+
+
+@query(
+    "m11_f1_multi_label",
+    f"""WITH s AS (SELECT p_partkey, a, list_filter(p, lambda x: x IS NOT NULL) AS p FROM ({_SETS})),
+       r AS (SELECT unnest(list_distinct(list_concat(a, p))) AS label, a, p FROM s),
+       c AS (SELECT label, count(*) FILTER (list_contains(a, label) AND list_contains(p, label)) AS hit, count(*) FILTER (list_contains(a, label)) AS n, count(*) FILTER (list_contains(p, label)) AS m FROM r GROUP BY label)
+       SELECT round(sum(hit) * 2.0::DOUBLE / (sum(n) + sum(m)), 6) AS micro_f1, round(avg(hit * 2.0::DOUBLE / (n + m)), 6) AS macro_f1 FROM c""",
+)
+def m11_sets(spark, d):
+    s = M.set_scores(_sets(spark, d), "a", "p")
+    return s.select(r6(F.col("micro_f1")).alias("micro_f1"), r6(F.col("macro_f1")).alias("macro_f1"))
+
+
+@query(
+    "m17_precision_recall_multi_label",
+    f"""WITH s AS (SELECT p_partkey, a, list_filter(p, lambda x: x IS NOT NULL) AS p FROM ({_SETS})),
+       r AS (SELECT unnest(list_distinct(list_concat(a, p))) AS label, a, p FROM s),
+       c AS (SELECT label, count(*) FILTER (list_contains(a, label) AND list_contains(p, label))::DOUBLE AS hit, count(*) FILTER (list_contains(a, label)) AS n, count(*) FILTER (list_contains(p, label)) AS m FROM r GROUP BY label)
+       SELECT round(sum(hit) / sum(m), 6) AS micro_precision, round(sum(hit) / sum(n), 6) AS micro_recall,
+              round(avg(CASE WHEN m > 0 THEN hit / m ELSE 0 END), 6) AS macro_precision, round(avg(CASE WHEN n > 0 THEN hit / n ELSE 0 END), 6) AS macro_recall FROM c""",
+)
+def m17_sets(spark, d):
+    s = M.set_scores(_sets(spark, d), "a", "p")
+    names = ["micro_precision", "micro_recall", "macro_precision", "macro_recall"]
+    return s.select(*[r6(F.col(n)).alias(n) for n in names])
+
+
+@query(
+    "m1_map_at_3_multi_label",
+    """WITH t AS (SELECT list_distinct(string_split(p_name, ' ')) AS a, list_filter([string_split(p_name, ' ')[2], 'blue', string_split(p_name, ' ')[1]], lambda x: x IS NOT NULL) AS r FROM part),
+       h AS (SELECT a, list_contains(a, r[1])::INT AS h1, list_contains(a, r[2])::INT AS h2, coalesce(list_contains(a, r[3])::INT, 0) AS h3 FROM t)
+       SELECT round(avg((h1 + h2 * (h1 + h2) / 2.0::DOUBLE + h3 * (h1 + h2 + h3) / 3.0::DOUBLE) / least(len(a), 3)), 6) AS map3 FROM h""",
+)
+def m1_sets(spark, d):
+    ap = M.average_precision_of_set(F.col("a"), F.col("ranked"), 3)
+    return _sets(spark, d).agg(r6(F.avg(ap)).alias("map3"))

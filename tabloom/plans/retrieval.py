@@ -99,8 +99,9 @@ def _vector_sql(source: str, t: float, prefix: str) -> str:
 
 
 def _explicit(df, index, text_weight):
-    vocab = {c: encoders.literal_array(encoders.bounded_values(index, c)) for c in CATS}
-    blocks = [(F.col(c), vocab[c], w) for c, w in WEIGHTS.items()]
+    for c in CATS:
+        df = encoders.with_vocabulary(df, index, c, f"v_{c}")
+    blocks = [(F.col(c), F.col(f"v_{c}"), w) for c, w in WEIGHTS.items()]
     return df.select(
         "vec_id", F.posexplode(retrieve.hybrid_vector(F.col("embedding"), blocks, text_weight)).alias("pos", "value")
     ).withColumn("value", F.round("value", 9))
