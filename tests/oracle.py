@@ -35,7 +35,7 @@ def _norm(v):
         return 0.0 if v == 0 else v
     if hasattr(v, "isoformat"):
         return v.isoformat()
-    if type(v).__name__ == "NaTType":
+    if type(v).__name__ in ("NaTType", "NAType"):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
