@@ -229,6 +229,10 @@ def _fingerprint_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield finish(held)
 
 
+def _literals(values: list[int]):
+    return F.array(*[F.lit(v).cast("bigint") for v in values]) if values else F.array().cast("array<bigint>")
+
+
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all texts and their edited texts, with their likenesses.
 
@@ -243,9 +247,11 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     steps = [i / ranges for i in range(1, ranges)]
     cuts = rows.agg(F.percentile_approx(order, steps, 100 * ranges).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    # The number of cuts at or below the id, from an array of at most RANGES literals.
-    table = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(table, lambda c: c <= order))
+    # The number of cuts at or below the id: first among every step-th cut, then in one step.
+    step = max(1, round(len(cuts) ** 0.5))
+    coarse, table = _literals(cuts[step - 1 :: step]), _literals(cuts)
+    steps_below = F.size(F.filter(coarse, lambda c: c <= order))
+    bucket = steps_below * step + F.size(F.filter(F.slice(table, steps_below * step + 1, step), lambda c: c <= order))
     rows = rows.withColumns({"tie": F.xxhash64("t"), "bucket": bucket}).withColumn("ahead", F.lit(False))
 
     first = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "tie")).alias("k"))
