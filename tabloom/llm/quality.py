@@ -37,9 +37,9 @@ from tabloom.llm.language_id import code_bytes, grams
 from tabloom.llm.support import fold, load, query, stage_table
 
 ORDER = 4
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 24 << 20
 PART_BYTES = 1 << 20
-HELD_BYTES = 16 << 20
+HELD_BYTES = 8 << 20
 BROADCAST_IDS = 2_000_000
 QUANTILE, MARGIN = 0.975, 1.35
 EVIDENCE_BITS = 32.0
@@ -193,34 +193,44 @@ def _wanted(packs: pa.Table) -> pa.Table:
     )
 
 
-def _score(packs: pa.Table, costs: pa.Table) -> pa.Table:
-    gram, bits = costs.column("gram").to_numpy(), costs.column("bits").to_numpy()
-    order = np.argsort(gram)
-    gram, bits = gram[order], bits[order]
-    scored = []
-    for docs in _unpacked(packs):
-        total, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows, dtype=np.int64)
-        for start, part in _parts(docs.column("t")):
-            filled = [i for i, t in enumerate(part) if t]
-            if not filled:
-                continue
-            own = np.array([len(part[i]) for i in filled])
-            size[start + np.array(filled)] = own
-            if len(gram):
-                cost = bits[np.searchsorted(gram, np.concatenate([grams(part[i]) for i in filled]))]
-                total[start + np.array(filled)] = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(own)[:-1]]))
-        known = (size > 0) & (len(gram) > 0)
-        perplexity = pa.array(np.exp2(total / np.maximum(size, 1)), mask=~known)
-        docs = docs.select(["__in", "__lang", "calibrates"])
-        scored.append(docs.append_column("perplexity", perplexity).append_column("bytes", pa.array(size)))
-    return pa.concat_tables(scored)
+def _scorer(carry: list[str]):
+    """Perplexities of a block's documents, with the ``carry`` columns of the packs."""
+
+    def score(packs: pa.Table, costs: pa.Table) -> pa.Table:
+        gram, bits = costs.column("gram").to_numpy(), costs.column("bits").to_numpy()
+        order = np.argsort(gram)
+        gram, bits = gram[order], bits[order]
+        scored = []
+        for docs in _unpacked(packs):
+            total, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows, dtype=np.int64)
+            for start, part in _parts(docs.column("t")):
+                filled = [i for i, t in enumerate(part) if t]
+                if not filled:
+                    continue
+                own = np.array([len(part[i]) for i in filled])
+                size[start + np.array(filled)] = own
+                if len(gram):
+                    cost = bits[np.searchsorted(gram, np.concatenate([grams(part[i]) for i in filled]))]
+                    total[start + np.array(filled)] = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(own)[:-1]]))
+            known = (size > 0) & (len(gram) > 0)
+            perplexity = pa.array(np.exp2(total / np.maximum(size, 1)), mask=~known)
+            docs = docs.select(carry)
+            scored.append(docs.append_column("perplexity", perplexity).append_column("bytes", pa.array(size)))
+        out = pa.concat_tables(scored)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return score
 
 
 def perplexities(
-    df: DataFrame, trusted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> DataFrame:
+    df: DataFrame, trusted: DataFrame, keep: list[str], with_text: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
     """__in (the ``keep`` columns), __lang, calibrates, perplexity and bytes of every row, written once.
 
+    With ``with_text`` also t, the text.
+
     ``trusted`` has the ids of trusted documents.
     """
     spark = df.sparkSession
@@ -244,10 +254,11 @@ def perplexities(
     wanted = blocks.groupBy("lang", "salt").applyInArrow(_wanted, "lang bigint, salt int, gram bigint")
     costs = resolve(wanted.select("lang", "gram").distinct(), tables)
     answers = wanted.join(costs, ["lang", "gram"]).select("lang", "salt", "gram", F.col("bits").cast("float").alias("bits"))
-    fields = [docs.schema["__in"], docs.schema["__lang"], docs.schema["calibrates"]]
+    carry = ["__in", "__lang", "calibrates"] + ["t"] * with_text
+    fields = [docs.schema[c] for c in carry]
     fields += [T.StructField("perplexity", T.DoubleType()), T.StructField("bytes", T.LongType())]
     both = blocks.groupBy("lang", "salt").cogroup(answers.groupBy("lang", "salt"))
-    scored = both.applyInArrow(_score, T.StructType(fields))
+    scored = both.applyInArrow(_scorer(carry), T.StructType(fields))
     return stage_table(scored, "perplexities")
 
 
@@ -262,13 +273,13 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
     return cut.select(F.col("__lang").alias("of"), (F.pow(F.lit(2.0), F.col("cell") / BINS_PER_DOUBLING) * margin).alias("threshold"))
 
 
-def judged(df: DataFrame, trusted: DataFrame, keep: list[str], **columns) -> DataFrame:
+def judged(df: DataFrame, trusted: DataFrame, keep: list[str], with_text: bool = False, **columns) -> DataFrame:
     """The scored rows with threshold and kept."""
-    scored = perplexities(df, trusted, keep + ["__empty"], **columns)
+    scored = perplexities(df, trusted, keep, with_text, **columns)
     out = scored.join(thresholds(scored), F.col("__lang").eqNullSafe(F.col("of")), "left")
     excess = (F.log2("perplexity") - F.log2("threshold")) * F.col("bytes")
     fits = F.coalesce(excess <= EVIDENCE_BITS, F.lit(True))
-    return out.withColumn("kept", fits & ~F.col("__in.__empty"))
+    return out.withColumn("kept", fits & (F.col("bytes") > 0))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -276,18 +287,15 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
 
 
-def _marked(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("__empty", F.coalesce(F.length(text_col), F.lit(0)) == 0)
-
-
-def kept_rows(df: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows that are not rejected, with the columns of the input."""
-    rows = judged(_marked(df), trusted, df.columns).filter("kept")
-    return rows.select(*[F.col(f"__in.`{c}`").alias(c) for c in df.columns])
+def kept_rows(df: DataFrame, trusted: DataFrame, text_col: str = "text", **columns) -> DataFrame:
+    """The rows that are not rejected, with the columns of the input; the text travels once."""
+    rest = [c for c in df.columns if c != text_col]
+    rows = judged(df, trusted, rest, True, text_col=text_col, **columns).filter("kept")
+    return rows.select(*[F.col("t").alias(c) if c == text_col else F.col(f"__in.`{c}`").alias(c) for c in df.columns])
 
 
 @query("op4_quality")
 def op4_quality(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    rows = judged(_marked(docs), trusted_ids(load(spark, sf_dir, "labels")), ["doc_id", "lang"])
+    rows = judged(docs, trusted_ids(load(spark, sf_dir, "labels")), ["doc_id", "lang"])
     return rows.select("__in.doc_id", "__in.lang", "perplexity", "threshold", "kept")

@@ -65,7 +65,7 @@ def test_perplexity_matches_the_definition(spark):
     rows = _docs()
     df = spark.createDataFrame(rows, DOC_SCHEMA)
     ids = spark.createDataFrame([(i,) for i in range(40)], "doc_id bigint")
-    got = {r["doc_id"]: r for r in quality.judged(quality._marked(df), ids, ["doc_id"]).select("__in.doc_id", "perplexity", "kept").collect()}
+    got = {r["doc_id"]: r for r in quality.judged(df, ids, ["doc_id"]).select("__in.doc_id", "perplexity", "kept").collect()}
     folds = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.fold(F.col("doc_id"), quality.FOLDS).alias("f")).collect()}
     for lang in ("en", None):
         plain = _Plain([r[1] for r in rows if r[2] == lang and r[0] < 40 and folds[r[0]]])
@@ -88,7 +88,7 @@ def test_labelled_junk_is_found(spark):
 def test_awkward_rows(spark):
     df = awkward(spark)
     ids = spark.createDataFrame([(1,), (2,), (3,), (3,), (15,), (None,)], "doc_id bigint")
-    got = quality.judged(quality._marked(df), ids, ["doc_id", "text"]).select("__in.*", "perplexity", "kept").collect()
+    got = quality.judged(df, ids, ["doc_id", "text"]).select("__in.*", "perplexity", "kept").collect()
     assert len(got) == len(awkward_rows())
     for r in got:
         if not r["text"]:
