@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from tabloom.llm.support import load, query, stage_table
 
 CHUNK = 1 << 15
-CACHE = 200_000
+CACHE = 500_000
 TOGETHER = 1 << 20
 SPACE = "▁"
 START = -1
@@ -112,7 +112,7 @@ class Model:
                 found = self.merged(a[0] + b[0]) == a + b
             else:
                 found = all(self.merged(x) == [x] for x in a + b)
-            if len(self.steps) >= 2 * CACHE:
+            if len(self.steps) >= CACHE:
                 self.steps.clear()
             self.steps[p, q] = found
         return found
