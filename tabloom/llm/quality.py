@@ -104,6 +104,7 @@ def _order_tables(counts: DataFrame, order: int, lower: DataFrame | None) -> tup
     context = F.shiftright("gram", 8)
     contexts = rows.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("all"), F.sum("cut").alias("spared"))
     contexts = contexts.select("lang", "context", "all", (F.col("spared") / F.col("all")).alias("escape"))
+    contexts = stage_table(contexts, f"kn-contexts-{order}")
     rows = rows.withColumn("context", context).join(contexts, ["lang", "context"])
     below = F.lit(1 / 256)
     if lower is not None:
@@ -121,7 +122,8 @@ def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     counts = [stage_table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "kn-counts")]
     for order in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
-        counts.insert(0, counts[0].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+        lower = counts[0].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        counts.insert(0, stage_table(lower, "kn-counts"))
     tables: list[tuple[DataFrame, DataFrame]] = []
     for order, c in enumerate(counts, 1):
         tables.append(_order_tables(c, order, tables[-1][0] if tables else None))
