@@ -1,0 +1,87 @@
+"""Near copies of the pipeline: exact Jaccard >= 4/5 of five-word shingles, against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tabloom.llm import components, near_copies
+from tests.llm.fixtures import awkward, awkward_rows, empty
+
+
+def _brute(rows):
+    """The smallest reachable id of every id."""
+    sets = []
+    for doc, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append((doc, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    root = {doc: doc for doc, _ in rows}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    return root
+
+
+def _planted(seed=1):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rnd.choices(words, k=60)
+    rows = []
+    for n in [1, 4, 5, 6, 8, 9, 12, 20, 40, 90, 300, 1500] * 4:
+        base = rnd.choices(words, k=n)
+        if rnd.random() < 0.3:
+            base = base + passage
+        for _ in range(rnd.randrange(1, 6)):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 2 + n // 30)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            if rnd.random() < 0.3:
+                copy = copy + rnd.choices(words, k=rnd.randrange(1, 2 + n // 5))
+            rows.append(" ".join(copy))
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_like_sets_share_a_signature():
+    rng = np.random.default_rng(3)
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 11, 17, 33, 64, 101, 257, 1000, 5000] * 20:
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        gone = int(rng.integers(0, n // 5 + 1))
+        # gone shingles less and as many new ones as the likeness of 4/5 allows
+        new = rng.integers(0, 1 << 64, int(rng.integers(0, max(0, 5 * (n - gone) // 4 - n) + 1)), dtype=np.uint64)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], new]))
+        common = len(np.intersect1d(a, b))
+        assert 5 * common >= 4 * (len(a) + len(b) - common)
+        assert np.intersect1d(near_copies.signatures(a), near_copies.signatures(b)).size
+
+
+def test_stage_removes_exactly_the_planted_copies(spark):
+    rows = _planted()
+    want = _brute(rows)
+    assert 20 < sum(i != c for i, c in want.items()) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()}
+    assert got == {i for i, c in want.items() if i == c}
+
+
+@pytest.mark.parametrize("bucket_bytes", [2000, 1 << 24])
+def test_groups_match_brute_force(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(near_copies, "BUCKET_BYTES", bucket_bytes)
+    rows = _planted(2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(df).collect()}
+    assert got == {i: c for i, c in _brute(rows).items() if i != c}
+
+
+def test_awkward_rows(spark):
+    known = [(r[0], r[1]) for r in awkward_rows() if r[0] is not None]
+    want = _brute(known)
+    kept = near_copies.kept_rows(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+    assert {r["doc_id"] for r in kept.collect()} == {None} | {i for i, c in want.items() if i == c}
+    assert kept.filter("doc_id IS NULL").count() == 2
+    assert near_copies.kept_rows(empty(spark)).count() == 0
+    assert components.smallest_reachable(near_copies.near_links(empty(spark)), "a", "b").count() == 0
