@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import sys
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.session import shared_path
+
 # Executors need not have this package installed: the reader travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -20,6 +23,12 @@ MAGIC = {"zip": "504B0304", "7z": "377ABCAF271C", "gzip": "1F8B"}
 TABLE_SUFFIXES = (".csv", ".tsv")
 LINES_PER_BATCH = 20_000
 MAX_CONTENT = 2_147_483_647
+HEAD_BYTES = 64 << 20
+# Suffixes by which Spark's reader finds a decoder, and kinds without a reader.
+SUFFIX = {"gzip": ".gz", "bzip2": ".bz2"}
+UNREAD = {"7z": MAGIC["7z"], "empty zip": "504B0506", "xz": "FD377A585A00", "zstd": "28B52FFD", "lz4": "04224D18", "rar": "526172211A07"}
+UNREAD |= {"parquet": "50415231"}
+CODED = (".deflate", ".snappy", ".lz4", ".zst")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -70,27 +79,95 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     return archives.mapInPandas(first_table_lines, "path string, member string, line_no bigint, line string")
 
 
+def _head(spark: SparkSession, path: str) -> str:
+    """Leading bytes of one file in hex, by the driver; the rest is not read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(where)
+    try:
+        found = [stream.read() for _ in range(6)]
+    finally:
+        stream.close()
+    return bytes(b for b in found if b >= 0).hex().upper()
+
+
+def file_kinds(spark: SparkSession, path: str) -> list[tuple[str, str, int, str]]:
+    """Name, path, size and kind of every file.
+
+    The kind is told by the leading bytes, else by the suffix. Small files are opened by tasks; of those
+    above HEAD_BYTES, however large, the driver reads six bytes.
+    """
+    listed = list_files(spark, path)
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = small.filter(F.col("length") <= HEAD_BYTES).select("path", F.hex(F.substring("content", 1, 6)).alias("head"))
+    heads = {r["path"]: r["head"] for r in small.collect()}
+    out = []
+    for r in listed.collect():
+        head = heads.get(r["path"])
+        head = _head(spark, r["path"]) if head is None else head
+        name = r["name"].lower()
+        by_head = [kind for kind, magic in (MAGIC | UNREAD | {"bzip2": "425A68"}).items() if head.startswith(magic)]
+        by_name = [kind for kind in ("zip", "7z") if name.endswith(f".{kind}")]
+        kind = (by_head + by_name + ["plain"])[0]
+        out.append((r["name"], r["path"], r["bytes"], kind))
+    return sorted(out)
+
+
+def _text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    return spark.read.option("recursiveFileLookup", True).text(escaped)
+
+
+def _renamed_copies(spark: SparkSession, wrong: list[tuple[str, str, str]]) -> DataFrame:
+    """Lines of (name, path, kind) files whose suffix hides their kind from Spark's reader.
+
+    The reader chooses the decoder by the suffix, so the files are copied, stream by stream, to the shared
+    folder under a name that fits.
+    """
+    jvm, conf, base = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), shared_path(spark, "renamed")
+    names = []
+    for i, (name, path, kind) in enumerate(wrong):
+        source = jvm.org.apache.hadoop.fs.Path(path)
+        copy = f"{i}{SUFFIX.get(kind, '.txt')}"
+        target = jvm.org.apache.hadoop.fs.Path(f"{base}/{copy}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        names.append((copy, source.toUri().toString(), name))
+    known = spark.createDataFrame(names, "copy string, path string, member string")
+    lines = _text_lines(spark, [base]).select(F.col("_metadata.file_name").alias("copy"), F.col("value").alias("line"))
+    return lines.join(F.broadcast(known), "copy").select("path", "member", F.lit(None).cast("bigint").alias("line_no"), "line")
+
+
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(path, member, line_no, line)`` of zip archives, gzip and plain tables below ``path``.
 
     Zip members are expanded in Python, one archive per row, which limits an archive to 2 GiB.
-    Gzip and plain tables of any size go through Spark's own reader.
+    Gzip, bzip2 and plain tables of any size and under any suffix go through Spark's own reader. A file of
+    another kind or a larger archive is an error that names it; no file is left out, but those that Spark
+    hides (names with a leading dot or underscore).
     """
-    too_big = list_files(spark, path).filter(F.lower("name").endswith(".zip") & (F.col("bytes") > MAX_CONTENT))
-    if not too_big.isEmpty():
-        raise ValueError(f"zip archives above {MAX_CONTENT} bytes below {path}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.filter(F.col("length") <= MAX_CONTENT)
-    kinds = files.select("path", archive_kind(F.col("content"), F.col("path")).alias("kind"), "content")
-    out = expand_archives(kinds.filter("kind = 'zip'").select("path", "content"))
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,tsv,gz}")
-    text = reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("member"),
-        F.lit(None).cast("bigint").alias("line_no"),
-        F.col("value").alias("line"),
-    )
-    return out.unionByName(text)
+    found = file_kinds(spark, path)
+    bad = [f"{p} ({kind}, {n} bytes)" for _, p, n, kind in found if kind in UNREAD or (kind == "zip" and n > MAX_CONTENT)]
+    if bad:
+        raise ValueError(f"no reader for {len(bad)} files below {path}: {', '.join(bad[:20])}")
+    archives, tables, wrong = [], [], []
+    for name, p, _, kind in found:
+        if kind == "zip":
+            archives.append(re.sub(r"([\\\[\]{}*?])", r"\\\1", p))
+        elif name.endswith((".gz", ".bz2", *CODED)) == (kind in ("gzip", "bzip2")) and SUFFIX.get(kind, "") in name[-4:]:
+            tables.append(p)
+        else:
+            wrong.append((name, p, kind))
+    out = spark.createDataFrame([], "path string, member string, line_no bigint, line string")
+    if archives:
+        out = out.unionByName(expand_archives(spark.read.format("binaryFile").load(archives).select("path", "content")))
+    if tables:
+        text = _text_lines(spark, tables).select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("member"),
+            F.lit(None).cast("bigint").alias("line_no"),
+            F.col("value").alias("line"),
+        )
+        out = out.unionByName(text)
+    return out.unionByName(_renamed_copies(spark, wrong)) if wrong else out
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str, per_file: bool = False) -> DataFrame:

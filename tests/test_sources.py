@@ -49,6 +49,39 @@ def test_archives(spark, tmp_path):
     assert got == [("b.csv.gz", "3"), ("b.csv.gz", "h"), ("c.csv", "4"), ("c.csv", "h"), ("d/t.csv", "1"), ("d/t.csv", "2"), ("d/t.csv", "h")]
 
 
+def test_archives_under_any_name(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+
+    monkeypatch.setattr(files, "HEAD_BYTES", 12)  # most heads by the driver
+    with zipfile.ZipFile(tmp_path / "zipped.csv", "w") as z:
+        z.writestr("t.csv", "z\n")
+    (tmp_path / "plain.txt").write_text("p\n")
+    (tmp_path / "odd [1] name").write_text("o\n")
+    (tmp_path / "mislead.gz").write_text("m\n")
+    (tmp_path / "b.csv.bz2").write_bytes(bz2.compress(b"b\n"))
+    (tmp_path / "c.bz2.csv").write_bytes(bz2.compress(b"c\n"))
+    (tmp_path / "packed").write_bytes(gzip.compress(b"g\n"))
+    (tmp_path / "packed.GZ").write_bytes(gzip.compress(b"G\n"))
+    rows = files.archive_lines(spark, str(tmp_path)).collect()
+    assert sorted(r.line for r in rows) == ["G", "b", "c", "g", "m", "o", "p", "z"]
+    assert {r.line: r.path.rsplit("/", 1)[1] for r in rows}["g"] == "packed"
+
+
+def test_archives_without_a_reader_are_named(spark, tmp_path, monkeypatch):
+    (tmp_path / "c.csv").write_text("h\n")
+    (tmp_path / "x.dat").write_bytes(bytes.fromhex(files.MAGIC["7z"]) + b"0" * 20)
+    with pytest.raises(ValueError, match="x.dat"):
+        files.archive_lines(spark, str(tmp_path))
+    (tmp_path / "other").mkdir()
+    with zipfile.ZipFile(tmp_path / "other" / "large.bin", "w") as z:
+        z.writestr("t.csv", "z\n")
+    monkeypatch.setattr(files, "MAX_CONTENT", 50)
+    monkeypatch.setattr(files, "HEAD_BYTES", 50)
+    with pytest.raises(ValueError, match="large.bin"):
+        files.archive_lines(spark, str(tmp_path / "other"))
+
+
 def test_archive_without_table(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
