@@ -20,7 +20,7 @@ EVIDENCE_BITS longer than at the threshold: a few odd words are no evidence.
 Defined results: a null or empty text has null perplexity and is rejected. A null language is a
 language of its own. Without trusted text in a language the perplexity is null and documents
 with text stay; without calibration documents they stay as well. Repeated rows are scored one by
-one. An empty table gives no rows. Other columns are carried through ``kept_rows``.
+one. An empty table gives no rows. ``kept_rows`` returns the columns of the input, whatever their names.
 """
 
 from __future__ import annotations
@@ -226,13 +226,10 @@ def _scorer(carry: list[str]):
 
 
 def perplexities(
-    df: DataFrame, trusted: DataFrame, keep: list[str], with_text: bool = False, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang",
-) -> DataFrame:
+    df: DataFrame, trusted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
     """__in (the ``keep`` columns), __lang, calibrates, perplexity and bytes of every row, written once.
 
-    With ``with_text`` also t, the text.
-
     ``trusted`` has the ids of trusted documents.
     """
     spark = df.sparkSession
@@ -256,7 +253,7 @@ def perplexities(
     wanted = blocks.groupBy("lang", "salt").applyInArrow(_wanted, "lang bigint, salt int, gram bigint")
     costs = resolve(wanted.select("lang", "gram").distinct(), tables)
     answers = wanted.join(costs, ["lang", "gram"]).select("lang", "salt", "gram", F.col("bits").cast("float").alias("bits"))
-    carry = ["__in", "__lang", "calibrates"] + ["t"] * with_text
+    carry = ["__in", "__lang", "calibrates"]
     fields = [docs.schema[c] for c in carry]
     fields += [T.StructField("perplexity", T.DoubleType()), T.StructField("bytes", T.LongType())]
     both = blocks.groupBy("lang", "salt").cogroup(answers.groupBy("lang", "salt"))
@@ -275,9 +272,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
     return cut.select(F.col("__lang").alias("of"), (F.pow(F.lit(2.0), F.col("cell") / BINS_PER_DOUBLING) * margin).alias("threshold"))
 
 
-def judged(df: DataFrame, trusted: DataFrame, keep: list[str], with_text: bool = False, **columns) -> DataFrame:
+def judged(df: DataFrame, trusted: DataFrame, keep: list[str], **columns) -> DataFrame:
     """The scored rows with threshold and kept."""
-    scored = perplexities(df, trusted, keep, with_text, **columns)
+    scored = perplexities(df, trusted, keep, **columns)
     out = scored.join(thresholds(scored), F.col("__lang").eqNullSafe(F.col("of")), "left")
     excess = (F.log2("perplexity") - F.log2("threshold")) * F.col("bytes")
     fits = F.coalesce(excess <= EVIDENCE_BITS, F.lit(True))
@@ -289,11 +286,25 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
 
 
-def kept_rows(df: DataFrame, trusted: DataFrame, text_col: str = "text", **columns) -> DataFrame:
-    """The rows that are not rejected, with the columns of the input; the text travels once."""
-    rest = [c for c in df.columns if c != text_col]
-    rows = judged(df, trusted, rest, True, text_col=text_col, **columns).filter("kept")
-    return rows.select(*[F.col("t").alias(c) if c == text_col else F.col(f"__in.`{c}`").alias(c) for c in df.columns])
+def kept_rows(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that are not rejected, with the columns of the input.
+
+    Rows of one id, language and text read alike, so the rejected ones are named by these (the text by two
+    hashes) and taken out by an anti-join; texts do not stay in memory beside the model's answers.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # A null id or language differs from any value.
+    name = {
+        "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")),
+        "__of": _language(F.col(lang_col)),
+        "__hash": F.xxhash64(text),
+        "__crc": F.crc32(text.cast("binary")),
+    }
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[c.alias(n) for n, c in name.items()])
+    flat = rows.select("__row.*", *name)
+    gone = judged(flat, trusted, list(name), id_col=id_col, text_col=text_col, lang_col=lang_col).filter(~F.col("kept"))
+    gone = gone.select(*[F.col(f"__in.{n}").alias(n) for n in name]).distinct()
+    return rows.join(gone, list(name), "left_anti").select("__row.*")
 
 
 @query("op4_quality")

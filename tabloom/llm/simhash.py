@@ -234,7 +234,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows but those whose group has a smaller id; rows without an id stay."""
     gone = near_groups(df, id_col, text_col).filter("doc_id != component_id")
-    return df.join(gone.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(df.columns)
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
 
 
 @query("op1_simhash")
