@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import exact_dedup, mixing, near_copies, quality, sentencepiece_scan
+from tabloom.llm import exact_dedup, mixing, quality, sentencepiece_scan, simhash
 from tabloom.llm.support import load, stage_table
 
 ORACLE_SQL = None
@@ -27,8 +27,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard >= 4/5) the smallest id stays."""
-    return near_copies.kept_rows(docs)
+    """Of each group of linked SimHash fingerprints (three-word shingles, three bits) the smallest id stays."""
+    return simhash.kept_rows(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
