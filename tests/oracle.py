@@ -52,6 +52,10 @@ def rows(pdf):
 
 def compare(spark_pdf, duck_pdf) -> str | None:
     """None on equality, else a short reason."""
+    for c in set(spark_pdf.columns) & set(duck_pdf.columns):
+        # pandas shows a nullable integer column of Spark as floats
+        if str(duck_pdf[c].dtype).startswith("Int") and str(spark_pdf[c].dtype) == "float64":
+            spark_pdf = spark_pdf.assign(**{c: spark_pdf[c].astype("Int64")})
     sc, sr = rows(spark_pdf)
     dc, dr = rows(duck_pdf)
     if sc != dc:
