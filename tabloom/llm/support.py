@@ -52,5 +52,18 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned crc32 of a text's UTF-8 bytes, four bits at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(f"{c}::BIGINT")
+    nibble = f"instr('0123456789ABCDEF', substr(hex({text}), i + 2 - 2 * (i % 2), 1)) - 1"
+    nibbles = f"list_transform(range(2 * octet_length(encode({text}))), lambda i: {nibble})"
+    step = f"xor(c >> 4, [{', '.join(table)}][1 + (xor(c, b) & 15)])"
+    return f"xor(4294967295, list_reduce({nibbles}, lambda c, b: {step}, 4294967295::BIGINT))"
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
