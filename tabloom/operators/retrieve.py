@@ -1,37 +1,20 @@
-"""Exact hybrid similarity search: text vector plus weighted category matches.
+"""Hybrid retrieval: index rows, explicit vectors, lookup of hits and payloads.
 
 The index row of a record is ``[unit text vector | w_1 * onehot_1 | ... ]`` scaled to length
 one, and so is the query, with its text part weighted. A one-hot block contributes w^2 to the
-inner product when both sides hold the same category and 0 otherwise, so the blocks are never
-materialised:
-
-    score = (t * cos + sum of w_i^2 over equal categories) / (|query| * |row|)
-
-Since |cos| <= 1, the categories alone bound the score. The search uses that to stay exact
-without comparing everything with everything:
-
-1. Count the index rows for every subset of categories (a "mask") from the small table of
-   distinct category combinations. For each query take the mask of largest category score that
-   still leaves k rows. Those rows hold at least k candidates.
-2. Score them, and the rows of every other mask with a larger category score, grouped by the
-   mask's key. Groups are cut into blocks of bounded size on both sides, so a hot category is
-   spread over many tasks; a task multiplies two small matrices and emits k rows per query,
-   never the pairs.
-3. Any other row has a known category score; where its bound could still reach the k-th score
-   found, that (query, mask) is searched too. Usually none is left.
+inner product when both sides hold the same category and 0 otherwise, so the search
+(``metric_search``) never materialises the blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import vectors as V
-from tabloom.session import cut_lineage
+from tabloom.operators.metric_search import SCORE_DIGITS
 
 # Category weights of the record index.
 RECORD_WEIGHTS = {
@@ -41,9 +24,6 @@ RECORD_WEIGHTS = {
     "competition_dataset_type": 1.0,
 }
 UNKNOWN = "Unknown"
-BLOCK_ROWS = 2048
-SCORE_DIGITS = 9
-SEPARATOR = "\u0001"
 
 
 def fill_categories(df: DataFrame, cats: Sequence[str]) -> DataFrame:
@@ -78,217 +58,6 @@ def hybrid_vector(vec: Column, blocks: Sequence[tuple[Column, Column, float]], t
     return V.unit(F.concat(text, *[one_hot(value, vocab, w) for value, vocab, w in blocks]))
 
 
-def _masks(cats: Sequence[str], weights: Mapping[str, float]) -> list[tuple[int, float]]:
-    return [
-        (m, sum(weights[c] ** 2 for i, c in enumerate(cats) if m >> i & 1)) for m in range(1 << len(cats))
-    ]
-
-
-def _exploded_masks(df: DataFrame, cats: Sequence[str], masks: list[tuple[int, float]]) -> DataFrame:
-    """One row per subset of the categories; the key holds the values of the subset."""
-    entries = []
-    for m, _ in masks:
-        parts = "".join(f", `{c}`" for i, c in enumerate(cats) if m >> i & 1)
-        entries.append(f"named_struct('mask', {m}, 'key', concat_ws('{SEPARATOR}', '{m}'{parts}))")
-    return df.selectExpr("*", f"inline(array({', '.join(entries)}))")
-
-
-def _mask_score(mask: Column, masks: list[tuple[int, float]]) -> Column:
-    return F.element_at(F.lit([float(s) for _, s in masks]), mask + 1)
-
-
-def _kernel(cats: Sequence[str], weights: Mapping[str, float], k: int, text_weight: float, exclude: bool):
-    """Score one block of queries against one block of rows; k best rows per query."""
-    squares = [float(weights[c]) ** 2 for c in cats]
-    total = sum(squares)
-
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": q["qid"].iloc[:0], "id": r["id"].iloc[:0], "score": np.zeros(0)})
-        if not len(q) or not len(r):
-            return empty
-        r = r.sort_values("id", kind="stable")
-        qv, rv = np.stack(q["vec"].to_numpy()), np.stack(r["vec"].to_numpy())
-        score = float(text_weight) * (qv @ rv.T)
-        match = np.zeros(score.shape, dtype=np.int64)
-        for i, c in enumerate(cats):
-            codes = pd.factorize(pd.concat([q[c], r[c]], ignore_index=True))[0]
-            same = codes[: len(q), None] == codes[None, len(q) :]
-            score += squares[i] * same
-            match |= same.astype(np.int64) << i
-        row_norm = np.sqrt((rv * rv).sum(axis=1) + total)
-        norms = q["qnorm"].to_numpy()[:, None] * row_norm[None, :]
-        score = np.divide(score, norms, out=np.zeros_like(score), where=norms > 0)
-        score = np.round(score, SCORE_DIGITS)
-        usable = np.ones(score.shape, dtype=bool)
-        if q["exact"].iloc[0]:
-            # Only rows that match these categories and no other: each pair is scored once.
-            usable &= match == int(q["mask"].iloc[0])
-        if exclude:
-            usable &= q["slug"].to_numpy()[:, None] != r["slug"].to_numpy()[None, :]
-        score = np.where(usable, score, -np.inf)
-        ids, qids = r["id"].to_numpy(), q["qid"].to_numpy()
-        found_q, found_r = [], []
-        for i in range(len(q)):
-            line = score[i]
-            if len(line) > k:
-                cut = np.partition(line, len(line) - k)[len(line) - k]
-                kept = np.flatnonzero((line >= cut) & (line > -np.inf))
-            else:
-                kept = np.flatnonzero(line > -np.inf)
-            # Rows are in id order, so a stable sort breaks ties by id.
-            best = kept[np.argsort(-line[kept], kind="stable")[:k]]
-            found_q.append(np.full(len(best), i))
-            found_r.append(best)
-        qi, ri = np.concatenate(found_q), np.concatenate(found_r)
-        return pd.DataFrame({"qid": qids[qi], "id": ids[ri], "score": score[qi, ri]})
-
-    return run
-
-
-def _scored(
-    requests: DataFrame,
-    wanted: DataFrame,
-    index: DataFrame,
-    keyed_cells: DataFrame,
-    cats: Sequence[str],
-    kernel,
-    block_rows: int,
-) -> DataFrame:
-    """Answer ``(query row, mask, key, exact)`` requests from the index rows that share the key.
-
-    ``wanted`` counts the requests per key. Both sides of a key are cut into blocks; a group is
-    one block pair, so its size is bounded however hot the key is.
-    """
-    blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
-    grid = wanted.select("mask", "key", "exact", "nr", blocks("nq").alias("qblocks"), blocks("nr").alias("rblocks"))
-    routes = (
-        keyed_cells.join(grid, ["mask", "key"])
-        .groupBy(*cats)
-        .agg(F.collect_list(F.struct("mask", "key", "exact", "qblocks", "rblocks")).alias("routes"))
-    )
-    right = (
-        index.join(routes, list(cats))
-        .select("id", "vec", "slug", *cats, F.explode("routes").alias("g"))
-        .select(
-            "id", "vec", "slug", *cats, "g.mask", "g.key", "g.exact",
-            F.pmod(F.xxhash64("id"), F.col("g.rblocks")).cast("int").alias("rb"),
-            F.explode(F.sequence(F.lit(0), F.col("g.qblocks") - 1)).alias("qb"),
-        )
-    )
-    left = requests.join(grid, ["mask", "key", "exact"]).select(
-        "qid", "vec", "slug", "qnorm", *cats, "mask", "key", "exact",
-        F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("rblocks") - 1)).alias("rb"),
-    )
-    group = ["mask", "key", "exact", "qb", "rb"]
-    qtype = requests.schema["qid"].dataType.simpleString()
-    rtype = index.schema["id"].dataType.simpleString()
-    # The work of a group is arithmetic, not bytes, so the configured parallelism is kept
-    # instead of merging partitions by their size.
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(parts, *group), right.repartition(parts, *group)
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        kernel, f"qid {qtype}, id {rtype}, score double"
-    )
-
-
-def _best(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def search(
-    index: DataFrame,
-    queries: DataFrame,
-    weights: Mapping[str, float],
-    k: int = 5,
-    text_weight: float = 1.0,
-    exclude_own: bool = False,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Exact top-k rows per query as ``(qid, rank, id, score)``, ties by id.
-
-    Both tables come from :func:`index_rows`; the query id is renamed from ``id``. With
-    ``exclude_own`` rows with the slug of the query are left out before ranking.
-    """
-    cats = list(weights)
-    masks = _masks(cats, weights)
-    total = sum(float(w) ** 2 for w in weights.values())
-    index = index.select("id", "vec", *cats, "slug")
-    queries = queries.select(F.col("id").alias("qid"), "vec", *cats, "slug")
-
-    # Distinct category combinations are all that planning needs to see of the index.
-    cell_key = [*cats, "slug"] if exclude_own else cats
-    fine = cut_lineage(index.groupBy(*cell_key).agg(F.count("*").alias("n")), "cells")
-    cells = fine.groupBy(*cats).agg(F.sum("n").alias("n")) if exclude_own else fine
-    keyed_cells = _exploded_masks(cells, cats, masks)
-    counts = keyed_cells.groupBy("mask", "key").agg(F.sum("n").alias("nr"))
-    query_cells = queries.groupBy(*cell_key).agg(F.count("*").alias("nq"))
-    asked = _exploded_masks(query_cells, cats, masks).join(counts, ["mask", "key"])
-    left_over = F.col("nr")
-    if exclude_own:
-        own = _exploded_masks(fine, cats, masks).groupBy("mask", "key", "slug").agg(F.sum("n").alias("own"))
-        asked = asked.join(own, ["mask", "key", "slug"], "left")
-        left_over = F.col("nr") - F.coalesce("own", F.lit(0))
-    known = F.lit(0.0)
-    for i, c in enumerate(cats):
-        known = known + F.when(F.bool_or(F.col("mask") == 1 << i), F.lit(float(weights[c]) ** 2)).otherwise(F.lit(0.0))
-    asked = asked.withColumn("cat_score", _mask_score(F.col("mask"), masks))
-    base = F.max_by("mask", F.when(left_over >= k, F.struct("cat_score", "mask")))
-    inside = F.col("p.mask").bitwiseAND(F.col("base")) == F.col("base")
-    plan = (
-        asked.groupBy(*cell_key)
-        .agg(
-            F.coalesce(base, F.lit(0)).alias("base"),
-            F.collect_list(F.struct("mask", "key", "cat_score", "nr")).alias("present"),
-            F.first("nq").alias("nq"),
-            known.alias("known"),
-        )
-        .withColumn("base_score", _mask_score(F.col("base"), masks))
-        .withColumn("p", F.explode("present"))
-        # One entry per mask to search; ``exact`` ones lie outside the base mask.
-        .filter((F.col("p.mask") == F.col("base")) | ~inside)
-        .select(
-            *cell_key, "nq", "known", "p.*",
-            (F.col("p.mask") != F.col("base")).alias("exact"),
-            ((F.col("p.mask") == F.col("base")) | (F.col("p.cat_score") > F.col("base_score"))).alias("now"),
-        )
-    )
-    plan = cut_lineage(plan, "plan")
-    t2 = F.lit(float(text_weight) ** 2)
-    requests = queries.join(plan.drop("nq", "nr"), cell_key).withColumn(
-        "qnorm", F.sqrt(t2 * F.pow(V.norm(F.col("vec")), F.lit(2.0)) + F.col("known"))
-    )
-    kernel = _kernel(cats, weights, k, text_weight, exclude_own)
-    wanted = plan.filter("now").groupBy("mask", "key", "exact").agg(F.sum("nq").alias("nq"), F.first("nr").alias("nr"))
-    first = _scored(requests.filter("now"), wanted, index, keyed_cells, cats, kernel, block_rows)
-    first = cut_lineage(_best(first, k), "hits")
-
-    # Any other mask can only matter if its bound reaches the k-th score.
-    later = plan.filter(~F.col("now"))
-    kth = first.groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-    bound = (F.lit(float(text_weight)) + F.col("cat_score")) / F.lit((1.0 + total) ** 0.5)
-    if total > 0:
-        bound = F.greatest(bound, F.col("cat_score") / F.lit(total**0.5))
-    rest = (
-        requests.filter(~F.col("now"))
-        .join(kth, "qid", "left")
-        .filter(
-            (F.coalesce("found", F.lit(0)) < k)
-            | (F.try_divide(bound, F.col("qnorm")) >= F.col("kth") - F.lit(1e-8))
-        )
-        .drop("found", "kth")
-    )
-    rest = cut_lineage(rest, "rest")
-    if rest.isEmpty():
-        return first.select("qid", "rank", "id", "score")
-    sizes = later.select("mask", "key", "nr").distinct()
-    wanted = rest.groupBy("mask", "key", "exact").agg(F.count("*").alias("nq")).join(sizes, ["mask", "key"])
-    more = _scored(rest, wanted, index, keyed_cells, cats, kernel, block_rows)
-    merged = first.select("qid", "id", "score").unionByName(more)
-    return _best(merged, k).select("qid", "rank", "id", "score")
-
-
 def nearest(index: DataFrame, score: Column, k: int, tie: str = "id") -> DataFrame:
     """Global top-k of one query: a scan with a top-k per task, no shuffle of the table."""
     return index.withColumn("score", F.round(score, SCORE_DIGITS)).orderBy(F.desc("score"), F.asc(tie)).limit(k)

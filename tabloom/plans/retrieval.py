@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
 from tabloom.functions import vectors as V
-from tabloom.operators import encoders, retrieve
+from tabloom.operators import encoders, metric_search, retrieve
 from tabloom.plans.common import load, r6
 from tabloom.plans.registry import query
 
@@ -62,7 +62,7 @@ def _topk_sql(t: float, k: int, exclude: bool, weights: dict[str, float] = WEIGH
 def hits(spark, d, text_weight=1.0, k=5, exclude=False):
     index = retrieve.index_rows(records(spark, d), "vec_id", "embedding", CATS, "slug")
     queries = retrieve.index_rows(query_side(spark, d), "vec_id", "embedding", CATS, "slug")
-    return retrieve.search(index, queries, WEIGHTS, k, text_weight, exclude)
+    return metric_search.search(index, queries, WEIGHTS, k, text_weight, exclude)
 
 
 @query(

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabloom.operators import retrieve
+from tabloom.operators import metric_search, retrieve
 
 WEIGHTS = {"a": 3.0, "b": 2.5, "c": 2.0, "d": 1.0}
 
@@ -59,7 +59,7 @@ def test_search_is_exact(spark, t, k, exclude, unknown, block):
     rows, queries = make(120, 1), make(40, 2)
     if unknown:
         queries = [(r[0], r[1], "never seen" if r[0] % 4 == 0 else r[2], *r[3:]) for r in queries]
-    got = retrieve.search(
+    got = metric_search.search(
         frame(spark, rows), frame(spark, queries), WEIGHTS, k, t, exclude, block
     ).collect()
     want = brute(rows, queries, WEIGHTS, k, t, exclude)
@@ -74,13 +74,59 @@ def test_search_is_exact(spark, t, k, exclude, unknown, block):
 
 def test_zero_vectors_and_short_index(spark):
     rows, queries = make(30, 3, zero=True), make(10, 4, zero=True)
-    got = retrieve.search(frame(spark, rows), frame(spark, queries), WEIGHTS, 40, 1.0, False, 8).collect()
+    got = metric_search.search(frame(spark, rows), frame(spark, queries), WEIGHTS, 40, 1.0, False, 8).collect()
     want = brute(rows, queries, WEIGHTS, 40, 1.0, False)
     assert len(got) == 300
     for r in got:
         assert r.score == pytest.approx(want[r.qid][r["rank"] - 1][1], abs=1e-8)
 
 
+def clustered(spark, n, clusters=12, dim=8):
+    """Vectors around a few centres, one category for all rows."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(clusters, dim))
+    rows = [(i, (centres[i % clusters] + 0.02 * rng.normal(size=dim)).tolist(), "x", "x", "x", "x", f"g{i % 5}") for i in range(n)]
+    return rows, frame(spark, rows)
+
+
+def test_compared_pairs_grow_less_than_quadratically(spark):
+    pairs = {}
+    for n in (600, 2400):
+        _, df = clustered(spark, n, n // 40)
+        pairs[n] = metric_search.compared_pairs(df, df, WEIGHTS, 5, 1.0, False, 32)
+    # Four times the rows on both sides are sixteen times the pairs; 4 ** 1.5 = 8.
+    assert pairs[2400] < 0.1 * 2400**2
+    assert pairs[2400] < 8 * pairs[600]
+
+
+@pytest.mark.parametrize("exclude, block", [(False, 32), (True, 5)])
+def test_clustered_search_is_exact(spark, exclude, block):
+    rows, df = clustered(spark, 300)
+    got = metric_search.search(df, df, WEIGHTS, 4, 3.0, exclude, block).collect()
+    want = brute(rows, rows, WEIGHTS, 4, 3.0, exclude)
+    found = {}
+    for r in sorted(got, key=lambda r: (r.qid, r.rank)):
+        found.setdefault(r.qid, []).append(r.id)
+    assert found == {q: [i for i, _ in hits] for q, hits in want.items()}
+
+
+def test_hot_category_and_equal_vectors(spark):
+    """A third of the rows are the same vector: blocks stay bounded and ties go by id."""
+    rows = [(i, [1.0, 0.0], "x", "x", "x", "x", "g") if i % 3 == 0 else (i, [float(i % 7), 1.0], f"v{i % 4}", "y", "y", "y", "h") for i in range(240)]
+    df = frame(spark, rows)
+    got = metric_search.search(df, df, WEIGHTS, 3, 1.0, False, 16).collect()
+    want = brute(rows, rows, WEIGHTS, 3, 1.0, False)
+    for r in got:
+        assert r.id == want[r.qid][r["rank"] - 1][0]
+    assert len(got) == 720
+
+
+def test_empty_index_and_no_queries(spark):
+    df = frame(spark, make(20, 1))
+    assert metric_search.search(df.filter("id < 0"), df, WEIGHTS).count() == 0
+    assert metric_search.search(df, df.filter("id < 0"), WEIGHTS).count() == 0
+
+
 def test_first_record_wins(spark):
     df = spark.createDataFrame([("u/k", 2, "late"), ("u/k", 1, "first"), ("v", 3, "v")], "ref string, o int, t string")
     out = {r.record_key: r.t for r in retrieve.first_records(df, df.ref, "o").collect()}
