@@ -196,13 +196,6 @@ def grid_cell(g: Column, row: int, col: int) -> Column:
     return F.element_at(F.element_at(g, row + 1), col + 1)
 
 
-def one_hot(value: Column, vocabulary: Column, weight: float = 1.0) -> Column:
-    """One weighted 0/1 element per vocabulary entry; unknown gives all zeros."""
-    return F.transform(
-        vocabulary, lambda v: F.when(v.eqNullSafe(value), F.lit(float(weight))).otherwise(F.lit(0.0))
-    )
-
-
 def bucket_of_key(key: Column, buckets: int = 100) -> Column:
     """Stable pseudo-random bucket of a key, the same in every run and engine."""
     head = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")

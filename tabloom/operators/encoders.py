@@ -107,29 +107,3 @@ def binary_encode(df: DataFrame, col: str, mode: Column, vocabulary: DataFrame)
         .withColumn(col, F.coalesce((F.col("__value") != mode).cast("int"), F.lit(0)))
         .drop("__value")
     )
-
-
-def with_vocabulary(df: DataFrame, values: DataFrame, col: str, name: str) -> DataFrame:
-    """Adds the sorted distinct values of a column of another table as one array, of any length.
-
-    The array is a scalar subquery: it is computed once and joins nothing.
-    """
-    known = values.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    return df.withColumn(name, known.agg(F.array_sort(F.collect_list("v"))).scalar())
-
-
-def with_label_vocabulary(df: DataFrame, labels: Column, name: str) -> DataFrame:
-    """Adds the sorted distinct entries of a list-valued column."""
-    return with_vocabulary(df, df.select(F.explode(labels).alias("label")), "label", name)
-
-
-def binarize(labels: Column, vocabulary: Column) -> Column:
-    """One 0/1 element per vocabulary entry."""
-    return F.transform(vocabulary, lambda v: F.array_contains(labels, v).cast("int"))
-
-
-def unbinarize(flags: Column, vocabulary: Column) -> Column:
-    return F.transform(
-        F.filter(F.arrays_zip(flags.alias("f"), vocabulary.alias("v")), lambda z: z["f"] == 1), lambda z: z["v"]
-    )
-

@@ -6,14 +6,14 @@ parameters enter the scan of the other table as a scalar subquery.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
-from tabloom.operators import aggregate, encoders
+from tabloom.operators import aggregate, encoders, sparse
 from tabloom.operators.project import distinct_counts_up_to, present
 from tabloom.operators.quantiles import exact_quantiles, quantile_name
 from tabloom.session import one_row
@@ -150,28 +150,45 @@ LOG_TARGETS = ("continuous-regression", "quantile-regression", "multi-output reg
 MULTI_LABEL = "multi-label-classification"
 
 
-def transform_target(df: DataFrame, subtype: str, target: str, out: str = "y") -> DataFrame:
-    """Encoded target by sub-type, with the flag ``log_applied`` for the way back."""
-    raw = df.withColumn("log_applied", F.lit(False))
+def transform_target(df: DataFrame, subtype: str, target: str, out: str = "y", flag: str = "log_applied") -> DataFrame:
+    """Encoded target by sub-type, with the flag for the way back.
+
+    Label sets become sparse vectors, numbers their logarithm if none is negative.
+    """
+    raw = df.withColumn(flag, F.lit(False))
     if subtype in LABEL_TARGETS:
         text = raw.withColumn(target, F.col(target).cast("string"))
         return encoders.encode(text, target, encoders.sorted_vocabulary(text, target), out)
     if subtype == MULTI_LABEL:
-        coded = encoders.with_label_vocabulary(raw, F.col(target), "__labels")
-        return coded.withColumn(out, encoders.binarize(F.col(target), F.col("__labels"))).drop("__labels")
+        return sparse.label_sets(raw, target, sparse.label_vocabulary(raw, target), out)
     if subtype in LOG_TARGETS:
-        y = F.col(target).cast("double")
-        positive = one_row(df.agg(F.bool_and(y >= 0).alias("ok")))["ok"]
-        return df.withColumn("log_applied", F.coalesce(positive, F.lit(False))).withColumn(
-            out, F.when(F.col("log_applied"), F.log1p(F.greatest(y, F.lit(0.0)))).otherwise(y)
-        )
+        return transform_targets(df, {target: out}, {target: flag})
     return raw.withColumn(out, F.col(target))
 
 
-def invert_target(df: DataFrame, prediction: str, cap: float = 20.0) -> DataFrame:
+def transform_targets(df: DataFrame, targets: Mapping[str, str], flags: Mapping[str, str], together: bool = False) -> DataFrame:
+    """Several numeric targets in one pass, each with its flag: the logarithm of a target without negative values.
+
+    ``together`` takes all logarithms or none. A target without a value is not transformed.
+    """
+    values = {t: F.col(t).cast("double") for t in targets}
+    signs = df.agg(*[F.bool_and(y >= 0).alias(t) for t, y in values.items()])
+    if together:
+        whole = F.lit(True)
+        for t in targets:
+            whole = whole & F.coalesce(F.col(f"`{t}`"), F.lit(True))
+        some = F.coalesce(*[F.col(f"`{t}`") for t in targets]).isNotNull()
+        signs = signs.select(*[(whole & some).alias(t) for t in targets])
+    p = one_row(signs)
+    df = df.withColumns({flags[t]: F.coalesce(p[t], F.lit(False)) for t in targets})
+    logs = {o: F.when(F.col(flags[t]), F.log1p(F.greatest(values[t], F.lit(0.0)))).otherwise(values[t]) for t, o in targets.items()}
+    return df.withColumns(logs)
+
+
+def invert_target(df: DataFrame, prediction: str, cap: float = 20.0, flag: str = "log_applied") -> DataFrame:
     """Predictions back on the scale of the target, by the flag of :func:`transform_target`."""
     p = F.col(prediction)
-    return df.withColumn(prediction, F.when(F.col("log_applied"), S.inverse_log1p(p, cap)).otherwise(p))
+    return df.withColumn(prediction, F.when(F.col(flag), S.inverse_log1p(p, cap)).otherwise(p))
 
 
 def date_features(df: DataFrame, col: str) -> DataFrame:

@@ -3,7 +3,7 @@
 The index row of a record is ``[unit text vector | w_1 * onehot_1 | ... ]`` scaled to length
 one, and so is the query, with its text part weighted. A one-hot block contributes w^2 to the
 inner product when both sides hold the same category and 0 otherwise, so the search
-(``metric_search``) never materialises the blocks.
+(``metric_search``) never materialises the blocks; ``sparse.hybrid`` states them.
 """
 
 from __future__ import annotations
@@ -50,14 +50,6 @@ def index_rows(df: DataFrame, key: str, vector: str, cats: Sequence[str], slug:
     )
 
 
-def hybrid_vector(vec: Column, blocks: Sequence[tuple[Column, Column, float]], text_weight: float = 1.0) -> Column:
-    """The explicit vector: weighted unit text vector, then one weighted one-hot block each."""
-    from tabloom.functions.scalars import one_hot
-
-    text = F.transform(V.unit(V.as_double(vec)), lambda x: x * F.lit(float(text_weight)))
-    return V.unit(F.concat(text, *[one_hot(value, vocab, w) for value, vocab, w in blocks]))
-
-
 def nearest(index: DataFrame, score: Column, k: int, tie: str = "id") -> DataFrame:
     """Global top-k of one query: a scan with a top-k per task, no shuffle of the table."""
     return index.withColumn("score", F.round(score, SCORE_DIGITS)).orderBy(F.desc("score"), F.asc(tie)).limit(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
-from tabloom.operators import encoders, features, tokens, windows
+from tabloom.operators import encoders, features, sparse, tokens, windows
 from tabloom.plans.common import load, r6, with_nulls
 from tabloom.plans.registry import query
 
@@ -101,12 +101,25 @@ def t6(spark, d):
               || list_transform([0, 1], lambda x: CASE WHEN x = vec_id % 2 THEN '2.5' ELSE '0.0' END), ' ') AS block FROM embeddings, v""",
 )
 def t7(spark, d):
+    coded = _weighted(spark, d)
+    return coded.select("vec_id", F.array_join(sparse.dense(F.col("b")).cast("array<string>"), " ").alias("block"))
+
+
+def _weighted(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 2).alias("kind"))
-    coded = df
-    for c in ("label", "kind"):
-        coded = encoders.with_vocabulary(coded, df, c, f"v_{c}")
-    blocks = [S.one_hot(F.col(c), F.col(f"v_{c}"), w) for c, w in (("label", 3.0), ("kind", 2.5))]
-    return coded.select("vec_id", F.array_join(F.concat(*blocks).cast("array<string>"), " ").alias("block"))
+    return sparse.category_blocks(df, sparse.vocabularies(df, ["label", "kind"]), {"label": 3.0, "kind": 2.5}, "b")
+
+
+@query(
+    "t7_sparse_blocks",
+    """WITH v AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS i, CAST(count(*) OVER () AS INT) AS n FROM (SELECT DISTINCT label FROM embeddings)),
+            t AS (SELECT vec_id, i, n FROM embeddings JOIN v USING (label))
+       SELECT vec_id, n + 2 AS size, i AS idx, 3.0::DOUBLE AS value FROM t UNION ALL SELECT vec_id, n + 2, CAST(n + vec_id % 2 AS INT), 2.5::DOUBLE FROM t""",
+)
+def t7_sparse(spark, d):
+    b = F.col("b")
+    entries = F.arrays_zip(b["indices"].alias("idx"), b["values"].alias("value"))
+    return _weighted(spark, d).select("vec_id", b["size"].alias("size"), F.explode(entries).alias("e")).select("vec_id", "size", "e.*")
 
 
 @query(
@@ -157,13 +170,26 @@ def t10(spark, d):
 )
 def t11(spark, d):
     df = load(spark, d, "part").select("p_partkey", S.words(F.col("p_name")).alias("w"))
-    flagged = encoders.with_label_vocabulary(df, F.col("w"), "v")
-    flagged = flagged.select("p_partkey", "v", encoders.binarize(F.col("w"), F.col("v")).alias("f"))
-    return flagged.select(
-        "p_partkey",
-        F.array_join(F.col("f").cast("array<string>"), "").alias("flags"),
-        F.array_join(encoders.unbinarize(F.col("f"), F.col("v")), " ").alias("labels"),
-    )
+    vocabulary = sparse.label_vocabulary(df, "w")
+    sets = sparse.label_sets(df, "w", vocabulary, "f", "p_partkey")
+    named = sparse.labels_of(sets, "f", vocabulary, "labels", "p_partkey")
+    flags = F.array_join(sparse.dense(F.col("f")).cast("array<int>").cast("array<string>"), "")
+    return sets.select("p_partkey", flags.alias("flags")).join(named, "p_partkey").withColumn("labels", F.array_join("labels", " "))
+
+
+@query(
+    "t11_sparse_labels",
+    """WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS x FROM part WHERE p_partkey % 3 <> 0),
+            v AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, CAST(count(*) OVER () AS INT) AS n FROM (SELECT DISTINCT x FROM w))
+       SELECT p_partkey, (SELECT any_value(n) FROM v) AS size, coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i), '') AS places
+       FROM (SELECT p_partkey FROM part) LEFT JOIN w USING (p_partkey) LEFT JOIN v USING (x) GROUP BY p_partkey""",
+)
+def t11_sparse(spark, d):
+    """Every third part has no labels."""
+    words = F.when(F.col("p_partkey") % 3 != 0, S.words(F.col("p_name")))
+    df = load(spark, d, "part").select("p_partkey", words.alias("w"))
+    sets = sparse.label_sets(df, "w", sparse.label_vocabulary(df, "w"), "f", "p_partkey")
+    return sets.select("p_partkey", F.col("f.size").alias("size"), F.array_join(F.col("f.indices").cast("array<string>"), " ").alias("places"))
 
 
 @query(
@@ -176,11 +202,10 @@ def t11_many(spark, d):
     """More than a thousand labels: all pairs of brand and size."""
     label = F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))
     df = load(spark, d, "part").select("p_partkey", F.array(label).alias("w"))
-    coded = encoders.with_label_vocabulary(df, F.col("w"), "v")
-    flags = coded.select("p_partkey", encoders.binarize(F.col("w"), F.col("v")).alias("f"))
-    return flags.select(
-        "p_partkey", F.array_position("f", 1).cast("int").alias("place"),
-        F.size(F.filter("f", lambda x: x == 1)).alias("hits"), F.size("f").alias("width"),
+    sets = sparse.label_sets(df, "w", sparse.label_vocabulary(df, "w"), "f", "p_partkey")
+    return sets.select(
+        "p_partkey", (F.element_at("f.indices", 1) + 1).alias("place"),
+        F.size("f.indices").alias("hits"), F.col("f.size").alias("width"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
 from tabloom.functions import vectors as V
-from tabloom.operators import encoders, metric_search, retrieve
+from tabloom.operators import metric_search, retrieve, sparse
 from tabloom.plans.common import load, r6
 from tabloom.plans.registry import query
 
@@ -98,13 +98,23 @@ def _vector_sql(source: str, t: float, prefix: str) -> str:
  SELECT vec_id, CAST(unnest(range(len(h))) AS INT) AS pos, round(unnest(h), 9) AS value FROM n"""
 
 
+def _hybrid(df, index, text_weight):
+    coded = sparse.category_blocks(df, sparse.vocabularies(index, CATS), WEIGHTS, "blocks")
+    return coded.select("vec_id", sparse.hybrid(F.col("embedding"), F.col("blocks"), text_weight).alias("h"))
+
+
 def _explicit(df, index, text_weight):
-    for c in CATS:
-        df = encoders.with_vocabulary(df, index, c, f"v_{c}")
-    blocks = [(F.col(c), F.col(f"v_{c}"), w) for c, w in WEIGHTS.items()]
-    return df.select(
-        "vec_id", F.posexplode(retrieve.hybrid_vector(F.col("embedding"), blocks, text_weight)).alias("pos", "value")
-    ).withColumn("value", F.round("value", 9))
+    both = F.concat(F.col("h.text"), sparse.dense(F.col("h.blocks")))
+    return _hybrid(df, index, text_weight).select("vec_id", F.posexplode(both).alias("pos", "value")).withColumn("value", F.round("value", 9))
+
+
+def _entries(df, index, text_weight):
+    """The entries that a row holds: text elements, and one element per known category behind them."""
+    rows = _hybrid(df, index, text_weight).withColumn("d", F.size("h.text"))
+    text = F.transform(F.col("h.text"), lambda x, i: F.struct(i.alias("pos"), x.alias("value")))
+    blocks = F.zip_with(F.col("h.blocks.indices"), F.col("h.blocks.values"), lambda i, x: F.struct((F.col("d") + i).alias("pos"), x.alias("value")))
+    out = rows.select("vec_id", (F.col("d") + F.col("h.blocks.size")).alias("width"), F.explode(F.concat(text, blocks)).alias("e"))
+    return out.select("vec_id", "width", "e.pos", F.round("e.value", 9).alias("value"))
 
 
 @query("r3_hybrid_index", _vector_sql("idx", 1.0, ""))
@@ -119,6 +129,28 @@ def r4(spark, d):
     return _explicit(retrieve.fill_categories(query_side(spark, d), CATS), index, 0.5)
 
 
+def _entry_sql(source: str, t: float, prefix: str) -> str:
+    """Dense positions but those of zero blocks; text elements stay, whatever they are."""
+    dims = "(SELECT any_value(len(v)) FROM idx)"
+    width = "CAST(max(pos) OVER (PARTITION BY vec_id) + 1 AS INT)"
+    dense = _vector_sql(source, t, prefix)
+    head, tail = dense.split(" SELECT vec_id, CAST(unnest", 1)
+    return f"""{head}, every AS (SELECT vec_id, CAST(unnest{tail})
+ SELECT vec_id, width, pos, value FROM (SELECT *, {width} AS width FROM every) WHERE pos < {dims} OR value <> 0"""
+
+
+@query("r3_sparse_index", _entry_sql("idx", 1.0, ""))
+def r3_sparse(spark, d):
+    index = retrieve.fill_categories(records(spark, d), CATS)
+    return _entries(index, index, 1.0)
+
+
+@query("r4_sparse_query", _entry_sql("qry", 0.5, "q_"))
+def r4_sparse(spark, d):
+    index = retrieve.fill_categories(records(spark, d), CATS)
+    return _entries(retrieve.fill_categories(query_side(spark, d), CATS), index, 0.5)
+
+
 @query("r5_hybrid_topk", _topk_sql(1.0, 5, False) + " SELECT * FROM hits")
 def r5(spark, d):
     return hits(spark, d)

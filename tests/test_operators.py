@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
-from tabloom.operators import encoders, features, metrics, profile, project, tags, windows
+from tabloom.operators import encoders, features, metrics, profile, project, sparse, tags, windows
 from tabloom.operators.quantiles import exact_quantiles
 from tabloom.operators.running import row_numbers, running_totals
 
@@ -151,7 +151,47 @@ def test_negative_target_is_not_logged(spark):
 
 def test_multi_label_target(spark):
     df = spark.createDataFrame([(["b", "a"],), (["c"],)], "y array<string>")
-    assert [r.t for r in features.transform_target(df, features.MULTI_LABEL, "y", "t").collect()] == [[1, 1, 0], [0, 0, 1]]
+    out = features.transform_target(df, features.MULTI_LABEL, "y", "t")
+    assert sorted(r[0] for r in out.select(sparse.dense(F.col("t"))).collect()) == [[0.0, 0.0, 1.0], [1.0, 1.0, 0.0]]
+    assert sorted((r.t.size, r.t.indices) for r in out.collect()) == [(3, [0, 1]), (3, [2])]
+
+
+def test_targets_have_one_flag_each(spark):
+    df = spark.createDataFrame([(1.0, -1.0, None), (3.0, 2.0, None)], "a double, b double, c double")
+    targets, flags = {"a": "ya", "b": "yb", "c": "yc"}, {"a": "fa", "b": "fb", "c": "fc"}
+    got = features.transform_targets(df, targets, flags).orderBy("a").collect()
+    assert [(r.fa, r.fb, r.fc) for r in got] == [(True, False, False)] * 2
+    assert got[0].ya == pytest.approx(math.log(2)) and got[0].yb == -1.0 and got[0].yc is None
+    joint = features.transform_targets(df, targets, flags, together=True).first()
+    assert not (joint.fa or joint.fb or joint.fc)
+
+
+def test_hundred_thousand_categories(spark):
+    """A row holds its own entries; the vocabulary stays a table."""
+    n = 100_000
+    df = spark.range(n).select("id", F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("c"), (F.col("id") % 3).alias("k"))
+    vocabulary = sparse.vocabularies(df, ["c", "k"])
+    coded = sparse.category_blocks(df.withColumn("c", F.when(F.col("id") % 10 != 0, F.col("c"))), vocabulary, {"c": 2.0, "k": 1.0}, "v")
+    v = F.col("v")
+    checked = coded.agg(
+        F.bool_and(v["size"] == n + 3).alias("size"), F.max(F.size(v["indices"])).alias("most"), F.min(F.size(v["indices"])).alias("least"),
+        F.bool_and(sparse.value_at(v, F.col("id").cast("int")) == F.when(F.col("id") % 10 != 0, 2.0).otherwise(0.0)).alias("first"),
+        F.bool_and(sparse.value_at(v, (F.lit(n) + F.col("id") % 3).cast("int")) == 1.0).alias("second"),
+        F.bool_and(F.abs(sparse.norm(v) ** 2 - sparse.product(v, v)) < 1e-9).alias("norm"),
+    ).first()
+    assert checked.asDict() == {"size": True, "most": 2, "least": 1, "first": True, "second": True, "norm": True}
+    sets = sparse.label_sets(df.withColumn("w", F.array("c", F.lit("unknown"))), "w", vocabulary.filter("column = 'c'"), "v", "id")
+    assert sets.filter("v.size = 100000 AND size(v.indices) = 1 AND v.indices[0] = id").count() == n
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.count("collect_list") == 1  # a row's own labels
+
+
+def test_hybrid_product_is_the_score(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0], "a"), (2, [0.0, 1.0], "a"), (3, [0.0, 0.0], None)], "id long, v array<double>, c string")
+    coded = sparse.category_blocks(df, sparse.vocabularies(df, ["c"]), {"c": 2.0}, "b").select("id", sparse.hybrid(F.col("v"), F.col("b")).alias("h"))
+    pairs = coded.alias("x").join(coded.alias("y"), F.col("x.id") <= F.col("y.id"))
+    got = {(r[0], r[1]): r[2] for r in pairs.select("x.id", "y.id", sparse.hybrid_product(F.col("x.h"), F.col("y.h"))).collect()}
+    assert got[1, 1] == pytest.approx(1) and got[1, 2] == pytest.approx((0.8 + 4) / 5) and got[1, 3] == got[3, 3] == 0
 
 
 def test_group_median_of_empty_group(spark):
