@@ -315,6 +315,38 @@ def t17(spark, d):
     )
 
 
+@query(
+    "t17_several_targets",
+    """SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS y_price, true AS price_log, o_totalprice - 200000 AS y_centred, false AS centred_log,
+              round(o_totalprice, 2) AS price_back, round(o_totalprice - 200000, 2) AS centred_back, false AS joint_log FROM orders""",
+)
+def t17_several(spark, d):
+    """One pass over several targets: each its own flag, or all one flag."""
+    df = load(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), (F.col("o_totalprice") - 200000).alias("centred"))
+    targets, flags = {"price": "y_price", "centred": "y_centred"}, {"price": "price_log", "centred": "centred_log"}
+    out = features.transform_targets(df, targets, flags)
+    for t in targets:
+        out = features.invert_target(out.withColumn(f"{t}_back", F.col(f"y_{t}")), f"{t}_back", flag=f"{t}_log")
+    joint = {"price": "j_price", "centred": "j_centred"}
+    out = features.transform_targets(out, joint, {"price": "joint_log", "centred": "joint_too"}, together=True)
+    return out.select(
+        "o_orderkey", r6(F.col("y_price")).alias("y_price"), "price_log", "y_centred", "centred_log",
+        F.round("price_back", 2).alias("price_back"), F.round("centred_back", 2).alias("centred_back"), "joint_log",
+    )
+
+
+@query(
+    "t17_label_sets",
+    """WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS x FROM part),
+            v AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM w))
+       SELECT p_partkey, string_agg(i::VARCHAR, ' ' ORDER BY i) AS places, false AS log_applied FROM w JOIN v USING (x) GROUP BY p_partkey""",
+)
+def t17_labels(spark, d):
+    df = load(spark, d, "part").select("p_partkey", S.words(F.col("p_name")).alias("w"))
+    out = features.transform_target(df, features.MULTI_LABEL, "w")
+    return out.select("p_partkey", F.array_join(F.col("y.indices").cast("array<string>"), " ").alias("places"), "log_applied")
+
+
 @query(
     "t18_column_pipeline",
     f"""WITH t AS ({_ORDERS}), m AS (SELECT median(o_totalprice) AS med FROM t WHERE train),
