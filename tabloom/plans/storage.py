@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tabloom.functions import vectors as V
 from tabloom.operators import joins, profile, retrieve
 from tabloom.plans.common import load
 from tabloom.plans.registry import query
@@ -329,18 +330,13 @@ def x1_index(spark, d):
     records = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
     day = F.to_timestamp(F.lit("2024-01-01"))
     deliveries = [records.filter("vec_id % 3 = 0"), records.filter("vec_id % 3 <= 1"), records]
-    weights = {"label": 2.0}
-    seen = None
     for n, rows in enumerate(deliveries):
         rows.withColumn("ts", F.date_add(day, n).cast("timestamp")).write.parquet(f"{base}/in/{n}")
         schema = spark.read.parquet(f"{base}/in/{n}").schema
-        ingest.ingest(spark, f"{base}/in/*", schema, f"{base}/records", f"{base}/state", "vec_id", "ts")
-        stored = spark.read.parquet(f"{base}/records").select("vec_id", "label", "vec")
-        if seen is None:
-            sinks.write_index(stored, weights, f"{base}/index", "m")
-        else:
-            sinks.append_index(joins.not_present(stored, seen, ["vec_id"]), weights, f"{base}/index", "m")
-        seen = spark.read.parquet(f"{base}/index/index_vectors").select("vec_id")
+        ingest.ingest_index(
+            spark, f"{base}/in/*", schema, f"{base}/records", f"{base}/index", f"{base}/state", "vec_id", "ts", {"label": 2.0}, "m",
+            lambda stored: stored.select("vec_id", "label", V.unit(V.as_double(F.col("vec"))).alias("vec")),
+        )
     _, vocab, meta = sinks.read_index(spark, f"{base}/index")
     ends = vocab.agg(F.count("*").alias("n_values"), F.min("idx").cast("bigint").alias("lowest"), F.max("idx").cast("bigint").alias("highest"))
     one = one_row(ends)

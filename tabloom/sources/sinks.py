@@ -8,8 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import encoders
-from tabloom.session import cut_lineage
+from tabloom.operators.running import row_numbers
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -54,45 +53,49 @@ def write_json(df: DataFrame, path: str, pretty: bool = False) -> None:
     df.select(record.alias("value")).write.text(path)
 
 
-def write_index(index: DataFrame, weights: Mapping[str, float], path: str, model: str) -> None:
-    """Vectors with their categories and ids, vocabularies with weights, and the model name."""
-    index.write.parquet(f"{path}/index_vectors")
-    vocab = None
-    for col, weight in weights.items():
-        part = encoders.sorted_vocabulary(index, col).select(
-            F.lit(col).alias("col"), "value", "idx", F.lit(float(weight)).alias("weight")
-        )
-        vocab = part if vocab is None else vocab.unionByName(part)
-    vocab.write.parquet(f"{path}/index_vocab")
-    meta = index.groupBy().agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("dim"))
-    meta.withColumn("model", F.lit(model)).write.parquet(f"{path}/index_meta")
-
-
-def append_index(fresh: DataFrame, weights: Mapping[str, float], path: str, model: str) -> None:
-    """Add encoded records to an index: their vectors, and new category values behind the known ones.
-
-    Positions of known values never change, so vectors encoded earlier stay valid.
+def append_index(fresh: DataFrame, weights: Mapping[str, float], path: str, model: str, batch: int = 0) -> None:
+    """Add encoded records to an index: vectors with categories and ids, new vocabulary values, counts and model.
+
+    Everything is written under the number of the batch, and replaces what the same batch left before. New
+    values get positions behind those of earlier batches, so vectors encoded earlier stay valid. Earlier
+    vectors are not read.
     """
     spark = fresh.sparkSession
-    known = spark.read.parquet(f"{path}/index_vocab")
-    parts = None
-    for col, weight in weights.items():
-        own = known.filter(F.col("col") == col)
-        new = fresh.join(own.select(F.col("value").alias(col)), col, "left_anti")
-        behind = F.coalesce(own.agg(F.max("idx")).scalar(), F.lit(-1)) + 1
-        part = encoders.sorted_vocabulary(new, col).select(
-            F.lit(col).alias("col"), "value", (F.col("idx") + behind).cast("int").alias("idx"), F.lit(float(weight)).alias("weight")
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    cut_lineage(parts, "vocab").write.mode("append").parquet(f"{path}/index_vocab")
-    fresh.write.mode("append").parquet(f"{path}/index_vectors")
-    vectors = spark.read.parquet(f"{path}/index_vectors")
-    meta = vectors.agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("dim")).withColumn("model", F.lit(model))
-    meta.write.mode("overwrite").parquet(f"{path}/index_meta")
+    entries = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for c in weights])
+    found = fresh.select(F.inline(entries)).filter(F.col("value").isNotNull()).distinct()
+    known = _earlier(spark, f"{path}/index_vocab", batch, "col string, value string, idx int, weight double")
+    new = row_numbers(found.join(known, ["col", "value"], "left_anti"), ["value"], "n", by=["col"])
+    behind = known.groupBy("col").agg((F.max("idx") + 1).alias("behind"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))]), F.col("col"))
+    idx = (F.col("n") - 1 + F.coalesce("behind", F.lit(0))).cast("int")
+    vocabulary = new.join(behind, "col", "left").select("col", "value", idx.alias("idx"), weight.alias("weight"))
+    vocabulary.write.mode("overwrite").parquet(f"{path}/index_vocab/batch={batch}")
+    fresh.write.mode("overwrite").parquet(f"{path}/index_vectors/batch={batch}")
+    meta = fresh.agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("dim")).withColumn("model", F.lit(model))
+    meta.write.mode("overwrite").parquet(f"{path}/index_meta/batch={batch}")
+
+
+def write_index(index: DataFrame, weights: Mapping[str, float], path: str, model: str) -> None:
+    """A new index; :func:`append_index` with later batch numbers adds to it."""
+    append_index(index, weights, path, model)
+
+
+def _earlier(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
+    """The rows of the batches before ``batch``."""
+    try:
+        rows = spark.read.schema(f"{schema}, batch int").option("basePath", path).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return rows.filter(F.col("batch") < batch).drop("batch")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/index_{part}") for part in ("vectors", "vocab", "meta"))
+    """Vectors, vocabulary and the one-row summary of all batches."""
+    vectors, vocabulary, meta = (spark.read.parquet(f"{path}/index_{part}") for part in ("vectors", "vocab", "meta"))
+    meta = meta.agg(F.sum("n_rows").alias("n_rows"), F.max("dim").alias("dim"), F.max_by("model", "batch").alias("model"))
+    return vectors.drop("batch"), vocabulary.drop("batch"), meta
 
 
 def submission(df: DataFrame, key: str, columns: Sequence[str], default: float = 0.0) -> DataFrame:

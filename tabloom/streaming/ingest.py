@@ -1,33 +1,103 @@
-"""Incremental ingest: new records are appended once, whatever is delivered again."""
+"""Incremental ingest: new records are taken once, whatever is delivered again.
+
+The keys seen so far live in the stream's state store, one small row per key: when it first came, when it came
+last, and the place (file and row) of its first row. A batch looks its own keys up and nothing else: the
+target is never read, so the work of a batch follows the batch. Keys that came first in this batch
+name the rows to take; only the files of the batch are opened for them.
+
+Output is written under the number of the batch and replaces what an earlier, failed run of the
+same batch left there. State is kept by batch as well, so a batch that runs again adds nothing.
+
+Of equal keys the first row counts: the earliest batch, then file time, path and row. Null keys are one key.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable, Mapping
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.sources.sinks import first_copies
+from tabloom.session import cut_lineage
+from tabloom.sources import sinks
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PLACE = ["file_path", "row_index"]
+
+
+def first_places(stream: DataFrame, key: str) -> DataFrame:
+    """Per key of the batch: the times of its first and last batch, and the place of its first row."""
+    rows = stream.select(
+        F.col(f"`{key}`").alias("key"),
+        F.current_timestamp().alias("arrived"),
+        F.col("_metadata.file_modification_time").alias("written"),
+        *[F.col(f"_metadata.{p}").alias(p) for p in _PLACE],
+    )
+    at = F.min(F.struct("arrived", "written", *_PLACE)).alias("at")
+    return rows.groupBy("key").agg(F.min("arrived").alias("first"), F.max("arrived").alias("last"), at)
+
 
+def new_rows(places: DataFrame, schema: T.StructType) -> DataFrame | None:
+    """The rows of the keys that came first in this batch; None if there are none."""
+    spark = places.sparkSession
+    # Written once: a second evaluation would run the state update again.
+    fresh = cut_lineage(places.filter("first = last").select(*[f"at.{p}" for p in _PLACE]), "new-keys")
+    paths = [unquote(r["file_path"]) for r in fresh.select("file_path").distinct().collect()]
+    if not paths:
+        return None
+    rows = spark.read.schema(schema).parquet(*paths)
+    place = [F.col(f"_metadata.{p}").alias(f"__{p}") for p in _PLACE]
+    rows = rows.select("*", *place)
+    match = (F.col("__file_path") == F.col("file_path")) & (F.col("__row_index") == F.col("row_index"))
+    return rows.join(fresh, match, "left_semi").drop(*[f"__{p}" for p in _PLACE])
 
-def append_unseen(batch: DataFrame, target: str, key: str, day: str) -> None:
-    """Append the rows of a batch whose key is not in the target; of equal keys the first row by load order.
 
-    Keys are compared over the whole target, since a key may come again with another day; only
-    the key column is read. A day's rows go to one task each, split by a hash of the key where a
-    day holds many.
+def run_batches(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    checkpoint: str,
+    key: str,
+    take: Callable[[DataFrame, int], None],
+    files_per_batch: int = 1000,
+) -> None:
+    """Give the new rows of every batch, with its number, to ``take``, then stop.
+
+    ``take`` may see a batch again after a failure and must replace what it wrote for that number.
     """
-    spark = batch.sparkSession
-    fresh = first_copies(batch, key).withColumn("day", F.date_format(day, "yyyy-MM-dd"))
-    schema = T.StructType([*batch.schema.fields, T.StructField("day", T.StringType())])
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ON_DISK)
     try:
-        known = spark.read.schema(schema).parquet(target).select(key)
-        fresh = fresh.join(known, key, "left_anti")
-    except AnalysisException as exc:
-        # The first batch has no target.
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-    fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(target)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+        def batch(places: DataFrame, number: int) -> None:
+            rows = new_rows(places, schema)
+            if rows is not None:
+                take(rows, number)
+
+        query = (
+            first_places(stream, key)
+            .writeStream.outputMode("update")
+            .foreachBatch(batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def write_days(rows: DataFrame, number: int, target: str, day: str) -> None:
+    """The rows of a batch below ``target``, by batch and day; large days are split over tasks."""
+    dated = rows.withColumn("day", F.date_format(day, "yyyy-MM-dd"))
+    dated.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{target}/batch={number}")
 
 
 def ingest(
@@ -40,18 +110,29 @@ def ingest(
     day: str,
     files_per_batch: int = 1000,
 ) -> None:
-    """Take in all files that arrived since the last run, then stop.
+    """Take in all files that arrived since the last run, then stop; ``target`` gets the columns batch and day."""
+    run_batches(spark, source, schema, checkpoint, key, lambda rows, n: write_days(rows, n, target, day), files_per_batch)
 
-    The checkpoint remembers the files; a batch that is run again after a failure adds nothing
-    twice, because its rows are compared with the target.
-    """
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    )
-    query = (
-        stream.writeStream.foreachBatch(lambda df, _: append_unseen(df, target, key, day))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+def ingest_index(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    target: str,
+    index: str,
+    checkpoint: str,
+    key: str,
+    day: str,
+    weights: Mapping[str, float],
+    model: str,
+    encode: Callable[[DataFrame], DataFrame],
+    files_per_batch: int = 1000,
+) -> None:
+    """One job from delivered files to records and index: new records are stored, encoded and appended."""
+
+    def take(rows: DataFrame, number: int) -> None:
+        write_days(rows, number, target, day)
+        stored = spark.read.parquet(f"{target}/batch={number}").drop("day")
+        sinks.append_index(encode(stored), weights, index, model, number)
+
+    run_batches(spark, source, schema, checkpoint, key, take, files_per_batch)

@@ -159,6 +159,67 @@ def test_ingest_takes_each_key_once(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 1), (3, 1)]
 
 
+def _deliver(spark, path, ids, v):
+    spark.createDataFrame([(i, v, f"c{i % 3}") for i in ids], "id long, v int, c string").coalesce(1).write.parquet(path)
+
+
+def _state_dirs(tmp_path):
+    return tuple(str(tmp_path / n) for n in ("in", "out", "state"))
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    """A batch whose commit was lost runs again over the same state and replaces its own output."""
+    src, out, state = _state_dirs(tmp_path)
+    schema = spark.createDataFrame([], "id long, v int, c string").schema
+    run = lambda: ingest.run_batches(
+        spark, f"{src}/*", schema, state, "id", lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    )
+    _deliver(spark, f"{src}/a", [1, 2, 3], 1)
+    run()
+    _deliver(spark, f"{src}/b", [3, 4, 5], 2)
+    run()
+    want = [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
+    read = lambda: sorted((r.id, r.v) for r in spark.read.parquet(out).collect())
+    assert read() == want
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    (tmp_path / "state" / "commits" / str(last)).unlink()
+    (tmp_path / "state" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    run()
+    assert read() == want
+    _deliver(spark, f"{src}/c", [5, 6], 3)
+    run()
+    assert read() == [*want, (6, 3)]
+
+
+def test_a_batch_does_not_read_the_target(spark, tmp_path):
+    """The rows of earlier batches may be anywhere: only the state and the new files are opened."""
+    src, out, state = _state_dirs(tmp_path)
+    schema = spark.createDataFrame([], "id long, v int, c string").schema
+    taken = []
+    run = lambda: ingest.run_batches(
+        spark, f"{src}/*", schema, state, "id", lambda rows, n: taken.append(sorted((r.id, r.v) for r in rows.collect()))
+    )
+    _deliver(spark, f"{src}/a", [1, 2], 1)
+    run()
+    for f in (tmp_path / "in" / "a").glob("*.parquet"):
+        f.write_bytes(b"gone")
+    _deliver(spark, f"{src}/b", [2, 2, 7, 7], 2)
+    run()
+    assert taken == [[(1, 1), (2, 1)], [(7, 2)]]
+
+
+def test_index_grows_by_batches(spark, tmp_path):
+    path = str(tmp_path / "index")
+    df = lambda ids: spark.createDataFrame([(i, f"c{i}", [1.0, 0.0]) for i in ids], "id long, c string, vec array<double>")
+    sinks.write_index(df([2, 3]), {"c": 2.0}, path, "m")
+    sinks.append_index(df([1, 3, 4]), {"c": 2.0}, path, "m", 5)
+    sinks.append_index(df([1, 4]), {"c": 2.0}, path, "m", 5)  # the same batch again
+    vectors, vocabulary, meta = sinks.read_index(spark, path)
+    assert sorted(r.id for r in vectors.collect()) == [1, 2, 3, 4]
+    assert {r.value: r.idx for r in vocabulary.collect()} == {"c2": 0, "c3": 1, "c1": 2, "c4": 3}
+    assert meta.first().asDict() == {"n_rows": 4, "dim": 2, "model": "m"}
+
+
 def section(html):
     return {s["heading"]: (s["text"], s["block"]) for s in pages.page_sections(html)}
 
