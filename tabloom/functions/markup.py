@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The named entities of ordinary prose; &amp; comes last.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&trade;": "™",
-    "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–",
-    "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»",
-    "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&sect;": "§", "&para;": "¶", "&frac12;": "½", "&rarr;": "→", "&larr;": "←",
-    "&agrave;": "à", "&aacute;": "á", "&acirc;": "â", "&auml;": "ä", "&ccedil;": "ç", "&egrave;": "è", "&eacute;": "é",
-    "&ecirc;": "ê", "&iacute;": "í", "&ntilde;": "ñ", "&oacute;": "ó", "&ouml;": "ö", "&uacute;": "ú", "&uuml;": "ü",
-    "&szlig;": "ß", "&amp;": "&",
-}
+LONGEST_BARE = max(len(n) for n in html5 if not n.endswith(";"))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[str, str]:
+    """The standard names as JSON: those with a semicolon by first letter, and those that need none."""
+    by_letter: dict[str, dict[str, str]] = {}
+    bare = {}
+    for name, char in html5.items():
+        char = char.replace("\u00a0", " ")
+        if name.endswith(";"):
+            by_letter.setdefault(name[0], {})[name[:-1]] = char
+        else:
+            bare[name] = char
+    return json.dumps(by_letter), json.dumps(bare)
+
+
+def _named(piece: Column) -> Column:
+    """What follows ``&``: the character of its name and the rest, or all as it was."""
+    by_letter, bare = _tables()
+    names = F.from_json(F.lit(by_letter), "map<string,map<string,string>>")
+    name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]+);", 1)
+    char = F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    rest = F.substr(piece, F.length(name) + 2)
+    out = F.when(char.isNotNull(), F.concat(char, rest))
+    # A few old names are also read without their semicolon, the longest first.
+    old = F.from_json(F.lit(bare), "map<string,string>")
+    word = F.regexp_extract(piece, f"^[A-Za-z0-9]{{2,{LONGEST_BARE}}}", 0)
+    for n in range(LONGEST_BARE, 1, -1):
+        char = F.try_element_at(old, F.substring(word, 1, n))
+        out = out.when((F.length(word) >= n) & char.isNotNull(), F.concat(char, F.substr(piece, F.lit(n + 1))))
+    return out.otherwise(F.concat(F.lit("&"), piece))
 
 
 def _numeric(piece: Column) -> Column:
@@ -31,15 +57,14 @@ def _numeric(piece: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Numeric and named entities as characters; a hard space becomes a plain one."""
-    pieces = F.split(text, "&#", -1)
-    numbers = F.concat(
-        F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric), "")
-    )
-    out = F.when(F.contains(text, F.lit("&#")), numbers).otherwise(text)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    """Numeric and named entities as characters, from one split; a hard space becomes a plain one."""
+    pieces = F.split(text, "&", -1)
+
+    def decoded(piece: Column) -> Column:
+        return F.when(F.startswith(piece, F.lit("#")), _numeric(F.substr(piece, F.lit(2)))).otherwise(_named(piece))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:

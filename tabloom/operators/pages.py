@@ -27,6 +27,8 @@ SECTION = T.ArrayType(
             T.StructField("heading", T.StringType()),
             T.StructField("text", T.StringType()),
             T.StructField("block", T.StringType()),
+            T.StructField("body", T.StringType()),
+            T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
 )
@@ -35,7 +37,9 @@ SECTION = T.ArrayType(
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style"}
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3}
-BLOCKS = {"p", "div"}
+# What a heading looks for behind it: a fact, a text of any kind, a list.
+KINDS = {"block": {"p", "div"}, "body": {"div", "p", "ul", "ol"}, "list": {"ul"}}
+BLOCKS = set().union(*KINDS.values())
 
 # Sections of the assembled description and labels of the fact list.
 DESCRIPTION_SECTIONS = [
@@ -48,7 +52,12 @@ FACT_LABELS = ["Files", "Size", "Type", "License"]
 
 
 class _Sections(HTMLParser):
-    """Collects, per heading, the text of its following siblings and its next filled block."""
+    """Collects, per heading, the text of its following siblings and its next filled block of every kind.
+
+    Open elements form a stack of scopes. A block's scope gathers its texts and, for a list, the paragraphs of its
+    items; when it closes with text, the headings before it that still wait take it. An outer block closes
+    after its inner ones and comes first in the page, so it takes their place.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -56,16 +65,21 @@ class _Sections(HTMLParser):
         self.found: list[dict] = []
         self.live: list[dict] = []
         self.blocks: list[dict] = []
+        self.waiting: dict[str, list[dict]] = {k: [] for k in KINDS}
         self.current: dict | None = None
+        self.order = 0
 
     def handle_starttag(self, tag, attrs):
         depth = len(self.open)
+        self.order += 1
         if tag in HEADINGS:
             self.live = [s for s in self.live if s["depth"] != depth]
-            self.current = {"level": HEADINGS[tag], "depth": depth, "heading": [], "text": [], "block": None}
+            self.current = {"level": HEADINGS[tag], "depth": depth, "order": self.order, "heading": [], "text": []} | dict.fromkeys(KINDS)
             self.found.append(self.current)
-        elif tag in BLOCKS and any(s["block"] is None and s is not self.current for s in self.found):
-            self.blocks.append({"depth": depth, "text": [], "first": len(self.found), "order": self.getpos()})
+            for waiting in self.waiting.values():
+                waiting.append(self.current)
+        elif tag in BLOCKS and (any(self.waiting[k] for k in KINDS if tag in KINDS[k]) or any(b["tag"] == "ul" for b in self.blocks)):
+            self.blocks.append({"tag": tag, "depth": depth, "order": self.order, "text": [], "items": []})
         if tag not in VOID:
             self.open.append(tag)
 
@@ -87,11 +101,23 @@ class _Sections(HTMLParser):
             self._settle(self.blocks.pop())
 
     def _settle(self, block):
-        # An outer block settles after its inner ones and comes first in the page.
-        if block["text"]:
-            for s in self.found[: block["first"]]:
-                if s["block"] is None or s["block"][0] > block["order"]:
-                    s["block"] = (block["order"], "".join(block["text"]))
+        if not block["text"]:
+            return
+        if block["tag"] == "p":
+            for outer in self.blocks:
+                if outer["tag"] == "ul" and "li" in self.open[outer["depth"] + 1 : block["depth"]]:
+                    outer["items"].append((block["order"], "".join(block["text"])))
+        for kind, tags in KINDS.items():
+            if block["tag"] not in tags:
+                continue
+            still = []
+            for s in self.waiting[kind]:
+                if s["order"] < block["order"]:
+                    s[kind] = block
+                # A block that is still open and began behind the heading comes before this one.
+                if s["order"] > block["order"] or any(b["order"] > s["order"] and b["tag"] in tags for b in self.blocks):
+                    still.append(s)
+            self.waiting[kind] = still
 
     def handle_data(self, data):
         text = data.strip()
@@ -112,7 +138,9 @@ class _Sections(HTMLParser):
                 "level": s["level"],
                 "heading": "".join(s["heading"]),
                 "text": " ".join(" ".join(s["text"]).split()),
-                "block": s["block"][1] if s["block"] else None,
+                "block": "".join(s["block"]["text"]) if s["block"] else None,
+                "body": "\n".join(s["body"]["text"]) if s["body"] else None,
+                "items": [text for _, text in sorted(s["list"]["items"])] if s["list"] else [],
             }
             for s in self.found
         ]
@@ -148,10 +176,25 @@ def description(found: Column) -> Column:
     return F.concat_ws("\n\n", *parts)
 
 
-def facts(found: Column, labels: Sequence[str] = FACT_LABELS) -> Column:
-    """Map of lower-case label to the block that follows the heading of that name."""
-    entries = []
+def _first(found: Column, wanted) -> Column:
+    return F.try_element_at(F.filter(found, lambda s: (s["level"] == 2) & wanted(s["heading"])), F.lit(1))
+
+
+def facts(found: Column, labels: Sequence[str] = FACT_LABELS, described: str = "dataset description") -> Column:
+    """Map of ``dataset_description`` and the lower-case labels to the block that follows their heading.
+
+    The description is the next text of any kind behind the first heading that holds its name, line by line; a
+    fact is the next paragraph or division behind the heading of that very name. Absent ones have no entry.
+    """
+    body = _first(found, lambda h: F.contains(F.lower(h), F.lit(described)))["body"]
+    entries = [F.struct(F.lit("dataset_description").alias("k"), body.alias("v"))]
     for label in labels:
-        hits = F.filter(found, lambda s: (s["heading"] == F.lit(label)) & (s["level"] == 2))
-        entries.append(F.struct(F.lit(label.lower()).alias("k"), F.try_element_at(hits, F.lit(1))["block"].alias("v")))
+        block = _first(found, lambda h, label=label: h == F.lit(label))["block"]
+        entries.append(F.struct(F.lit(label.lower()).alias("k"), block.alias("v")))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
+
+
+def listed(found: Column, name: str = "data explorer") -> Column:
+    """The paragraphs of the items of the list behind the first heading that holds ``name``; empty when absent."""
+    items = _first(found, lambda h: F.contains(F.lower(h), F.lit(name)))["items"]
+    return F.coalesce(items, F.array().cast("array<string>"))

@@ -11,12 +11,20 @@ from tabloom.plans.registry import query
 from tabloom.plans.scalars import _MARKED, marked
 
 
-def _strip_sql(e: str) -> str:
-    e = f"regexp_replace({e}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
-    e = f"regexp_replace({e}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in markup.ENTITIES.items():
+# The names that occur in the given pages.
+_IN_PAGES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
+def _decoded_sql(e: str) -> str:
+    for entity, char in _IN_PAGES.items():
         quoted = char.replace("'", "''")
         e = f"replace({e}, '{entity}', '{quoted}')"
+    return e
+
+
+def _strip_sql(e: str) -> str:
+    e = f"regexp_replace({e}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
+    e = _decoded_sql(f"regexp_replace({e}, '(?s)<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 
 
@@ -80,9 +88,53 @@ def h4(spark, d):
     )
 
 
-@query("h2_all_sections")
+# The text pieces behind the first heading, up to the end of the article.
+_PIECES = f"""list_filter(list_transform(regexp_split_to_array(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<[^>]*>'),
+  lambda x: trim({_decoded_sql("x")})), lambda x: x <> '')"""
+
+
+@query(
+    "h2_all_sections",
+    f"""WITH t AS (SELECT page_id, html, {_PIECES} AS p FROM pages)
+        SELECT page_id, CAST(1 AS INT) AS level, {_strip_sql(_H1)} AS heading,
+          trim(regexp_replace(array_to_string(p, ' '), '\\s+', ' ', 'g')) AS text, CASE WHEN len(p) > 0 THEN array_to_string(p, '') END AS block,
+          CASE WHEN len(p) > 0 THEN array_to_string(p, chr(10)) END AS body, '' AS items FROM t""",
+)
 def h2_all(spark, d):
-    return load(spark, d, "pages").select("page_id", F.inline(pages.sections(F.col("html"))))
+    found = load(spark, d, "pages").select("page_id", F.inline(pages.sections(F.col("html"))))
+    return found.withColumn("items", F.array_join("items", "|"))
+
+
+def _data_pages(spark, d):
+    """Pages with a described data set and two lists, of which one stands under the wanted heading."""
+    n = F.col("page_id").cast("string")
+    lists = F.concat(
+        F.lit("<h2>Other</h2><ul><li><p>wrong "), n, F.lit("</p></li></ul><h2>Dataset Description</h2><div> </div><ul><li>Rows of <b>page "),
+        n, F.lit("</b></li><li>two columns</li></ul><h3>Inner</h3><h2>Files</h2><p>2 files</p><h2>My Data Explorer</h2><p>before</p><ul><li><div><p>train_"),
+        n, F.lit(".csv</p></div></li><li>no paragraph</li><li><p> </p><ul><li><p>te<i>st</i>.csv</p></li></ul></li></ul><ul><li><p>late</p></li></ul>"),
+    )
+    lists = F.when(F.col("page_id") % 4 == 0, F.lit("<h2>Files</h2><p>none</p>")).otherwise(lists)
+    html = F.replace(F.col("html"), F.lit("<footer>"), F.concat(lists, F.lit("<footer>")))
+    return load(spark, d, "pages").select("page_id", pages.sections(html).alias("s"))
+
+
+@query(
+    "h4_described_data",
+    """SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN 'Rows of' || chr(10) || 'page ' || page_id || chr(10) || 'two columns' END AS described,
+              CASE WHEN page_id % 4 = 0 THEN 'none' ELSE '2 files' END AS files, CAST(CASE WHEN page_id % 4 = 0 THEN 1 ELSE 2 END AS INT) AS n FROM pages""",
+)
+def h4_described(spark, d):
+    f = _data_pages(spark, d).select("page_id", pages.facts(F.col("s")).alias("f"))
+    return f.select("page_id", F.col("f")["dataset_description"].alias("described"), F.col("f")["files"].alias("files"), F.size("f").alias("n"))
+
+
+@query(
+    "h5_listed_files",
+    "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'train_' || page_id || '.csv|test.csv' END AS files FROM pages",
+)
+def h5_listed(spark, d):
+    """Of several lists only the one under the heading, with its nested list."""
+    return _data_pages(spark, d).select("page_id", F.array_join(pages.listed(F.col("s")), "|").alias("files"))
 
 
 @query(
@@ -100,6 +152,26 @@ def h6(spark, d):
     return load(spark, d, "pages").select("page_id", F.md5(markup.strip_tags(F.col("html"))).alias("digest"))
 
 
+_NAMES = sorted(n for n in markup.html5 if n.endswith(";"))
+_CHARS = [markup.html5[n].replace("\u00a0", " ") for n in _NAMES]
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(
+    "h6_all_entities",
+    f"""SELECT page_id, {_sql_list(_CHARS)}[page_id % {len(_NAMES)} + 1] || '&&' || {_sql_list(_CHARS)}[page_id * 7 % {len(_NAMES)} + 1] || 'lt;x&none;' AS text FROM pages""",
+)
+def h6_entities(spark, d):
+    """Every standard name, next to others, escaped ampersands and unknown names."""
+    name = lambda i: F.element_at(F.lit(_NAMES), (i % len(_NAMES) + 1).cast("int"))
+    n = F.col("page_id")
+    text = F.concat(F.lit("&"), name(n), F.lit("&&amp;&"), name(n * 7), F.lit("lt;x&none;"))
+    return load(spark, d, "pages").select("page_id", markup.decode_entities(text).alias("text"))
+
+
 def _replies(spark, d):
     """Property objects as replies: clean, wrapped, quoted as Python, cut off or without a key."""
     k = F.get_json_object("props", "$.k")

@@ -240,6 +240,28 @@ def test_blocks_skip_empty_ones():
     assert got["Size"][1] is None
 
 
+def test_next_block_of_every_kind():
+    html = (
+        "<h2>Dataset Description</h2><span>no</span><ul><li>a <b>b</b></li><li>c</li></ul><p>later</p>"
+        "<h2>Data Explorer</h2><ul> </ul><div><ul><li>x</li><li><div><p>one</p></div><p> t<i>wo</i></p></li></ul></div><ul><li><p>no</p></li></ul>"
+    )
+    found = {s["heading"]: s for s in pages.page_sections(html)}
+    first, second = found["Dataset Description"], found["Data Explorer"]
+    assert (first["body"], first["block"], first["items"]) == ("a\nb\nc", "later", [])
+    assert second["items"] == ["one", "two"] and second["body"] == "x\none\nt\nwo"
+    assert pages.page_sections("<h2>Data Explorer</h2><p>none</p>")[0]["items"] == []
+
+
+def test_standard_names_with_and_without_semicolon(spark):
+    from html import unescape
+
+    from tabloom.functions import markup
+
+    texts = ["&notin;&not;in &notit; &AMP;lt; &ampx &copy2 &hellip;&CounterClockwiseContourIntegral;", "&lt;&#60;&amp;lt;&", "&&lt", "&fjlig;&nosuch;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(markup.decode_entities(df["t"])).collect()] == [unescape(t) for t in texts]
+
+
 def test_broken_markup_does_not_fail():
     assert pages.page_sections(None) == []
     assert pages.page_sections("<h1>a<p></h1></div><b>x")[0]["heading"] == "a"
