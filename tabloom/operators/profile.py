@@ -143,12 +143,12 @@ def target_summary(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     return out
 
 
-def numbered_name_ranges(names: DataFrame, col: str = "name") -> DataFrame:
-    """Names that end in digits as (prefix, min_index, max_index, count)."""
+def numbered_name_ranges(names: DataFrame, col: str = "name", by: Sequence[str] = ()) -> DataFrame:
+    """Names that end in digits as (prefix, min_index, max_index, count), within ``by``."""
     parsed = names.select(
-        S.name_prefix(F.col(col)).alias("prefix"), S.name_number(F.col(col)).alias("number")
+        *by, S.name_prefix(F.col(col)).alias("prefix"), S.name_number(F.col(col)).alias("number")
     ).filter(F.col("prefix").isNotNull() & F.col("number").isNotNull())
-    return parsed.groupBy("prefix").agg(
+    return parsed.groupBy(*by, "prefix").agg(
         F.min("number").alias("min_index"), F.max("number").alias("max_index"), F.count("*").alias("count")
     )
 
@@ -156,17 +156,17 @@ def numbered_name_ranges(names: DataFrame, col: str = "name") -> DataFrame:
 CLASS_RUN = r"^\d+-(F_\d+)_(\d+)$"
 
 
-def class_run_ranges(classes: DataFrame, col: str = "class") -> DataFrame:
-    """Classes named ``<row>-F_<n>_<idx>`` as one label per feature."""
+def class_run_ranges(classes: DataFrame, col: str = "class", by: Sequence[str] = ()) -> DataFrame:
+    """Classes named ``<row>-F_<n>_<idx>`` as one label per feature, within ``by``."""
     feature = F.regexp_extract(col, CLASS_RUN, 1)
     parsed = classes.filter(F.col(col).rlike(CLASS_RUN)).select(
-        feature.alias("feature"), F.regexp_extract(col, CLASS_RUN, 2).cast("bigint").alias("idx")
+        *by, feature.alias("feature"), F.regexp_extract(col, CLASS_RUN, 2).cast("bigint").alias("idx")
     )
-    groups = parsed.groupBy("feature").agg(
+    groups = parsed.groupBy(*by, "feature").agg(
         F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n")
     )
     return groups.select(
-        F.format_string("%s_%d–%s_%d (%d classes)", "feature", "lo", "feature", "hi", "n").alias("class"), "n"
+        *by, F.format_string("%s_%d–%s_%d (%d classes)", "feature", "lo", "feature", "hi", "n").alias("class"), "n"
     )
 
 

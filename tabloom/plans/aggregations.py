@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import aggregate, encoders, profile
+from tabloom.operators import aggregate, compaction, encoders, profile
 from tabloom.operators.quantiles import exact_quantiles, quantile_name
 from tabloom.plans.common import load, r6, with_nulls
 from tabloom.plans.registry import query
@@ -124,6 +124,111 @@ def a6(spark, d):
     return profile.numbered_name_ranges(names)
 
 
+@query(
+    "a6_ranges_and_literals",
+    """WITH n AS (SELECT 'customer' AS file, c_name AS name FROM customer UNION ALL SELECT 'part', p_name FROM part UNION ALL SELECT 'nation', n_name FROM nation),
+            p AS (SELECT *, regexp_matches(name, '^(.+?)(\\d+)$') AS numbered, regexp_extract(name, '^(.+?)(\\d+)$', 1) AS prefix,
+                         try_cast(regexp_extract(name, '^(.+?)(\\d+)$', 2) AS BIGINT) AS number FROM n),
+            r AS (SELECT file, prefix, min(number) AS lo, max(number) AS hi, count(*) AS c FROM p WHERE numbered GROUP BY file, prefix),
+            l AS (SELECT file, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM p WHERE NOT numbered GROUP BY file)
+       SELECT f.file, (SELECT string_agg(prefix || ':' || lo || '-' || hi || ' ' || c, '|' ORDER BY prefix) FROM r WHERE r.file = f.file) AS ranges, l.names
+       FROM (SELECT DISTINCT file FROM n) f LEFT JOIN l ON l.file = f.file""",
+)
+def a6_both(spark, d):
+    """Range specifications and literal names in one result."""
+    parts = [load(spark, d, t).select(F.lit(t).alias("file"), F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("part", "p_name"), ("nation", "n_name"))]
+    found = compaction.target_names(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["file"])
+    text = F.transform("ranges", lambda r: F.format_string("%s:%d-%d %d", r["prefix"], r["min"], r["max"], r["count"]))
+    return found.select("file", F.array_join(text, "|").alias("ranges"), F.array_join("names", "|").alias("names"))
+
+
+_PROFILED = ("lines", "orders", "parts")
+_C = [f"c_{i}" for i in range(60)]
+
+
+def _profiled(spark, d):
+    """Three files of one problem: a wide one, one of many classes, one of numbered classes and targets."""
+    lines = load(spark, d, "lineitem").select("l_quantity", *[(F.col("l_discount") * i).alias(c) for i, c in enumerate(_C)])
+    orders = load(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+    )
+    klass = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(
+        F.concat_ws("", F.col("p_partkey").cast("string"), F.lit("-F_"), (F.col("p_size") % 2).cast("string"), F.lit("_"), F.floor(F.col("p_partkey") / 4).cast("string"))
+    )
+    parts = load(spark, d, "part").select("p_partkey", klass.alias("klass"), *[F.col("p_size").alias(f"T_{i}") for i in (2, 3, 5)])
+    yield "lines", lines, ["l_quantity"]
+    yield "orders", orders, ["customer"]
+    yield "parts", parts, ["klass", "T_2", "T_3", "T_5"]
+
+
+def _entry_sql(name: str, kind: str, missing: str = "'0.0000'", target: bool = False) -> str:
+    return f"""'{{"name":"{name}","type":"{kind}","missing_pct":' || {missing} || ',"is_target":{str(target).lower()}}}'"""
+
+
+def _value_sql(e: str) -> str:
+    return f"CAST(CAST({e} AS DECIMAL(18,4)) AS VARCHAR)"
+
+
+def _ends_sql(col: str, table: str) -> str:
+    """max, median and min, largest first; equal values by name."""
+    return f"""(SELECT string_agg('{{"class":"' || e || '","value":' || {_value_sql("v")} || '}}', ',' ORDER BY v DESC, e)
+      FROM (SELECT unnest(['min', 'median', 'max']) AS e, unnest([min({col})::DOUBLE, median({col})::DOUBLE, max({col})::DOUBLE]) AS v FROM {table}))"""
+
+
+def _number_target_sql(name: str, col: str, table: str) -> str:
+    return f"""'{{"target":"{name}","classes":[' || {_ends_sql(col, table)} || ']}}'"""
+
+
+_DOCUMENT = f"""
+WITH o AS (SELECT 'c' || o_custkey AS customer, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price FROM orders),
+p AS (SELECT p_size, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_partkey || '-F_' || (p_size % 2) || '_' || (p_partkey // 4) END AS klass, p_partkey, p_partkey % 3 = 0 AS other FROM part),
+oc AS (SELECT customer, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM o) AS pct FROM o GROUP BY customer),
+ot AS (SELECT *, row_number() OVER (ORDER BY pct DESC, customer) AS n FROM oc),
+pc AS (SELECT klass, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM p) AS pct FROM p WHERE other GROUP BY klass),
+pt AS (SELECT *, row_number() OVER (ORDER BY pct DESC, klass) AS n FROM pc),
+pr AS (SELECT 'F_' || (p_size % 2) AS f, min(p_partkey // 4) AS lo, max(p_partkey // 4) AS hi, count(DISTINCT klass) AS c FROM p WHERE NOT other GROUP BY 1),
+heads AS (
+  SELECT 'lines' AS file, '{{"file_name":"lines","shape":{{"rows":' || (SELECT count(*) FROM lineitem) || ',"cols":61}}' AS head, '"targets":{{"ranges":[],"names":["l_quantity"]}}}}' AS tail,
+    '"dataset_schema":[' || {_entry_sql("l_quantity", "float", target=True)} || ',' || {_entry_sql("c_0–c_59 (60 cols)", "float")} || '],"target_summary":[{{"target":"l_quantity","classes":['
+    || {_ends_sql("l_quantity", "lineitem")} || ']}}]' AS body
+  UNION ALL SELECT 'orders', '{{"file_name":"orders","shape":{{"rows":' || (SELECT count(*) FROM o) || ',"cols":3}}', '"targets":{{"ranges":[],"names":["customer"]}}}}',
+    '"dataset_schema":[' || {_entry_sql("o_orderkey", "int")} || ',' || {_entry_sql("customer", "string", target=True)} || ','
+    || {_entry_sql("o_totalprice", "float", _value_sql("(SELECT (count(*) - count(price)) * 100.0::DOUBLE / count(*) FROM o)"))} || '],"target_summary":[{{"target":"customer","classes":['
+    || (SELECT string_agg('{{"class":"' || customer || '","value":' || {_value_sql("pct")} || '}}', ',' ORDER BY n) FROM ot WHERE n <= 50)
+    || (SELECT CASE WHEN count(*) > 50 THEN ',{{"class":"... +' || (count(*) - 50) || ' more"}}' ELSE '' END FROM oc) || ']}}]'
+  UNION ALL SELECT 'parts', '{{"file_name":"parts","shape":{{"rows":' || (SELECT count(*) FROM p) || ',"cols":5}}', '"targets":{{"ranges":[{{"prefix":"T_","min":2,"max":5,"count":3}}],"names":["klass"]}}}}',
+    '"dataset_schema":[' || {_entry_sql("p_partkey", "int")} || ',' || {_entry_sql("klass", "string", target=True)} || ',' || {" || ',' || ".join(_entry_sql(f"T_{i}", "int", target=True) for i in (2, 3, 5))}
+    || '],"target_summary":[' || {" || ',' || ".join(_number_target_sql(f"T_{i}", "p_size", "p") for i in (2, 3, 5))}
+    || ',{{"target":"klass","classes":[' || (SELECT string_agg('{{"class":"' || f || '_' || lo || '–' || f || '_' || hi || ' (' || c || ' classes)"}}', ',' ORDER BY f) FROM pr) || ','
+    || (SELECT string_agg('{{"class":"' || klass || '","value":' || {_value_sql("pct")} || '}}', ',' ORDER BY n) FROM pt WHERE n <= 50) || (SELECT CASE WHEN count(*) > 50 THEN ',{{"class":"... +' || (count(*) - 50) || ' more"}}' ELSE '' END FROM pc) || ']}}]'),
+both_ AS (SELECT file, head || ',' || body || ',' || tail AS full_, head || ',' || tail AS brief FROM heads),
+fits AS (SELECT *, sum(length(full_)) OVER (ORDER BY file) + coalesce(sum(length(brief)) OVER (ORDER BY file ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) <= {{budget}} AS fits FROM both_)
+SELECT 'shop' AS problem, '{{"files":[' || string_agg(CASE WHEN fits THEN full_ ELSE brief END, ',' ORDER BY file) || ']}}' AS document, count(*) FILTER (fits) AS n_full FROM fits
+"""
+
+
+def _documents(spark, d, budget):
+    schema = shapes = summary = None
+    for file, df, targets in _profiled(spark, d):
+        named = lambda x, file=file: x.withColumns({"problem": F.lit("shop"), "file": F.lit(file)})
+        own = named(profile.schema_profile(df, targets)), named(profile.shape(df, file)), named(profile.target_summary(df, targets))
+        schema, shapes, summary = own if schema is None else [a.unionByName(b) for a, b in zip((schema, shapes, summary), own)]
+    return compaction.documents(schema, shapes, summary, budget=budget)
+
+
+@query("w3_profile_document", _DOCUMENT.replace("{budget}", "1000000"))
+def w3_document(spark, d):
+    """Whole profiles of three files as one JSON document."""
+    return _documents(spark, d, 1_000_000)
+
+
+@query("w3_profile_under_budget", _DOCUMENT.replace("{budget}", "3000"))
+def w3_budget(spark, d):
+    """The same files under a budget that holds some of them in brief."""
+    return _documents(spark, d, 3000)
+
+
 @query(
     "a7_class_run_ranges",
     """WITH g AS (SELECT 'F_' || (p_size % 4 + 1) AS f, p_partkey // 4 AS idx FROM part)
