@@ -8,35 +8,35 @@ from pyspark.sql import types as T
 
 from tabloom.operators import project, replies, windows
 
-# Columns of the record table in their order.
-TEXT_COLUMNS = [
-    "competition_slug",
-    "competition_problem_type",
-    "competition_problem_subtype",
-    "competition_problem_description",
-    "competition_dataset_type",
-    "evaluation_metrics",
-    "dataset_metadata",
+# Columns of the record table in their order, and those that a collection adds.
+RECORD_COLUMNS = [
+    ("competition_slug", "string"),
+    ("competition_problem_type", "string"),
+    ("competition_problem_subtype", "string"),
+    ("competition_problem_description", "string"),
+    ("competition_dataset_type", "string"),
+    ("evaluation_metrics", "string"),
+    ("dataset_metadata", "string"),
+    ("target_column", "array<string>"),
+    ("preprocessing_steps", "array<string>"),
+    ("notebook_model_layers_code", "string"),
+    ("used_technique", "string"),
+    ("library", "string"),
+    ("kernel_ref", "string"),
+    ("kernel_link", "string"),
 ]
-LIST_COLUMNS = ["target_column", "preprocessing_steps"]
-CODE_COLUMNS = ["notebook_model_layers_code", "used_technique", "library", "kernel_ref", "kernel_link"]
-
-RECORD = T.StructType(
-    [T.StructField(c, T.StringType()) for c in TEXT_COLUMNS]
-    + [T.StructField(c, T.ArrayType(T.StringType())) for c in LIST_COLUMNS]
-    + [T.StructField(c, T.StringType()) for c in CODE_COLUMNS]
-)
-COLLECTED = T.StructType(
-    RECORD.fields
-    + [
-        T.StructField("username", T.StringType()),
-        T.StructField("last_run_date", T.TimestampType()),
-        T.StructField("votes", T.LongType()),
-        T.StructField("downloaded_path", T.StringType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("dl_keyword", T.StringType()),
-    ]
-)
+COLLECTED_COLUMNS = [
+    ("username", "string"),
+    ("last_run_date", "timestamp"),
+    ("votes", "bigint"),
+    ("downloaded_path", "string"),
+    ("language", "string"),
+    ("dl_keyword", "string"),
+]
+_KINDS = {"string": T.StringType(), "array<string>": T.ArrayType(T.StringType()), "timestamp": T.TimestampType(), "bigint": T.LongType()}
+RECORD = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in RECORD_COLUMNS])
+COLLECTED = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in RECORD_COLUMNS + COLLECTED_COLUMNS])
+LIST_COLUMNS = [name for name, kind in RECORD_COLUMNS if kind == "array<string>"]
 
 
 def split_replies(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:

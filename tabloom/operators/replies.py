@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import scalars as S
+from tabloom.operators.metrics import METRICS
 
 # Required keys of a structured record and its closed vocabularies.
 REQUIRED = [
@@ -90,6 +91,21 @@ def violations(vocabulary: Mapping[str, Sequence[str]] = VOCABULARY) -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def metric_names(value: Column) -> Column:
+    """A reply's metrics, given as a JSON list, one name or null, as a list of names as the vocabulary writes them.
+
+    Case and outer blanks do not matter; unknown names stay as they are, repeats go.
+    """
+    known = F.create_map(*[F.lit(x) for name in METRICS for x in (name.lower(), name)])
+    listed = F.filter(F.coalesce(S.as_list(value), F.array().cast("array<string>")), lambda m: m.isNotNull() & (F.trim(m) != ""))
+    return F.array_distinct(F.transform(listed, lambda m: F.coalesce(F.try_element_at(known, F.lower(F.trim(m))), F.trim(m))))
+
+
+def unknown_metrics(names: Column) -> Column:
+    """The names of a list that the vocabulary lacks."""
+    return F.filter(names, lambda m: ~m.isin(METRICS))
+
+
 def code_or_text(text: Column) -> Column:
     """Text between the code markers, the whole text when there are none."""
     return F.coalesce(S.between_tags(text, "Code"), text)

@@ -364,6 +364,19 @@ def t18(spark, d):
     return pipe.apply(df, keep=["o_orderkey"]).withColumn("o_totalprice", r6(F.col("o_totalprice")))
 
 
+@query(
+    "t21_calendar_features",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CAST(day(o_orderdate) AS INT) AS day,
+              CAST(dayofyear(o_orderdate) AS INT) AS dayofyear, CAST(isodow(o_orderdate) - 1 AS INT) AS weekday, CAST(isodow(o_orderdate) >= 6 AS INT) AS is_weekend,
+              round(sin(2 * pi() * month(o_orderdate) / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month(o_orderdate) / 12), 6) + 0.0 AS month_cos,
+              round(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) + 0.0 AS weekday_sin, round(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) + 0.0 AS weekday_cos FROM orders""",
+)
+def t21_calendar(spark, d):
+    out = features.date_features(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
+    waves = {c: r6(F.col(c)) + 0.0 for c in ("month_sin", "month_cos", "weekday_sin", "weekday_cos")}
+    return out.withColumns(waves).drop("o_orderdate", "hour")
+
+
 @query(
     "t21_date_and_distance",
     """SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) - 1 AS INT) AS weekday, CAST(month(ts) AS INT) AS month,

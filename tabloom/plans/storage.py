@@ -11,7 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tabloom.functions import vectors as V
-from tabloom.operators import joins, profile, retrieve
+from tabloom.operators import joins, profile, replies, retrieve
+from tabloom.operators import records as rec
 from tabloom.plans.common import load
 from tabloom.plans.registry import query
 from tabloom.plans.retrieval import CATS, WEIGHTS, records
@@ -162,7 +163,8 @@ def s7(spark, d):
 def s8(spark, d):
     path = shared_path(spark, "s8")
     orders = load(spark, d, "orders")
-    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    # A status goes to one file each, or to several where it holds much.
+    orders.hint("rebalance", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
     listed = files.list_files(spark, path).filter(F.endswith("name", F.lit(".parquet")))
     return listed.agg(F.count("*").alias("n_files"), F.bool_and(F.col("bytes") > 0).alias("all_filled"))
 
@@ -204,6 +206,37 @@ def s10_files(spark, d):
     return code.agg(F.count("*").alias("n_cells"), F.sum(F.length("text")).alias("chars"))
 
 
+_NOTEBOOK_CELL = """CASE WHEN role = 'user' THEN '# ' || replace(text, chr(10), chr(10) || '# ') ELSE text END"""
+
+
+@query(
+    "s10_notebook_stream",
+    f"""SELECT conv_id, (conv_id % 5) || '.ipynb' AS name, md5(string_agg({_NOTEBOOK_CELL}, chr(10) || chr(10) ORDER BY turn)) AS digest
+        FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id""",
+)
+def s10_stream(spark, d):
+    """One notebook file per conversation, in two deliveries; names repeat between folders, every seventh file is broken."""
+    base = shared_path(spark, "s10s")
+    text = F.col("text")
+    # Sources are lists of lines, or one text.
+    lines = F.to_json(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("\n"), x))))
+    whole = F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    source = F.when(F.col("turn") % 2 == 0, lines).otherwise(whole)
+    kind = F.when(F.col("role") == "user", "markdown").otherwise("code")
+    cell = F.concat(F.lit('{"cell_type":"'), kind, F.lit('","metadata":{},"source":'), source, F.lit("}"))
+    turns = load(spark, d, "conversations").select("conv_id", F.struct("turn", cell.alias("cell")).alias("c"))
+    cells = F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["cell"]), ",")
+    document = F.concat(F.lit('{"nbformat":4,"cells":['), cells, F.when(F.col("conv_id") % 7 == 0, F.lit("")).otherwise(F.lit("]}")))
+    books = turns.groupBy("conv_id").agg(document.alias("value"))
+    books = books.select(F.col("conv_id").alias("owner"), F.concat((F.col("conv_id") % 5).cast("string"), F.lit(".ipynb")).alias("notebook"), "value")
+    for part in (0, 1):
+        books.filter(F.col("owner") % 2 == part).write.mode("append").partitionBy("owner", "notebook").text(f"{base}/in")
+        files.stream_notebooks(spark, f"{base}/in", f"{base}/out", f"{base}/state")
+    found = spark.read.parquet(f"{base}/out")
+    owner = F.regexp_extract("path", "/owner=([0-9]+)/", 1).cast("bigint")
+    return found.select(owner.alias("conv_id"), "name", F.md5("text").alias("digest"))
+
+
 @query(
     "s11_download_skip",
     "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -343,6 +376,47 @@ def x1_index(spark, d):
     return meta.select("*", *[one[c].alias(c) for c in ends.columns])
 
 
+_REPLIED = """WITH r AS (SELECT event_id, user_id % 20 AS slug, event_id % 11 AS k, CAST(value * 100 AS BIGINT) AS votes, event_type FROM events),
+ ok AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'tensorflow' ELSE 'pytorch' END AS tag FROM r WHERE k NOT IN (0, 1, 2)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY slug, tag ORDER BY votes DESC, 'u/' || lpad(event_id::VARCHAR, 9, '0')) AS n FROM ok)"""
+
+
+@query(
+    "x1_collected_records",
+    _REPLIED
+    + """ SELECT 's' || slug AS competition_slug, 'u/' || lpad(event_id::VARCHAR, 9, '0') AS kernel_ref, 'scale|' || k AS steps, tag AS library, 14 AS n_columns,
+          (SELECT count(DISTINCT slug) FROM best WHERE n <= 3) AS n_slugs FROM best WHERE n <= 3""",
+)
+def x1_records(spark, d):
+    """Collect, record and index in one run: replies are checked, the best kept, shaped, stored and indexed."""
+    base = shared_path(spark, "x1r")
+    k = F.col("event_id") % 11
+    tag = F.when(F.col("event_type").isin("click", "view"), "tensorflow").otherwise("pytorch")
+    fields = {c: F.lit("x") for c in replies.REQUIRED}
+    fields |= {"used_technique": F.when(k == 1, "ML").otherwise("dl"), "library": F.initcap(tag), "target_column": F.array(F.lit("y"))}
+    fields |= {"preprocessing_steps": F.array(F.lit("scale"), k.cast("string"))}
+    reply = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    raw = F.when(k == 0, F.lit("no reply")).when(k == 2, F.lit('{"library": "x"}')).when(k % 2 == 1, F.concat(F.lit("Sure: "), reply)).otherwise(reply)
+    ref = F.concat(F.lit("u/"), F.lpad(F.col("event_id").cast("string"), 9, "0"))
+    collected = load(spark, d, "events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("competition_slug"), ref.alias("kernel_ref"),
+        (F.col("value") * 100).cast("bigint").alias("votes"), raw.alias("raw"), tag.alias("tag"), F.lit("RMSE").alias("evaluation_metrics"),
+        F.concat(F.lit("https://records.example/"), ref).alias("kernel_link"),
+    )
+    accepted, _ = rec.split_replies(collected)
+    table = rec.as_records(rec.keep_best(accepted, "tag", 3))
+    sinks.append_new(table, f"{base}/records", "kernel_ref")
+    sinks.append_new(table, f"{base}/records", "kernel_ref")  # a second run adds nothing
+    stored = spark.read.parquet(f"{base}/records")
+    index = stored.select("kernel_ref", "competition_slug", "library", F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+    sinks.write_index(index, {"competition_slug": 1.0, "library": 2.0}, f"{base}/index", "m")
+    _, vocabulary, _ = sinks.read_index(spark, f"{base}/index")
+    slugs = vocabulary.filter("col = 'competition_slug'").agg(F.count("*")).scalar()
+    steps = F.array_join("preprocessing_steps", "|")
+    return stored.select("competition_slug", "kernel_ref", steps.alias("steps"), F.lower("library").alias("library"), F.lit(len(stored.columns)).alias("n_columns"),
+                         slugs.alias("n_slugs"))
+
+
 @query(
     "k2_first_copy",
     "SELECT o_orderkey, 'first' AS copy FROM orders",

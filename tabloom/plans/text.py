@@ -220,6 +220,21 @@ def h8(spark, d):
     return df.select("p_partkey", F.array_join(replies.violations(), ",").alias("bad"))
 
 
+@query(
+    "h8_metric_names",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Log Loss' WHEN 1 THEN 'RMSLE – Root Mean Squared Logarithmic Error|AUCROC' WHEN 2 THEN 'F1 Score|speed' WHEN 3 THEN '' ELSE 'a thing' END AS names,
+              CASE p_partkey % 5 WHEN 2 THEN 'speed' WHEN 4 THEN 'a thing' ELSE '' END AS unknown FROM part""",
+)
+def h8_metrics(spark, d):
+    """One name, lists with other case, blanks and repeats, null, and names outside the vocabulary."""
+    raw = F.element_at(
+        F.array(F.lit(" log loss"), F.lit('["RMSLE – root mean squared logarithmic error", "AucRoc ", "AUCROC"]'), F.lit('["F1 Score", " speed"]'), F.lit(None), F.lit("a thing")),
+        (F.col("p_partkey") % 5 + 1).cast("int"),
+    )
+    names = load(spark, d, "part").select("p_partkey", replies.metric_names(raw).alias("m"))
+    return names.select("p_partkey", F.array_join("m", "|").alias("names"), F.array_join(replies.unknown_metrics(F.col("m")), "|").alias("unknown"))
+
+
 @query(
     "h9_code_and_error",
     f"""WITH t AS ({_MARKED}) SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'incomplete' ELSE 'ok' END AS state, CASE WHEN turn % 5 <> 4 THEN role END AS error,

@@ -195,16 +195,21 @@ def notebook_cells(document: Column) -> Column:
     return F.transform(filled, text)
 
 
-def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
-    """Notebook cells joined to one text in order; other scripts as they are.
+NOTEBOOK = ".ipynb"
+
+
+def flattened(raw: DataFrame) -> DataFrame:
+    """(path, name, language, text) of whole files in ``value``, one row per file; broken notebooks have null text.
 
-    One row per file from start to end, so no shuffle is needed to keep the order.
+    A file written by Spark lies in a folder, whose name then counts. Texts never leave their row, so no shuffle
+    keeps their order, and files of one name in several folders stay apart by their path.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value"
-    )
-    is_notebook = F.endswith("name", F.lit(".ipynb"))
-    return raw.select(
+    parts = F.split("_metadata.file_path", "/")
+    folder = F.regexp_replace(F.element_at(parts, -2), "^[^=/]*=", "")
+    name = F.when(F.endswith(folder, F.lit(NOTEBOOK)), folder).otherwise(F.col("_metadata.file_name"))
+    named = raw.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), "value")
+    is_notebook = F.endswith("name", F.lit(NOTEBOOK))
+    return named.select(
         "path",
         "name",
         F.when(is_notebook, "ipynb").otherwise("py").alias("language"),
@@ -214,6 +219,19 @@ def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
+    """Notebook cells joined to one text in order; other scripts as they are."""
+    return flattened(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
+
+
+def stream_notebooks(spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+    """Append the texts of the files that arrived since the last run to ``target``, then stop; broken notebooks are skipped."""
+    source = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    texts = flattened(source.text(path, wholetext=True)).filter("text IS NOT NULL")
+    query = texts.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def ordered_text(df: DataFrame, by: str, position: str, text: str, sep: str = "\n\n") -> DataFrame:
     """Cells of one notebook, given as rows, joined in order."""
     packed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("pos"), F.col(text).alias("text"))))
