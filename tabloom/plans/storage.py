@@ -47,7 +47,7 @@ def s1(spark, d):
     path = shared_path(spark, "s1")
     # Written with a separator that never occurs, so that the lines keep their own.
     _order_lines(spark, d, ";").write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
-    return delimited.infer_types(delimited.read_unquoted(spark, path))
+    return delimited.read_typed(spark, path)
 
 
 @query(
@@ -61,7 +61,7 @@ def s1(spark, d):
 def s1_profile(spark, d):
     path = shared_path(spark, "s1")
     _order_lines(spark, d, "\t").write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
-    df = delimited.infer_types(delimited.read_unquoted(spark, path))
+    df = delimited.read_typed(spark, path)
     return profile.schema_profile(df, ["o_orderstatus"]).withColumn("missing_pct", F.round("missing_pct", 6))
 
 
@@ -104,7 +104,9 @@ def s5(spark, d):
     base = shared_path(spark, "s5")
     orders = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     sinks.write_csv(orders.filter("o_orderstatus = 'O'"), f"{base}/train_1.csv")
-    sinks.write_csv(orders.filter("o_orderstatus NOT IN ('O', 'F')"), f"{base}/train_2.csv")
+    # Another order of columns, and one more.
+    moved = orders.filter("o_orderstatus NOT IN ('O', 'F')").select("o_totalprice", F.lit("x, y").alias("note"), "o_orderstatus", "o_orderkey")
+    sinks.write_csv(moved, f"{base}/train_2.csv")
     sinks.write_csv(orders.filter("o_orderstatus = 'F'"), f"{base}/shop_test.csv")
     train, test = delimited.route_files(spark, f"{base}/*.csv", orders.schema)
     return train.select("o_orderkey", "o_totalprice", F.lit("train").alias("part")).unionByName(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import cut_lineage, shared_path
+
 # Candidate separators, sample size, and the texts read as missing.
 SEPARATORS = [",", "\t", ";"]
 SAMPLE_CHARS = 2048
@@ -38,123 +40,174 @@ def first_lines(spark: SparkSession, path: str, n: int, encoding: str = "UTF-8")
     return [r["v"] for r in raw.limit(n).collect()]
 
 
-def _text_schema(names: Sequence[str]) -> T.StructType:
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    return T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Filled lines as bytes with their file, the start of their block and a number that grows along each block."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").cast("binary").alias("line"),
+        F.is_valid_utf8("value").alias("valid"),
+    )
+    return raw.filter(F.length(F.trim(F.decode("line", "ISO-8859-1"))) > 0)
 
 
-def read_unquoted(spark: SparkSession, path: str) -> DataFrame:
-    """Dialect-detecting scan of a headed file, every column as text.
+def _files(lines: DataFrame) -> DataFrame:
+    """(of, first, valid): per file the number of its first line, and whether all its lines are UTF-8.
 
-    Quotes are ordinary characters. Short rows are padded with null and rows with more fields
-    than the header are skipped: the parser flags both, and the flagged line tells which.
+    Only the narrow columns of the written lines are read.
     """
-    encoding = sniff_encoding(spark, path)
-    lines = first_lines(spark, path, 40, encoding)
-    sep = sniff_separator("\n".join(lines)[:SAMPLE_CHARS], path)
-    names = lines[0].lstrip("﻿").split(sep)
-    rows = (
-        spark.read.schema(_text_schema(names))
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("quote", "")
-        .option("escape", "")
-        .option("columnPruning", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    fields = F.size(F.split(F.col(CORRUPT), _literal_pattern(sep), -1))
-    kept = rows.filter(F.col(CORRUPT).isNull() | (fields <= len(names)))
-    return kept.select(*[F.when(~F.col(f"`{n}`").isin(MISSING), F.col(f"`{n}`")).alias(n) for n in names])
+    found = lines.groupBy(F.col("file").alias("of")).agg(F.min(F.struct("block", "at")).alias("f"), F.bool_and("valid").alias("valid"))
+    return found.select("of", F.col("f.at").alias("first"), "valid")
+
+
+def _text(line: Column, valid: Column) -> Column:
+    return F.when(valid, F.decode(line, "UTF-8")).otherwise(F.decode(line, "ISO-8859-1"))
 
 
 def _literal_pattern(sep: str) -> str:
     return "\\t" if sep == "\t" else f"[{sep}]"
 
 
+def _type_tests(v: Column) -> list[Column]:
+    """Aggregates of a text column: whether cells are missing, and whether all filled ones are int, float or boolean."""
+
+    def every(test: Column) -> Column:
+        return F.coalesce(F.bool_and(F.when(v.isNotNull(), test)), F.lit(False))
+
+    return [
+        F.count(v) == F.count("*"),
+        every(v.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(v).try_cast("bigint").isNotNull()),
+        every(v.try_cast("double").isNotNull()),
+        every(v.isin("True", "False", "TRUE", "FALSE", "true", "false")),
+    ]
+
+
+def _kind(full: bool, whole: bool, number: bool, boolean: bool) -> str:
+    """An integer column with missing cells becomes float."""
+    if whole and full:
+        return "bigint"
+    if whole or number:
+        return "double"
+    return "boolean" if boolean and full else "string"
+
+
+def _typed(v: Column, kind: str) -> Column:
+    return F.trim(v).cast(kind) if kind != "string" else v
+
+
+def _cells(text: Column, sep: str, n: int) -> list[Column]:
+    """The first n fields of a line without quotes; absent and missing ones are null."""
+    fields = F.split(text, _literal_pattern(sep), -1)
+    cells = [F.get(fields, F.lit(i)) for i in range(n)]
+    return [F.when(~c.isin(MISSING), c) for c in cells]
+
+
+def _scanned(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(table, names, kinds) of a headed file whose quotes are ordinary characters.
+
+    The file is read once: its lines are written below the shared folder, and while they pass, the
+    type tests of every column and the encoding test are taken. Types follow from ASCII, whatever
+    the encoding. A folder's files have one header and are of one dialect.
+    """
+    head = first_lines(spark, path, 40, "ISO-8859-1")
+    head = [x for x in head if x.strip()]
+    bom = codecs.BOM_UTF8.decode("latin-1")
+    sep = sniff_separator("\n".join(head).removeprefix(bom)[:SAMPLE_CHARS], path)
+    width = len(head[0].removeprefix(bom).split(sep))
+    lines = _lines(spark, path)
+    latin = F.decode("line", "ISO-8859-1")
+    is_head = latin == F.lit(head[0])
+    counted = ~is_head & (F.size(F.split(latin, _literal_pattern(sep), -1)) <= width)
+
+    def tests(kept: Column) -> list[Column]:
+        found = []
+        for i, cell in enumerate(_cells(latin, sep, width)):
+            # A line that does not count is no row: it has no cell, and it is left out of the full count.
+            v = F.when(kept, cell)
+            _, *checks = _type_tests(v)
+            found += [F.count_if(kept & cell.isNull()).alias(f"m{i}"), *[c.alias(f"{k}{i}") for k, c in zip("ifb", checks)]]
+        return found
+
+    seen = Observation()
+    path_out = shared_path(spark, "lines")
+    lines.observe(seen, F.bool_and("valid").alias("valid"), F.count_if(is_head).alias("heads"), *tests(counted)).write.parquet(path_out)
+    stored = spark.read.schema(lines.schema).parquet(path_out)
+    files = _files(stored)
+    found = seen.get
+    if found["heads"] > files.count():
+        # Some row reads like the header: tell the real header lines apart and test again.
+        rows = stored.join(files.select("first"), F.col("at") == F.col("first"), "left_anti")
+        found = rows.agg(*tests(F.size(F.split(latin, _literal_pattern(sep), -1)) <= width)).first().asDict() | {"valid": found["valid"]}
+    kinds = [_kind(found[f"m{i}"] == 0, found[f"i{i}"], found[f"f{i}"], found[f"b{i}"]) for i in range(width)]
+    encoding = "UTF-8" if found["valid"] is not False else "ISO-8859-1"
+    names = head[0].encode("latin-1").decode(encoding, "replace").lstrip("\ufeff").removeprefix(bom).split(sep)
+    rows = stored.join(files.select("first"), F.col("at") == F.col("first"), "left_anti")
+    text = F.decode("line", encoding)
+    rows = rows.filter(F.size(F.split(text, _literal_pattern(sep), -1)) <= width)
+    return rows.select(*[c.alias(n) for c, n in zip(_cells(text, sep, width), names, strict=True)]), names, kinds
+
+
+def read_unquoted(spark: SparkSession, path: str) -> DataFrame:
+    """Dialect-detecting scan of a headed file, every column as text.
+
+    Quotes are ordinary characters. Short rows are padded with null and rows with more fields than the
+    header are skipped.
+    """
+    return _scanned(spark, path)[0]
+
+
+def read_typed(spark: SparkSession, path: str) -> DataFrame:
+    """Like :func:`read_unquoted`, with int, float and boolean columns where every filled cell allows it."""
+    rows, names, kinds = _scanned(spark, path)
+    return rows.select(*[_typed(F.col(f"`{n}`"), kind).alias(n) for n, kind in zip(names, kinds, strict=True)])
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns as int, float or boolean where every filled cell allows it; one aggregate.
 
     An integer column with missing cells becomes float.
     """
-    cols = df.columns
-
-    def all_of(test: Column, c: str) -> Column:
-        return F.coalesce(F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), test)), F.lit(False))
-
-    checks = []
-    for c in cols:
-        v = F.col(f"`{c}`")
-        checks.append(
-            F.struct(
-                (F.count(v) == F.count("*")).alias("full"),
-                all_of(v.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(v).try_cast("bigint").isNotNull(), c).alias("int"),
-                all_of(v.try_cast("double").isNotNull(), c).alias("float"),
-                all_of(v.isin("True", "False", "TRUE", "FALSE", "true", "false"), c).alias("bool"),
-            ).alias(c)
-        )
-    found = df.agg(*checks).first()
-    out = []
-    for c in cols:
-        f = found[c]
-        kind = "string"
-        if f["int"] and f["full"]:
-            kind = "bigint"
-        elif f["int"] or f["float"]:
-            kind = "double"
-        elif f["bool"] and f["full"]:
-            kind = "boolean"
-        v = F.col(f"`{c}`")
-        out.append((F.trim(v).cast(kind) if kind != "string" else v).alias(c))
-    return df.select(*out)
-
-
-def files_by_header(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
-    """Paths of the files below ``path`` by the column names of their first line.
-
-    The first line of a file is the smallest in (block, row) order; one narrow pass, and one row
-    per file reaches the driver, which lists the files in any case.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
-    )
-    lines = lines.withColumn("at", F.monotonically_increasing_id()).filter("block = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in first.collect():
-        names = next(csv.reader([row["line"].lstrip("\ufeff")], delimiter=sep))
-        found.setdefault(tuple(names), []).append(row["file"])
-    return found
+    found = df.agg(*[F.array(*_type_tests(F.col(f"`{c}`"))).alias(c) for c in df.columns]).first()
+    return df.select(*[_typed(F.col(f"`{c}`"), _kind(*found[c])).alias(c) for c in df.columns])
 
 
-def read_by_name(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_by_name(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """Headed files with a given schema, whose columns are found by name in each file.
 
-    Columns that a file lacks are null; columns that the schema lacks are left out. ``file_path``
-    is added.
+    The files are read once and their lines written. The header of a file is the first of its lines; its
+    names give the place of every wanted column, and that row, with the file's encoding (latin-1 when a line is
+    not UTF-8), meets the file's lines by a join. One number, the widest header, reaches the driver.
+    Columns that a file lacks are null; columns that the schema lacks are left out. ``file_path`` is added.
     """
     schema = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
-    kind = {f.name: f for f in schema.fields}
-    parts = []
-    for names, paths in sorted(files_by_header(spark, path, sep).items()):
-        own = T.StructType([kind.get(n, T.StructField(n, T.StringType())) for n in names])
-        part = spark.read.schema(own).option("header", True).option("sep", sep).option("escape", '"')
-        part = part.option("encoding", encoding).csv(paths)
-        known = [F.col(f"`{n}`") if n in names else F.lit(None).cast(kind[n].dataType).alias(n) for n in kind]
-        parts.append(part.select(*known, F.col("_metadata.file_path").alias("file_path")))
-    out = parts[0] if parts else spark.createDataFrame([], schema).withColumn("file_path", F.lit(None).cast("string"))
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    lines = cut_lineage(_lines(spark, path), "lines")
+    files = _files(lines)
+    options = {"sep": sep, "escape": '"'}
+    heads = lines.drop("valid").join(files, (F.col("file") == F.col("of")) & (F.col("at") == F.col("first")))
+    head = F.regexp_replace(_text(F.col("line"), F.col("valid")), "^\ufeff", "")
+    heads = cut_lineage(heads.select("of", "first", "valid", head.alias("head")), "heads")
+    widest = heads.agg(F.max(F.size(F.split("head", _literal_pattern(sep), -1)))).first()[0] or 1
+    wide = ", ".join(f"c{i} string" for i in range(widest))
+
+    def fields(text: Column) -> Column:
+        parsed = F.from_csv(text, wide, options)
+        return F.array(*[parsed[f"c{i}"] for i in range(widest)])
+
+    names = heads.select("of", "first", "valid", fields(F.col("head")).alias("names"))
+    places = names.select("of", "first", "valid", *[F.array_position("names", f.name).cast("int").alias(f"p{i}") for i, f in enumerate(schema.fields)])
+    rows = lines.drop("valid").join(places, F.col("file") == F.col("of")).filter(F.col("at") != F.col("first"))
+    rows = rows.select("file", fields(_text(F.col("line"), F.col("valid"))).alias("f"), *[f"p{i}" for i in range(len(schema.fields))])
+    wanted = [
+        F.when(F.col(f"p{i}") > 0, F.try_element_at("f", F.col(f"p{i}"))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)
+    ]
+    return rows.select(*wanted, F.col("file").alias("file_path"))
 
 
 def read_headed(spark: SparkSession, path: str, schema: T.StructType | str, sep: str | None = None) -> DataFrame:
-    """Quoted scan with a given schema, by header name; tab for ``.tsv``; latin-1 when the file is not UTF-8."""
+    """Quoted scan with a given schema, by header name; tab for ``.tsv``; latin-1 for a file that is not UTF-8."""
     sep = sep or ("\t" if path.lower().endswith(".tsv") else ",")
-    return read_by_name(spark, path, schema, sep, sniff_encoding(spark, path)).drop("file_path")
+    return read_by_name(spark, path, schema, sep).drop("file_path")
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

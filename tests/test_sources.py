@@ -20,6 +20,30 @@ def test_unquoted_scan(spark, tmp_path, sep, name):
     assert [tuple(r) for r in rows] == [(1, '"q"', 2.5), (2, "b", None), (4, None, None), (5, "é", 7.0)]
 
 
+def test_rows_that_read_like_the_header(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("1,2\n1,2\n3,4\n")
+    df = delimited.read_typed(spark, str(path))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2), (3, 4)] and set(dict(df.dtypes).values()) == {"bigint"}
+    path.write_text("a,b\na,b\n3,4\n")
+    df = delimited.read_typed(spark, str(path))
+    assert sorted(tuple(r) for r in df.collect()) == [("3", "4"), ("a", "b")]
+
+
+def test_folder_of_unquoted_files(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("\n\nid;v\n1;2\n")
+    (tmp_path / "y.csv").write_text("id;v\n3;\n")
+    df = delimited.read_typed(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2.0), (3, None)]
+
+
+def test_encodings_and_quotes_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('name,id\n"caf\u00e9, ""x""",1\n'.encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes('\ufeffid,"name"\n2,\u00e9\nbad,z\n'.encode())
+    got = delimited.read_by_name(spark, str(tmp_path), "id int, name string, gone date").collect()
+    assert sorted((r["id"] or 0, r["name"], r["gone"]) for r in got) == [(0, "z", None), (1, 'caf\u00e9, "x"', None), (2, "\u00e9", None)]
+
+
 def test_latin1_file(spark, tmp_path):
     path = tmp_path / "l.csv"
     path.write_bytes("id,name\n1,café\n2,x\n".encode("latin-1"))
