@@ -13,9 +13,9 @@ tasks' leftovers in one task, round by round until one task is left; every round
 windows are filled from one another, and what then remains is cut into sequences whose lengths are
 powers of two, which need no padding. The whole corpus so gets no padding at all.
 
-Ids come from a tokenizer file, a path that is valid on every worker. Text between spaces and line feeds
-never shares an id with its neighbours in it, so words are encoded once and kept in a bounded cache.
-``plain=True`` gives whole texts to the library, for tokenizers where this does not hold.
+Ids come from a tokenizer file, a path that is valid on every worker. With the default one, text between
+spaces and line feeds never shares an id with its neighbours, so words are encoded once and kept in a
+bounded cache, Latin ones by their parts. ``plain=True`` gives whole texts to the library, for any other tokenizer.
 
 Defined results: a null or empty text is the end id alone. A null id is carried through. Rows with the
 same id are packed one by one. An empty table gives no rows. Extra columns are ignored. One text and its
@@ -24,6 +24,8 @@ ids are in memory at once.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +41,9 @@ from tabloom.llm.support import load, query, stage_table
 SIZE, END = 2048, 1
 WINDOWS, MERGE = 64, 64
 CACHE, LONG = 400_000, 64
+# Without blanks and controls; lower case stays in the range and is the same with and without context.
+LAST_LATIN = 0x17F
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
 HELD_BYTES = 4 << 20
 _PLACE_BITS = 33
 
@@ -49,18 +54,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _units() -> re.Pattern:
+    """What the tokenizer takes apart before merging, for words of Latin text: see _LATIN."""
+    latin = [chr(c) for c in range(ord("!"), LAST_LATIN + 1) if _LATIN.fullmatch(chr(c))]
+    of = lambda kind: "".join(map(re.escape, (c for c in latin if unicodedata.category(c)[0] == kind)))
+    letters, numbers = of("L"), of("N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
+
+
 class _Words(dict):
-    """Packed ids of the text between blanks; long ones are not kept."""
+    """Packed ids of the text between blanks; long ones are not kept.
+
+    A word of Latin text is lower-cased and cut as the tokenizer's own rules cut it, and its parts are merged by
+    the tokenizer's model and kept as well; every other word goes through the whole library.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.units: dict[str, bytes] = {}
+        self.cut = _units().findall
+        printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+        # The byte alphabet: other bytes stand behind the printable ones, from 256 on.
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _unit(self, unit: str) -> bytes:
+        found = self.units.get(unit)
+        if found is None:
+            letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.alphabet)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+            if len(self.units) >= CACHE:
+                self.units.clear()
+            self.units[unit] = found
+        return found
+
     def __missing__(self, word: str) -> bytes:
-        packed = self.plain(word)
+        if _LATIN.fullmatch(word) and "<|" not in word and len(word) <= LONG:
+            packed = b"".join(map(self._unit, self.cut(word.lower())))
+        else:
+            packed = self.plain(word)
         if len(word) <= LONG:
             if len(self) >= CACHE:
                 self.clear()
@@ -68,7 +103,7 @@ class _Words(dict):
         return packed
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[w] for line in text.split("\n") for w in line.split(" ")])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)

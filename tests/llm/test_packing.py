@@ -56,6 +56,18 @@ def test_words_apart_encode_as_the_library_does(library):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_every_latin_character_as_in_the_library(library):
+    words = P._Words(library)
+    rnd = random.Random(4)
+    latin = [chr(c) for c in range(0x21, 0x2B0)]
+    for c in latin:
+        for text in (c, f"a{c}b", f"{c}{c}1", f"'{c}"):
+            assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(3000):
+        text = "".join(rnd.choices(latin, k=rnd.randint(1, 8)))
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("size, windows, merge", [(2048, 64, 64), (64, 2, 2), (16, 1, 3)])
 def test_pieces_and_sequences(spark, library, size, windows, merge):
     rows = [(i, t) for i, t, *_ in awkward_rows()]
