@@ -111,6 +111,12 @@ class OneHot:
         return df.select("*", *new).drop(*self.cols)
 
 
+def _fixed(params: DataFrame) -> DataFrame:
+    """A one-row table with its values computed, so that no use of it computes them again."""
+    row = params.first()
+    return params.sparkSession.range(1).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in params.schema.fields])
+
+
 @dataclass
 class ColumnPipeline:
     """Numeric columns: median and standard scaling. Categorical: mode and one-hot. Rest dropped.
@@ -130,12 +136,43 @@ class ColumnPipeline:
         self.numeric = [c for c in self.numeric if filled[c]]
         self.categorical = [c for c in self.categorical if filled[c] and few[c] is not None]
         self.median = MedianImputer(self.numeric).fit(df)
-        self.mode = ModeImputer(self.categorical).fit(df)
-        filled = self.mode.apply(self.median.apply(df))
-        self.scaler = StandardScaler(self.numeric).fit(filled)
-        self.one_hot = OneHot(self.categorical, self.limit).fit(filled)
+        self.median.params = _fixed(self.median.params)
+        self.scaler = StandardScaler(self.numeric, _fixed(self._moments(df)))
+        kept = self._categories(df)
+        modes = [F.lit(max(kept[c], key=lambda x: x[1])[0]).cast(df.schema[c].dataType).alias(c) for c in self.categorical]
+        self.mode = ModeImputer(self.categorical, df.sparkSession.range(1).select(*modes))
+        self.one_hot = OneHot(self.categorical, self.limit, {c: [v for v, _ in kept[c]] for c in self.categorical})
         return self
 
+    def _moments(self, df: DataFrame) -> DataFrame:
+        """Mean and deviation of the filled columns, from those of the present cells and the median: one pass."""
+        p = one_row(self.median.params)
+        cell = {c: present(df, c).cast("double") for c in self.numeric}
+        sums = [F.struct(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).alias(c) for c, x in cell.items()]
+        found = df.agg(F.count("*").alias("__rows"), *sums)
+        out = []
+        for c in self.numeric:
+            n, m, v = (F.col(c)[k] for k in "nmv")
+            gaps = F.col("__rows") - n
+            mean = (n * m + gaps * p[c]) / F.col("__rows")
+            std = F.sqrt((n * v + n * (m - mean) ** 2 + gaps * (p[c] - mean) ** 2) / F.col("__rows"))
+            out += [mean.alias(f"{c}_mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias(f"{c}_std")]
+        return found.select(*out)
+
+    def _categories(self, df: DataFrame) -> dict[str, list]:
+        """Sorted (value, count) of every categorical column, at most ``limit`` each, from one long-form count."""
+        if not self.categorical:
+            return {}
+        cells = [F.struct(F.lit(i).alias("of"), present(df, c).cast("string").alias("value")) for i, c in enumerate(self.categorical)]
+        long = df.select(F.explode(F.array(*cells)).alias("e")).select("e.*").filter(F.col("value").isNotNull())
+        counts = long.groupBy("of", "value").agg(F.count("*").alias("n"))
+        typed = [
+            F.sort_array(F.collect_list(F.when(F.col("of") == i, F.struct(F.col("value").cast(df.schema[c].dataType).alias("v"), "n")))).alias(c)
+            for i, c in enumerate(self.categorical)
+        ]
+        row = counts.agg(*typed).first()
+        return {c: [(x["v"], x["n"]) for x in row[c]] for c in self.categorical}
+
     def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         out = df.select(*keep, *self.numeric, *self.categorical)
         return self.one_hot.apply(self.scaler.apply(self.mode.apply(self.median.apply(out))))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +46,33 @@ def token_vocabulary(df: DataFrame, text: str, max_tokens: int = MAX_TOKENS) ->
     return cut_lineage(vocabulary, "vocabulary")
 
 
+def _encoder(vocabulary: pa.Table, length: int):
+    known = vocabulary["token"].combine_chunks()
+    index = np.append(vocabulary["idx"].to_numpy().astype(np.int32), np.int32(UNKNOWN_TOKEN))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.index_in(batch.column(1).flatten(), value_set=known).fill_null(len(known)).to_numpy()
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out = np.full((batch.num_rows, length), PAD, dtype=np.int32)
+            out[row, place] = index[found]
+            offsets = pa.array(np.arange(0, batch.num_rows * length + 1, length, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], batch.schema.names)
+
+    return run
+
+
 def encode_sequences(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH
 ) -> DataFrame:
     """``(key, sequence)``: the first ``length`` token indexes, padded with 0.
 
-    The vocabulary is at most MAX_TOKENS rows, so it is broadcast; a document regroups to one
-    row per task before the shuffle.
+    The vocabulary is at most MAX_TOKENS rows, so every task holds it and looks a document's tokens up inside
+    its row: nothing is shuffled.
     """
-    places = df.select(key, F.posexplode_outer(tokens(F.col(text), length)).alias("pos", "token"))
-    vocab = F.broadcast(vocabulary.select(F.col("token").alias("__token"), "idx"))
-    found = places.join(vocab, F.col("token") == F.col("__token"), "left").withColumn(
-        "idx", F.when(F.col("token").isNotNull(), F.coalesce("idx", F.lit(UNKNOWN_TOKEN)))
-    )
-    packed = found.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))).alias("s")
-    )
-    ids = F.transform("s", lambda x: x["idx"])
-    return packed.select(
-        key, F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(length) - F.size("s"))).alias("sequence")
-    )
+    held = vocabulary.select("token", "idx").orderBy("idx").limit(MAX_TOKENS).toArrow()
+    rows = df.select(key, tokens(F.col(text), length).alias("sequence"))
+    kind = df.schema[key].dataType.simpleString()
+    return rows.mapInArrow(_encoder(held, length), f"`{key}` {kind}, sequence array<int>")
