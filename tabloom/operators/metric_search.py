@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import vectors as V
@@ -293,13 +293,15 @@ def _kernel(cells: Cells, cats: list[str], schema: pa.Schema):
 
 def fit(index: DataFrame, cats: list[str]) -> Pivots | None:
     """The pivots of an index, None if it is empty."""
-    n = index.count()
-    wanted = min(MAX_PIVOTS, max(16, PIVOTS_PER_ROOT * math.isqrt(n)))
-    first = index.orderBy(F.xxhash64("id"), "id").select("vec", *cats, "slug").limit(wanted).toArrow()
+    # The rows are counted while the sample is drawn.
+    seen = Observation()
+    counted = index.observe(seen, F.count(F.lit(1)).alias("n"))
+    first = counted.orderBy(F.xxhash64("id"), "id").select("vec", *cats, "slug").limit(MAX_PIVOTS).toArrow()
     if not first.num_rows:
         return None
     dim = len(first["vec"][0])
-    first = first.slice(0, max(1, PIVOT_BYTES // (8 * max(dim, 1))))
+    wanted = min(max(16, PIVOTS_PER_ROOT * math.isqrt(seen.get["n"])), PIVOT_BYTES // (8 * max(dim, 1)))
+    first = first.slice(0, max(1, wanted))
     values = list(zip(*[first[c].to_pylist() for c in cats], strict=True)) if cats else [()] * first.num_rows
     return Pivots(cats, matrix(first["vec"], dim), values, first["slug"].to_pylist())
 
@@ -321,9 +323,13 @@ def describe(dealt: DataFrame, pivots: Pivots, weights: Mapping[str, float], k:
     """Size, angles and category ranges of the cells; a bounded number of rows reaches the driver."""
     cats = pivots.cats
     ranges = [f(c).alias(f"{p}{i}") for i, c in enumerate(cats) for p, f in (("low", F.min), ("high", F.max))]
-    by_slug = dealt.groupBy("cell", "slug").agg(F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"), *ranges)
-    merged = [f(f"{p}{i}").alias(f"{p}{i}") for i in range(len(cats)) for p, f in (("low", F.min), ("high", F.max))]
-    rows = by_slug.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("hot"), F.min("near").alias("near"), F.max("far").alias("far"), *merged)
+    facts = [F.min("angle").alias("near"), F.max("angle").alias("far"), *ranges]
+    if exclude:  # the size of the largest slug of every cell
+        by_slug = dealt.groupBy("cell", "slug").agg(F.count("*").alias("n"), *facts)
+        merged = [f(f"{p}{i}").alias(f"{p}{i}") for i in range(len(cats)) for p, f in (("low", F.min), ("high", F.max))]
+        rows = by_slug.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("hot"), F.min("near").alias("near"), F.max("far").alias("far"), *merged)
+    else:
+        rows = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("hot"), *facts)
     found = rows.toArrow().sort_by("cell")
     column = lambda name: found[name].to_numpy()
     bound = lambda p: [found[f"{p}{i}"].to_pylist() for i in range(len(cats))]

@@ -27,10 +27,13 @@ def top_per_group(df: DataFrame, by: Sequence[str], votes: str, tie: str, keep:
 def group_median_fill(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Missing values take the median of their group, then the global one."""
     by = list(by)
-    local = exact_quantiles(df, [col], [0.5], by).select(
-        *[F.col(k).alias(f"__k_{k}") for k in by], F.col(quantile_name(col, 0)).alias("__median")
-    )
-    overall = one_row(exact_quantiles(df, [col], [0.5]))[quantile_name(col, 0)]
+    # Every row counts for its group and for the whole table: one set of counts, one written stage.
+    twice = df.select(F.explode(F.array(F.lit(True), F.lit(False))).alias("__all"), *by, F.col(col))
+    twice = twice.withColumns({k: F.when(~F.col("__all"), F.col(k)) for k in by})
+    medians = exact_quantiles(twice, [col], [0.5], ["__all", *by])
+    median = F.col(quantile_name(col, 0))
+    local = medians.filter(~F.col("__all")).select(*[F.col(k).alias(f"__k_{k}") for k in by], median.alias("__median"))
+    overall = medians.filter("__all").agg(F.max(median)).scalar()
     match = None
     for k in by:
         same = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
