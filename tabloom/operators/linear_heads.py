@@ -12,16 +12,21 @@ Rows with a missing feature or target do not count.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import vectors as V
 
+# Executors need not have this package installed: what runs in tasks travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_COLUMNS = 2000
 SWEEPS, CLOSE = 2000, 1e-12
 ROWS = 8192

@@ -22,17 +22,22 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import vectors as V
 from tabloom.session import cut_lineage
 
+# Executors need not have this package installed: what runs in tasks travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 2048
 PIVOTS_PER_ROOT, MAX_PIVOTS, PIVOT_BYTES = 4, 4096, 16 << 20
 ROUTED_TOGETHER = 256
@@ -400,7 +405,8 @@ def search(
     bucket_of[cells.number] = buckets.of
 
     def by_number(values: np.ndarray, at):
-        return F.element_at(F.lit(values.tolist()), at + 1).cast("int")
+        # One literal, whatever the number of cells.
+        return F.element_at(F.from_json(F.lit(str(values.tolist())), "array<int>"), at + 1)
 
     left = dealt.withColumn("bucket", by_number(bucket_of, F.col("cell"))).withColumn("blocks", by_number(qblocks, F.col("bucket")))
     left = left.filter("blocks > 0").select(

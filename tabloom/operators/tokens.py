@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.running import row_numbers
 from tabloom.session import cut_lineage
 
+# Executors need not have this package installed: what runs in tasks travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Characters removed before splitting, vocabulary size and sequence length.
 PUNCTUATION = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~']"""
 MAX_TOKENS = 10_000

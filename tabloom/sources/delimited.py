@@ -5,11 +5,11 @@ from __future__ import annotations
 import codecs
 import csv
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.session import cut_lineage, shared_path
+from tabloom.session import cut_lineage
 
 # Candidate separators, sample size, and the texts read as missing.
 SEPARATORS = [",", "\t", ";"]
@@ -96,56 +96,35 @@ def _typed(v: Column, kind: str) -> Column:
     return F.trim(v).cast(kind) if kind != "string" else v
 
 
-def _cells(text: Column, sep: str, n: int) -> list[Column]:
-    """The first n fields of a line without quotes; absent and missing ones are null."""
-    fields = F.split(text, _literal_pattern(sep), -1)
-    cells = [F.get(fields, F.lit(i)) for i in range(n)]
-    return [F.when(~c.isin(MISSING), c) for c in cells]
-
-
 def _scanned(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
     """(table, names, kinds) of a headed file whose quotes are ordinary characters.
 
-    The file is read once: its lines are written below the shared folder, and while they pass, the
-    type tests of every column and the encoding test are taken. Types follow from ASCII, whatever
+    The file is read once: its lines are written below the shared folder, and one aggregate over them takes
+    the type tests of every column together with the encoding test. Types follow from ASCII, whatever
     the encoding. A folder's files have one header and are of one dialect.
     """
-    head = first_lines(spark, path, 40, "ISO-8859-1")
-    head = [x for x in head if x.strip()]
+    head = [x for x in first_lines(spark, path, 40, "ISO-8859-1") if x.strip()]
     bom = codecs.BOM_UTF8.decode("latin-1")
     sep = sniff_separator("\n".join(head).removeprefix(bom)[:SAMPLE_CHARS], path)
     width = len(head[0].removeprefix(bom).split(sep))
-    lines = _lines(spark, path)
-    latin = F.decode("line", "ISO-8859-1")
-    is_head = latin == F.lit(head[0])
-    counted = ~is_head & (F.size(F.split(latin, _literal_pattern(sep), -1)) <= width)
-
-    def tests(kept: Column) -> list[Column]:
-        found = []
-        for i, cell in enumerate(_cells(latin, sep, width)):
-            # A line that does not count is no row: it has no cell, and it is left out of the full count.
-            v = F.when(kept, cell)
-            _, *checks = _type_tests(v)
-            found += [F.count_if(kept & cell.isNull()).alias(f"m{i}"), *[c.alias(f"{k}{i}") for k, c in zip("ifb", checks)]]
-        return found
-
-    seen = Observation()
-    path_out = shared_path(spark, "lines")
-    lines.observe(seen, F.bool_and("valid").alias("valid"), F.count_if(is_head).alias("heads"), *tests(counted)).write.parquet(path_out)
-    stored = spark.read.schema(lines.schema).parquet(path_out)
-    files = _files(stored)
-    found = seen.get
-    if found["heads"] > files.count():
-        # Some row reads like the header: tell the real header lines apart and test again.
-        rows = stored.join(files.select("first"), F.col("at") == F.col("first"), "left_anti")
-        found = rows.agg(*tests(F.size(F.split(latin, _literal_pattern(sep), -1)) <= width)).first().asDict() | {"valid": found["valid"]}
-    kinds = [_kind(found[f"m{i}"] == 0, found[f"i{i}"], found[f"f{i}"], found[f"b{i}"]) for i in range(width)]
-    encoding = "UTF-8" if found["valid"] is not False else "ISO-8859-1"
+    lines = cut_lineage(_lines(spark, path), "lines")
+    files = cut_lineage(_files(lines), "files")
+    rows = lines.join(files.select("first"), F.col("at") == F.col("first"), "left_anti")
+
+    def fields(text: Column) -> DataFrame:
+        return rows.select("valid", F.split(text, _literal_pattern(sep), -1).alias("f"))
+
+    cells = [F.get("f", F.lit(i)) for i in range(width)]
+    cells = [F.when(~c.isin(MISSING), c) for c in cells]
+    kept = F.size("f") <= width
+    tests = [F.array(*_type_tests(c)).alias(f"c{i}") for i, c in enumerate(cells)]
+    found = fields(F.decode("line", "ISO-8859-1")).filter(kept).agg(*tests).first()
+    utf8 = files.agg(F.bool_and("valid")).first()[0]
+    encoding = "ISO-8859-1" if utf8 is False else "UTF-8"
+    kinds = [_kind(*found[f"c{i}"]) for i in range(width)]
     names = head[0].encode("latin-1").decode(encoding, "replace").lstrip("\ufeff").removeprefix(bom).split(sep)
-    rows = stored.join(files.select("first"), F.col("at") == F.col("first"), "left_anti")
-    text = F.decode("line", encoding)
-    rows = rows.filter(F.size(F.split(text, _literal_pattern(sep), -1)) <= width)
-    return rows.select(*[c.alias(n) for c, n in zip(_cells(text, sep, width), names, strict=True)]), names, kinds
+    table = fields(F.decode("line", encoding)).filter(kept).select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    return table, names, kinds
 
 
 def read_unquoted(spark: SparkSession, path: str) -> DataFrame:
