@@ -37,7 +37,7 @@ from tabloom.llm.language_id import code_bytes, grams
 from tabloom.llm.support import fold, load, query, stage_table
 
 ORDER = 4
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 PART_BYTES = 1 << 20
 HELD_BYTES = 8 << 20
 BROADCAST_IDS = 2_000_000
