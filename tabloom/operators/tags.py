@@ -10,18 +10,6 @@ from pyspark.sql import functions as F
 from tabloom.operators.profile import size_class
 
 
-def _int(lo, hi, step):
-    return {"type": "int", "min": lo, "max": hi, "step": step}
-
-
-def _float(lo, hi, step=None, sampling=None):
-    return {"type": "float", "min": lo, "max": hi, "step": step, "sampling": sampling}
-
-
-def _choice(*values):
-    return {"type": "choice", "values": [str(v) for v in values]}
-
-
 # The profiles in priority order, with their tags and search spaces.
 BANK = [
     {
@@ -29,14 +17,14 @@ BANK = [
         "tags": ["classification", "multiclass", "tabular", "low_features", "multi-label"],
         "description": "Scaled MLP on 2–5 features for larger datasets",
         "params": {
-            "layers": _int(2, 8, 1),
-            "units": _int(64, 1024, 64),
-            "activation": _choice("relu"),
-            "dropout": _float(0.0, 0.5, 0.1),
-            "optimizer": _choice("adam"),
-            "learning_rate": _float(1e-5, 1e-2, sampling="log"),
-            "batch_size": _choice(32, 64, 128, 256, 512, 1024),
-            "epochs": _int(20, 200, 10),
+            "layers": {"type": "int", "min": 2, "max": 8, "step": 1},
+            "units": {"type": "int", "min": 64, "max": 1024, "step": 64},
+            "activation": {"type": "choice", "values": ["relu"]},
+            "dropout": {"type": "float", "min": 0.0, "max": 0.5, "step": 0.1},
+            "optimizer": {"type": "choice", "values": ["adam"]},
+            "learning_rate": {"type": "float", "min": 1e-5, "max": 1e-2, "sampling": "log"},
+            "batch_size": {"type": "choice", "values": ["32", "64", "128", "256", "512", "1024"]},
+            "epochs": {"type": "int", "min": 20, "max": 200, "step": 10},
         },
     },
     {
@@ -44,14 +32,14 @@ BANK = [
         "tags": ["classification", "multiclass", "tabular", "low_features", "multi-label"],
         "description": "Binary classification on ~50–500 features",
         "params": {
-            "layers": _int(2, 8, 1),
-            "units": _int(64, 512, 64),
-            "activation": _choice("relu"),
-            "dropout": _float(0.0, 0.5, 0.1),
-            "optimizer": _choice("adam"),
-            "learning_rate": _float(1e-4, 1e-2, sampling="log"),
-            "batch_size": _choice(64, 128, 256, 512),
-            "epochs": _int(10, 50, 5),
+            "layers": {"type": "int", "min": 2, "max": 8, "step": 1},
+            "units": {"type": "int", "min": 64, "max": 512, "step": 64},
+            "activation": {"type": "choice", "values": ["relu"]},
+            "dropout": {"type": "float", "min": 0.0, "max": 0.5, "step": 0.1},
+            "optimizer": {"type": "choice", "values": ["adam"]},
+            "learning_rate": {"type": "float", "min": 1e-4, "max": 1e-2, "sampling": "log"},
+            "batch_size": {"type": "choice", "values": ["64", "128", "256", "512"]},
+            "epochs": {"type": "int", "min": 10, "max": 50, "step": 5},
         },
     },
     {
@@ -59,15 +47,15 @@ BANK = [
         "tags": ["time-series", "forecasting", "sequence"],
         "description": "Univariate/multivariate forecasting with stacked LSTM layers",
         "params": {
-            "layers": _int(1, 4, 1),
-            "units": _int(32, 256, 32),
-            "dense_units": _int(16, 128, 16),
-            "activation": _choice("tanh"),
-            "dropout": _float(0.0, 0.5, 0.1),
-            "optimizer": _choice("adam"),
-            "learning_rate": _float(1e-5, 1e-2, sampling="log"),
-            "batch_size": _choice(32, 64, 128, 256),
-            "epochs": _int(10, 100, 10),
+            "layers": {"type": "int", "min": 1, "max": 4, "step": 1},
+            "units": {"type": "int", "min": 32, "max": 256, "step": 32},
+            "dense_units": {"type": "int", "min": 16, "max": 128, "step": 16},
+            "activation": {"type": "choice", "values": ["tanh"]},
+            "dropout": {"type": "float", "min": 0.0, "max": 0.5, "step": 0.1},
+            "optimizer": {"type": "choice", "values": ["adam"]},
+            "learning_rate": {"type": "float", "min": 1e-5, "max": 1e-2, "sampling": "log"},
+            "batch_size": {"type": "choice", "values": ["32", "64", "128", "256"]},
+            "epochs": {"type": "int", "min": 10, "max": 100, "step": 10},
         },
     },
     {
@@ -75,14 +63,14 @@ BANK = [
         "tags": ["regression", "tabular", "low_features", "medium_features", "missing-values"],
         "description": "Scaled MLP for regression on low-dimensional tabular data",
         "params": {
-            "layers": _int(2, 8, 1),
-            "units": _int(64, 1024, 64),
-            "activation": _choice("relu"),
-            "dropout": _float(0.0, 0.5, 0.1),
-            "optimizer": _choice("adam"),
-            "learning_rate": _float(1e-5, 1e-2, sampling="log"),
-            "batch_size": _choice(32, 64, 128, 256, 512, 1024),
-            "epochs": _int(20, 200, 10),
+            "layers": {"type": "int", "min": 2, "max": 8, "step": 1},
+            "units": {"type": "int", "min": 64, "max": 1024, "step": 64},
+            "activation": {"type": "choice", "values": ["relu"]},
+            "dropout": {"type": "float", "min": 0.0, "max": 0.5, "step": 0.1},
+            "optimizer": {"type": "choice", "values": ["adam"]},
+            "learning_rate": {"type": "float", "min": 1e-5, "max": 1e-2, "sampling": "log"},
+            "batch_size": {"type": "choice", "values": ["32", "64", "128", "256", "512", "1024"]},
+            "epochs": {"type": "int", "min": 20, "max": 200, "step": 10},
         },
     },
 ]
