@@ -11,7 +11,6 @@ from tabloom.functions import scalars as S
 from tabloom.operators.project import present
 from tabloom.operators.quantiles import exact_quantiles, quantile_name, value_at_rank
 from tabloom.operators.running import row_numbers, running_totals
-from tabloom.session import one_row
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], votes: str, tie: str, keep: int) -> DataFrame:
