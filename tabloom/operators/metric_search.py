@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import vectors as V
@@ -298,14 +298,12 @@ def _kernel(cells: Cells, cats: list[str], schema: pa.Schema):
 
 def fit(index: DataFrame, cats: list[str]) -> Pivots | None:
     """The pivots of an index, None if it is empty."""
-    # The rows are counted while the sample is drawn.
-    seen = Observation()
-    counted = index.observe(seen, F.count(F.lit(1)).alias("n"))
-    first = counted.orderBy(F.xxhash64("id"), "id").select("vec", *cats, "slug").limit(MAX_PIVOTS).toArrow()
+    first = index.orderBy(F.xxhash64("id"), "id").select("vec", *cats, "slug").limit(MAX_PIVOTS).toArrow()
     if not first.num_rows:
         return None
     dim = len(first["vec"][0])
-    wanted = min(max(16, PIVOTS_PER_ROOT * math.isqrt(seen.get["n"])), PIVOT_BYTES // (8 * max(dim, 1)))
+    n = first.num_rows if first.num_rows < MAX_PIVOTS else index.count()  # a short sample is the whole index
+    wanted = min(max(16, PIVOTS_PER_ROOT * math.isqrt(n)), PIVOT_BYTES // (8 * max(dim, 1)))
     first = first.slice(0, max(1, wanted))
     values = list(zip(*[first[c].to_pylist() for c in cats], strict=True)) if cats else [()] * first.num_rows
     return Pivots(cats, matrix(first["vec"], dim), values, first["slug"].to_pylist())
