@@ -227,6 +227,8 @@ def s10_stream(spark, d):
     kind = F.when(F.col("role") == "user", "markdown").otherwise("code")
     cell = F.concat(F.lit('{"cell_type":"'), kind, F.lit('","metadata":{},"source":'), source, F.lit("}"))
     turns = load(spark, d, "conversations").select("conv_id", F.struct("turn", cell.alias("cell")).alias("c"))
+    # One file per row takes time, not bytes, so the configured parallelism is kept.
+    turns = turns.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     cells = F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["cell"]), ",")
     document = F.concat(F.lit('{"nbformat":4,"cells":['), cells, F.when(F.col("conv_id") % 7 == 0, F.lit("")).otherwise(F.lit("]}")))
     books = turns.groupBy("conv_id").agg(document.alias("value"))

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.session import shared_path
+from tabloom.session import few_listing_tasks, shared_path
 
 # Executors need not have this package installed: the reader travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -226,10 +226,11 @@ def flatten_notebooks(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_notebooks(spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> None:
     """Append the texts of the files that arrived since the last run to ``target``, then stop; broken notebooks are skipped."""
-    source = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
-    texts = flattened(source.text(path, wholetext=True)).filter("text IS NOT NULL")
-    query = texts.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with few_listing_tasks(spark):
+        source = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+        texts = flattened(source.text(path, wholetext=True)).filter("text IS NOT NULL")
+        query = texts.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 def ordered_text(df: DataFrame, by: str, position: str, text: str, sep: str = "\n\n") -> DataFrame:

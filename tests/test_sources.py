@@ -296,3 +296,25 @@ def test_reply_states(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
     states = [r.state for r in replies.validate(df, "raw", ["k"]).orderBy("i").collect()]
     assert states == ["parsed", "parsed", "parsed", "missing keys", "unreadable", "unreadable", "parsed"]
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    """A batch of files was listed by one task per file."""
+    from tabloom.session import LISTINGS_PER_CORE, few_listing_tasks
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    rows = spark.createDataFrame([(i, f"{i}.py", f"x = {i}") for i in range(60)], "owner int, notebook string, value string")
+    rows.coalesce(1).write.partitionBy("owner", "notebook").text(str(tmp_path / "in"))
+    most = LISTINGS_PER_CORE * spark.sparkContext.defaultParallelism
+    seen = []
+    inside = lambda batch: seen.append(int(spark.conf.get(key))) or batch
+    with pytest.MonkeyPatch.context() as patch:
+        real = files.flattened
+        patch.setattr(files, "flattened", lambda raw: real(inside(raw)))
+        files.stream_notebooks(spark, *[str(tmp_path / n) for n in ("in", "out", "state")])
+    assert seen == [most] and spark.conf.get(key) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    with pytest.raises(ZeroDivisionError), few_listing_tasks(spark):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before
