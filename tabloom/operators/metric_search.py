@@ -40,7 +40,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 2048
 PIVOTS_PER_ROOT, MAX_PIVOTS, PIVOT_BYTES = 4, 4096, 16 << 20
-ROUTED_TOGETHER = 256
+# Rows that meet all cells together, and how many numbers one matrix of them and the cells may hold.
+ROUTED_TOGETHER, ROUTED_NUMBERS = 256, 1 << 17
+# Scores that a block computes at once.
+SCORED_NUMBERS = 1 << 19
 SCORE_DIGITS = 9
 # Rounded scores and angles of nearly equal vectors are apart from the exact ones by less than these.
 SCORE_SLACK, ANGLE_SLACK = 1e-8, 1e-6
@@ -53,6 +56,11 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), dim)
 
 
+def routed_together(columns: int) -> int:
+    """How many rows are compared with ``columns`` cells at once, so that memory does not follow the cells."""
+    return max(1, min(ROUTED_TOGETHER, ROUTED_NUMBERS // max(columns, 1)))
+
+
 @dataclass
 class Pivots:
     """Sampled rows and the groups they form; ``cats`` go from the heaviest weight down."""
@@ -108,7 +116,7 @@ class Pivots:
             members, start = self.members[key], self.start[key]
             cell[rows] = start + len(members)
             full = rows[vec[rows].any(axis=1)]
-            for part in np.array_split(full, -(-len(full) // ROUTED_TOGETHER) or 1):
+            for part in np.array_split(full, -(-len(full) // routed_together(len(members))) or 1):
                 if len(part) and len(members):
                     cos = vec[part] @ self.vec[members].T
                     best = cos.argmax(axis=1)
@@ -220,8 +228,9 @@ def _router(cells: Cells, buckets: Buckets, cats: list[str]):
     """Per query the buckets that it must see."""
 
     def wanted(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for start in range(0, batch.num_rows, ROUTED_TOGETHER):
-            part = batch.slice(start, ROUTED_TOGETHER)
+        together = routed_together(max(len(cells.number), len(cells.pivots.values)))
+        for start in range(0, batch.num_rows, together):
+            part = batch.slice(start, together)
             vec = matrix(part.column("vec"), cells.pivots.dim)
             values = [part.column(c).to_pylist() for c in cats]
             keep, floor = cells.bounds(vec, part.column("qnorm").to_numpy(), values, part.column("slug").to_pylist())
@@ -269,29 +278,35 @@ def _kernel(cells: Cells, cats: list[str], schema: pa.Schema):
             return schema.empty_table()
         r = r.sort_by("id")
         qv, rv = matrix(q["vec"], dim), matrix(r["vec"], dim)
-        score = cells.text_weight * (qv @ rv.T)
-        for c, square in zip(cats, cells.squares, strict=True):
-            a, b = _codes(q[c], r[c])
-            score += square * (a == b)
-        norms = q["qnorm"].to_numpy()[:, None] * np.sqrt(rv.any(axis=1) + cells.total)[None, :]
-        score = np.round(np.divide(score, norms, out=np.zeros_like(score), where=norms > 0), SCORE_DIGITS)
-        usable = score >= q["floor"].to_numpy()[:, None]
-        if cells.exclude:
-            a, b = _codes(q["slug"], r["slug"])
-            usable &= a != b
-        score = np.where(usable, score, -np.inf)
-        if score.shape[1] > k:
-            cut = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
-            usable &= score >= cut[:, None]
-        qi, ri = np.nonzero(usable)
-        # Rows are in id order: best score first, then the smallest id, k of each query.
-        order = np.lexsort((ri, -score[qi, ri], qi))
-        qi, ri = qi[order], ri[order]
-        first = np.searchsorted(qi, qi)
-        best = np.arange(len(qi)) - first < k
-        qi, ri = qi[best], ri[best]
-        columns = [q["qid"].take(pa.array(qi)), r["id"].take(pa.array(ri)), pa.chunked_array([score[qi, ri]])]
-        return pa.table(columns, schema=schema)
+        codes = [(*_codes(q[c], r[c]), square) for c, square in zip(cats, cells.squares, strict=True)]
+        own = _codes(q["slug"], r["slug"]) if cells.exclude else None
+        qnorm, floor = q["qnorm"].to_numpy()[:, None], q["floor"].to_numpy()[:, None]
+        rnorm = np.sqrt(rv.any(axis=1) + cells.total)[None, :]
+        found = []
+        step = max(1, SCORED_NUMBERS // len(rv))
+        for part in (slice(s, s + step) for s in range(0, len(qv), step)):
+            score = cells.text_weight * (qv[part] @ rv.T)
+            for a, b, square in codes:
+                score += square * (a[part] == b)
+            norms = qnorm[part] * rnorm
+            score = np.round(np.divide(score, norms, out=np.zeros_like(score), where=norms > 0), SCORE_DIGITS)
+            usable = score >= floor[part]
+            if own:
+                usable &= own[0][part] != own[1]
+            score = np.where(usable, score, -np.inf)
+            if score.shape[1] > k:
+                cut = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+                usable &= score >= cut[:, None]
+            qi, ri = np.nonzero(usable)
+            # Rows are in id order: best score first, then the smallest id, k of each query.
+            order = np.lexsort((ri, -score[qi, ri], qi))
+            qi, ri = qi[order], ri[order]
+            first = np.searchsorted(qi, qi)
+            best = np.arange(len(qi)) - first < k
+            qi, ri = qi[best], ri[best]
+            found.append((part.start + qi, ri, score[qi, ri]))
+        qi, ri, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([q["qid"].take(pa.array(qi)), r["id"].take(pa.array(ri)), pa.chunked_array([score])], schema=schema)
 
     return run
 

@@ -131,3 +131,36 @@ def test_first_record_wins(spark):
     df = spark.createDataFrame([("u/k", 2, "late"), ("u/k", 1, "first"), ("v", 3, "v")], "ref string, o int, t string")
     out = {r.record_key: r.t for r in retrieve.first_records(df, df.ref, "o").collect()}
     assert out == {"u/k": "first", "v": "v"}
+
+
+def test_memory_of_a_block_is_bounded():
+    """A full block of scores is computed in slices, and the slices give the k best rows in order."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(1)
+    n, k = metric_search.BLOCK_ROWS, 3
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    qv, rv = unit(rnd.normal(size=(n, 8))), unit(rnd.normal(size=(n, 8)))
+    lists = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    cat = lambda m: pa.array([f"c{i % m}" for i in range(n)])
+    q = pa.table({"qid": list(range(n)), "vec": lists(qv), "c": cat(3), "slug": cat(5), "qnorm": np.full(n, 2.0), "floor": np.full(n, -9.0)})
+    r = pa.table({"id": list(range(n)), "vec": lists(rv), "c": cat(2), "slug": cat(4)})
+    cells = SimpleNamespace(k=k, pivots=SimpleNamespace(dim=8), squares=[4.0], total=4.0, text_weight=1.0, exclude=True)
+    kernel = metric_search._kernel(cells, ["c"], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+    tracemalloc.start()
+    try:
+        got = kernel(q, r)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60_000_000
+    i = np.arange(n)
+    score = np.round((qv @ rv.T + 4.0 * ((i % 3)[:, None] == (i % 2)[None, :])) / (2.0 * np.sqrt(5.0)), metric_search.SCORE_DIGITS)
+    score[(i % 5)[:, None] == (i % 4)[None, :]] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    assert got["qid"].to_pylist() == np.repeat(i, k).tolist() and got["id"].to_pylist() == want.ravel().tolist()
+    for columns in (1, 600, 10_000, 1 << 20):
+        assert metric_search.routed_together(columns) * columns <= max(metric_search.ROUTED_NUMBERS, columns)
