@@ -11,11 +11,12 @@ import sys
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Executors need not have this package installed: the parser travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,6 +34,7 @@ SECTION = T.ArrayType(
     )
 )
 
+PAGES_TOGETHER = 64
 # Elements without an end tag, and elements whose text is not shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style"}
@@ -153,9 +155,17 @@ def page_sections(html: str | None) -> list[dict]:
     return parser.result()
 
 
-@F.pandas_udf(SECTION)
-def sections(html: pd.Series) -> pd.Series:
-    return html.map(page_sections)
+def parsed(html: pa.Array) -> pa.Array:
+    """The sections of a batch; only PAGES_TOGETHER pages at a time are Python objects."""
+    kind = to_arrow_type(SECTION)
+    starts = range(0, len(html), PAGES_TOGETHER)
+    done = [pa.array([page_sections(x) for x in html.slice(s, PAGES_TOGETHER).to_pylist()], kind) for s in starts]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+@F.arrow_udf(SECTION)
+def sections(html: pa.Array) -> pa.Array:
+    return parsed(html)
 
 
 def section_text(found: Column, names: Sequence[str]) -> Column:

@@ -298,6 +298,25 @@ def test_reply_states(spark):
     assert states == ["parsed", "parsed", "parsed", "missing keys", "unreadable", "unreadable", "parsed"]
 
 
+def test_pages_are_parsed_a_few_at_a_time():
+    """The Python objects of a batch do not follow its number of pages; before, all of them stood side by side."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    html = [None, "", *[f"<h1>Page {i}</h1><p>{'word ' * 400}{i}</p><ul><li><p>a</p></li></ul>" for i in range(3000)]]
+    batch = pa.array(html, pa.string())
+    tracemalloc.start()
+    try:
+        got = pages.parsed(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [pages.page_sections(h) for h in html]
+    assert peak < 4_000_000
+    assert pages.parsed(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_listing_takes_few_tasks(spark, tmp_path):
     """A batch of files was listed by one task per file."""
     from tabloom.session import LISTINGS_PER_CORE, few_listing_tasks
