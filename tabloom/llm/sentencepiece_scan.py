@@ -13,8 +13,9 @@ the end give the state at every cut, and each chunk is traced back alone between
 matrix has at most some dozens of rows, and a text at most 2 GB / CHUNK chunks, as a cell cannot
 be larger. Chunks of one text are spread over all tasks.
 
-Runs of non-spaces with the spaces before them never share a piece with their neighbours, so
-their encodings are kept in a bounded cache.
+Where no piece of the model holds two neighbouring characters, every path has a step between them. So
+runs of non-spaces with the spaces before them, and inside these runs of letters, are segments of
+their own (the model file tells which characters do so), whose encodings are kept in a bounded cache.
 
 Model conventions: a space becomes U+2581 and one is put in front; U+2581 itself reads as a
 space; characters without a piece become their UTF-8 bytes. The model file is a parameter, a
@@ -28,7 +29,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,6 @@ CACHE = 500_000
 TOGETHER = 1 << 20
 SPACE = "▁"
 START = -1
-_SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BREAK = re.compile(f"[^{SPACE}](?={SPACE})")
 
 
@@ -53,6 +54,30 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def segment_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Segments of a marked text, by the pairs of characters that ``pieces`` hold.
+
+    Inner characters are those that only inner ones follow in a piece, so a segment ends behind a run of
+    them; it also begins at such a run, unless the character before is one that an inner one follows.
+    """
+    follows: dict[str, set[str]] = {}
+    for piece in pieces:
+        for c in piece:
+            follows.setdefault(c, set())
+        for a, b in zip(piece, piece[1:], strict=False):
+            follows[a].add(b)
+    inner = {c for c in follows if c.isalpha()}
+    while outside := {c for c in inner if not follows[c] <= inner}:
+        inner -= outside
+    if not inner:
+        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    before = {c for c in follows if c not in inner and c != SPACE and not follows[c].isdisjoint(inner)}
+    run = f"[{re.escape(''.join(sorted(inner)))}]+"
+    other = f"[^{SPACE}{run[1:-2]}]"
+    joined = f"(?:{other}*[{re.escape(''.join(sorted(before)))}])?" if before else ""
+    return re.compile(f"{SPACE}*{joined}{run}|{SPACE}*{other}+|{SPACE}+")
+
+
 class _Segments(dict):
     """Encodings of segments as packed int32; long ones are not kept."""
 
@@ -89,6 +114,9 @@ class Model:
                 self.id[piece], self.score[piece] = i, sp.get_score(i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.id))
+        self.pattern = segment_pattern(self.id)
+        self.begins = {piece[:n] for piece in self.id for n in range(1, len(piece) + 1)}
+        self.nodes: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
         self.steps: dict[tuple[int, int], bool] = {}
         self.segments = _Segments(self)
 
@@ -117,6 +145,22 @@ class Model:
             self.steps[p, q] = found
         return found
 
+    def ends_at(self, text: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The longest end of ``text`` that a piece begins with, and size and id of the pieces that end there.
+
+        The shortest piece comes first; a character without a piece stands for itself.
+        """
+        tail = text
+        while tail and tail not in self.begins:
+            tail = tail[1:]
+        ends = [(n, q) for n in range(1, len(tail) + 1) if (q := self.id.get(tail[-n:])) is not None]
+        if not ends or ends[0][0] > 1:
+            ends.insert(0, (1, -2 - ord(text[-1])))
+        if len(self.nodes) >= CACHE:
+            self.nodes.clear()
+        self.nodes[text] = tail, tuple(ends)
+        return self.nodes[text]
+
     def _piece(self, s: str) -> int | None:
         found = self.id.get(s)
         return -1 - ord(s) - 1 if found is None and len(s) == 1 else found
@@ -150,27 +194,25 @@ class Model:
         """Packed ids of sorted segments: as ``reach`` and ``trace``, but neighbours share the paths
         of their common prefix. The order of the trials is free; last pieces are mostly short.
         """
-        get, steps, longest = self.id.get, self.steps.get, self.longest
-        before, last, came = "", [START], [0]
+        nodes, steps = self.nodes.get, self.steps.get
+        before, last, came, tails = "", [START], [0], [""]
         for segment in segments:
             shared, most = 0, min(len(before), len(segment))
             while shared < most and before[shared] == segment[shared]:
                 shared += 1
-            del last[shared + 1 :], came[shared + 1 :]
-            before = segment
-            for end in range(shared + 1, len(segment) + 1):
-                for at in range(end - 1, max(0, end - longest) - 1, -1):
-                    q = get(segment[at:end])
-                    if q is None:
-                        if at != end - 1:
-                            continue
-                        q = -2 - ord(segment[at])
-                    p = last[at]
+            del last[shared + 1 :], came[shared + 1 :], tails[shared + 1 :]
+            before, tail, end = segment, tails[-1], shared
+            for char in segment[shared:]:
+                tail, ends = nodes(tail + char) or self.ends_at(tail + char)
+                end += 1
+                for size, q in ends:
+                    p = last[end - size]
                     ok = steps((p, q))
                     if ok or (ok is None and self.steps_to(p, q)):
                         break
                 last.append(q)
-                came.append(at)
+                came.append(end - size)
+                tails.append(tail)
             out, end = [], len(segment)
             while end:
                 q, at = last[end], came[end]
@@ -184,12 +226,13 @@ class Model:
 
     def encode_marked(self, texts: list[str]) -> list[bytes]:
         """Packed ids of marked texts that begin and end at segment ends; new segments are encoded together."""
-        parts = [_SEGMENTS.findall(t) for t in texts]
-        new = {x for p in parts for x in p if x not in self.segments and len(x) <= 64}
+        parts = [self.pattern.findall(t) for t in texts]
+        seen = {x for x in set(chain.from_iterable(parts)) if len(x) <= 64}
+        new = [x for x in seen if x not in self.segments]
         if len(self.segments) + len(new) > CACHE:
             self.segments.clear()
-            new = {x for p in parts for x in p if len(x) <= 64}
-        new = sorted(new)
+            new = list(seen)
+        new.sort()
         self.segments.update(zip(new, self.encode_segments(new), strict=True))
         return [b"".join(map(self.segments.__getitem__, p)) for p in parts]
 
