@@ -232,6 +232,38 @@ def test_a_batch_does_not_read_the_target(spark, tmp_path):
     assert taken == [[(1, 1), (2, 1)], [(7, 2)]]
 
 
+def test_a_batch_writes_few_files_and_small_state(spark, tmp_path):
+    """Neither files nor stores follow the shuffle partitions, and the state holds no path per key."""
+    src, out, state = _state_dirs(tmp_path)
+    day = "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 3 as int))"
+    rows = spark.range(3000).selectExpr("id", f"{day} AS ts")
+    rows.repartition(3).write.parquet(f"{src}/a")
+    with ingest.settings(spark, {"spark.sql.shuffle.partitions": "60"}):
+        ingest.ingest(spark, f"{src}/*", rows.schema, out, state, "id", "ts")
+    assert spark.read.parquet(out).select("id").distinct().count() == spark.read.parquet(out).count() == 3000
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 12
+    stores = [p for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) <= ingest.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_first_copy_by_file_time_path_and_row(spark, tmp_path):
+    """Null keys are one key; of equal keys in a batch the older file counts, then the row."""
+    src, out, state = _state_dirs(tmp_path)
+    df = lambda rows: spark.createDataFrame(rows, "id long, v int").coalesce(1)
+    for name, rows in (("z", [(1, 1), (None, 2), (1, 3)]), ("a", [(None, 4), (2, 5), (1, 6), (2, 7)])):
+        df(rows).write.parquet(f"{src}/{name} x")
+    for f in (tmp_path / "in").glob("*/*.parquet"):
+        written = f.stat().st_mtime - (200 if f.parent.name == "z x" else 100)
+        __import__("os").utime(f, (written, written))
+    run = lambda: ingest.run_batches(
+        spark, f"{src}/*", df([]).schema, state, "id", lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    )
+    run()
+    df([(None, 8), (3, 9)]).write.parquet(f"{src}/b")
+    run()
+    assert sorted(r.v for r in spark.read.parquet(out).collect()) == [1, 2, 5, 9]
+
+
 def test_index_grows_by_batches(spark, tmp_path):
     path = str(tmp_path / "index")
     df = lambda ids: spark.createDataFrame([(i, f"c{i}", [1.0, 0.0]) for i in ids], "id long, c string, vec array<double>")
