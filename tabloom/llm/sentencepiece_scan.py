@@ -230,8 +230,10 @@ class Model:
         seen = {x for x in set(chain.from_iterable(parts)) if len(x) <= 64}
         new = [x for x in seen if x not in self.segments]
         if len(self.segments) + len(new) > CACHE:
+            # Those of the texts at hand are the frequent ones and stay.
+            kept = {x: self.segments[x] for x in seen.difference(new)}
             self.segments.clear()
-            new = list(seen)
+            self.segments.update(kept)
         new.sort()
         self.segments.update(zip(new, self.encode_segments(new), strict=True))
         return [b"".join(map(self.segments.__getitem__, p)) for p in parts]

@@ -26,6 +26,17 @@ def _random_texts(n, seed):
     return ["".join(rnd.choice(PIECES) for _ in range(rnd.randrange(0, 60))) for _ in range(n)]
 
 
+def test_a_full_cache_keeps_the_segments_at_hand(monkeypatch):
+    monkeypatch.setattr(S, "CACHE", 4)
+    model, encoded = S.Model(S.default_model()), []
+    real = model.encode_segments
+    model.encode_segments = lambda new: real(encoded.extend(new) or new)
+    model.encode("one two three")
+    ids = model.encode("one four five six")
+    assert encoded.count("▁one") == 1 and len(encoded) == 6
+    assert ids == S.Model(S.default_model()).encode("one four five six")
+
+
 def test_encoding_is_the_library_s(model, library):
     texts = _random_texts(600, 1)
     for t, packed in zip(texts, model.encode_texts(texts)):
